@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, ngram_join
 
-_MODULES = (bpe,)
+_MODULES = (ngram_join, bpe)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: s for m in _MODULES for name, s in m.SQL.items()}
