@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, ngram_join
+from . import bpe, ngram_join, toxicity
 
-_MODULES = (ngram_join, bpe)
+_MODULES = (ngram_join, bpe, toxicity)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: s for m in _MODULES for name, s in m.SQL.items()}
