@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, ngram_join, toxicity
+from . import bpe, decontaminate, link_trust, ngram_join, pii, reply_trees, toxicity
 
-_MODULES = (ngram_join, bpe, toxicity)
+_MODULES = (ngram_join, pii, link_trust, bpe, decontaminate, toxicity, reply_trees)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: s for m in _MODULES for name, s in m.SQL.items()}
