@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import textscan as ts
 from .common import table
 
-DECAY, SPAN, LANDMARKS, MAX_TRAIN = 0.6, 6, 96, 2000
+DECAY, SPAN, LANDMARKS, MAX_TRAIN = 0.6, 6, 96, 1000
 OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 WEIGHT = np.array([DECAY ** (b + 1) for _, b in OFFSETS])
 SCORES = "doc_id long, score double, toxic int, sentence string"
@@ -229,16 +229,16 @@ def witnesses(docs: list[str], toxic: np.ndarray, support: int) -> tuple[list[by
     data, offs = ts.text_buffer(pa.array(docs, pa.large_string()))
     data = ts.fold(data)
     starts, ends, rows = pieces(data, offs)
-    code = CODE[data].astype(np.int64)
-    row_of = np.repeat(rows, ends - starts)
-    place = ts.ranges(starts, ends - starts)
+    code = CODE[data]
+    row_of = np.repeat(rows.astype(np.int32), ends - starts)
+    place = ts.ranges(starts, ends - starts).astype(np.int32)
     pos, neg = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
     held, odds_of, clear, base = [], [], [], 0
     for size in (4, 5):
-        gram = np.zeros(len(data), dtype=np.int64)
+        gram = np.zeros(len(data), dtype=np.int32)
         whole = np.ones(len(data), dtype=bool)
         for k in range(size):
-            shifted = np.concatenate([code[k:], np.zeros(k, np.int64)])
+            shifted = np.concatenate([code[k:], np.zeros(k, np.int32)])
             gram = (gram << 5) | shifted
             whole &= (shifted > 0) & (shifted < 31)
         keep = whole[place]
@@ -301,6 +301,11 @@ def bare(word: bytes) -> bytes:
     return word[a[0] : a[-1] + 1] if len(a) else b""
 
 
+def values(model: Model, texts: list[str]) -> np.ndarray:
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["text"])
+    return np.concatenate([model.score(*ts.text_buffer(c.column(0)))[0] for c in ts.chunks(batch)] or [np.zeros(0)])
+
+
 def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, hard: int = 3000, rounds: int = 4) -> Model:
     """Fits the model on labelled documents; with no toxic witness at all it finds nothing toxic."""
     y = np.array(toxic, dtype=bool)
@@ -327,8 +332,7 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, hard:
             break
         marks.append(pos[k])
         near = np.maximum(near, kernel(pos, [pos[k]])[:, 0])
-    col = pa.array([w.decode("utf-8", "replace") for w in clean], pa.large_string())
-    cdata, coffs = ts.text_buffer(col)
+    clean_texts = [w.decode("utf-8", "replace") for w in clean]
     model = never
     spread = neg[:: max(1, len(neg) // max(1, landmarks - len(marks)))][: landmarks - len(marks)]
     marks = marks + spread
@@ -351,15 +355,14 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, hard:
         folded = np.zeros(32**3)
         np.add.at(folded, li, lv * beta[lr])
         model = Model(folded, min(b, -1e-3), marks)
-        value = model.score(cdata, coffs)[0]
+        value = values(model, clean_texts)
         worst = np.flatnonzero(value > -0.5)
         worst = worst[np.argsort(-value[worst])][:hard]
         more = sorted(set(clean[k] for k in worst.tolist()) - set(neg))
         if not more:
             break
         neg = neg + more
-    data, offs = ts.text_buffer(pa.array(texts, pa.large_string()))
-    value = model.score(data, offs)[0]
+    value = values(model, texts)
     cuts = np.unique(value)
     cuts = np.concatenate([(cuts[1:] + cuts[:-1]) / 2, [cuts[-1] + 1e-3]]) if len(cuts) > 1 else np.array([0.0])
     hits = np.searchsorted(np.sort(value[y]), cuts)
