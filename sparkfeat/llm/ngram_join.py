@@ -5,13 +5,13 @@ Two n-gram sets with Jaccard similarity of at least t share a token among the fi
 2006; Xiao et al., 2008).  So a pair must pass that test under *every* order, and the pairs that
 pass under all of them are few.
 
-* Order 1 puts rare tokens first.  Rarity comes from a sketch of counts over all documents whose
-  size is fixed; any order is a valid one, so collisions cost time and never a result.  Its
-  prefixes are shuffled by token, and documents that meet there become linked.
+* Order 1 sorts tokens by the number of sets they occur in, counted over all documents.  Tokens go
+  to the partitions that count them as packed, compressed columns of 40-bit keys.  Those of a
+  single set come first in the order and link nothing, so a document in which they fill the prefix
+  has no partner and is done; of the others the rest of the prefix is joined by token.
 * Linked documents are brought together with their texts, each once; a component of more than
-  ``block`` documents is tiled into pairs of blocks.  There the prefixes under
-  order 1 and under further orders (hash permutations) are intersected, and what is left is
-  verified by exact set intersection.
+  ``block`` documents is tiled into pairs of blocks.  There the prefixes under further orders
+  (hash permutations) are intersected, and what is left is verified by exact set intersection.
 
 Documents with equal sets are one vertex of all this; the copies rejoin at the end.
 """
@@ -26,31 +26,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import components, shared_folder, stored, table
+from .common import components, parts, shared_folder, stored, table
 
-N, THRESHOLD, ORDERS, SKETCH_BITS, SLICES, BLOCK = 3, 0.6, 3, 22, 64, 4096
+N, THRESHOLD, ORDERS, BLOCK = 3, 0.6, 3, 4096
+KEY_BITS, FLUSH = 40, 3_000_000
 PAIRS = "doc_a long, doc_b long, jaccard double"
+PACKED = "part int, packed binary"
 
 
 def prefix_length(n: np.ndarray, t: float) -> np.ndarray:
     return n - np.ceil(t * n - 1e-9).astype(np.int64) + 1
 
 
-def order_key(g: np.ndarray, order: int, sketch: np.ndarray | None) -> np.ndarray:
-    """Sort keys of tokens under one of the global orders."""
-    h = ts.mix(g ^ ts.U64(0xA0761D6478BD642F * (order + 1) & (2**64 - 1)))
-    if order or sketch is None:
-        return h
-    bits = ts.U64(len(sketch).bit_length() - 1)
-    return (sketch[(g >> (ts.U64(64) - bits)).astype(np.int64)].astype(ts.U64) << ts.U64(48)) | (h >> ts.U64(16))
-
-
-def prefixes(rows: np.ndarray, g: np.ndarray, t: float, order: int, sketch: np.ndarray | None) -> np.ndarray:
-    """Places of the prefix tokens of sets given as (row, token), rows ascending."""
-    by = np.lexsort((order_key(g, order, sketch), rows))
+def prefixes(rows: np.ndarray, g: np.ndarray, t: float, order: int) -> np.ndarray:
+    """Places of the prefix tokens, under a hash order, of sets given as (row, token), rows ascending."""
+    by = np.lexsort((ts.mix(g ^ ts.U64(0xA0761D6478BD642F * (order + 1) & (2**64 - 1))), rows))
     n = np.bincount(rows)
-    first = np.cumsum(n) - n
-    rank = np.arange(len(rows)) - np.repeat(first, n)
+    rank = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
     return by[rank < np.repeat(prefix_length(n, t), n)]
 
 
@@ -63,61 +55,144 @@ def signatures(rows: np.ndarray, g: np.ndarray, n_rows: int) -> np.ndarray:
     return np.where(n > 0, np.where(sig == 0, ts.U64(1), sig), ts.U64(0))
 
 
-def _profile(n: int, bits: int):
-    """Per document its set's signature, and per task the slices of its token counts."""
-
+def _profile(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, dtype=np.int32)
-        names = ["doc_id", "sig", "slice", "counts"]
         for b in batches:
             for c in ts.chunks(b):
                 h, _, _, rows, _ = ts.words(c)
                 r, g = ts.shingles(h, rows, c.num_rows, n)
-                np.add.at(counts, (g >> ts.U64(64 - bits)).astype(np.int64), 1)
-                sig = signatures(r, g, c.num_rows).view(np.int64)
-                k = c.num_rows
-                yield pa.RecordBatch.from_arrays([c.column(0), pa.array(sig), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
-        if counts.any():
-            blobs = [x.astype(np.int32).tobytes() for x in np.minimum(counts, 1 << 30).reshape(SLICES, -1)]
-            blobs = [pa.compress(x, codec="zstd", asbytes=True) for x in blobs]
-            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int32()), pa.array(blobs, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([c.column(0), pa.array(signatures(r, g, c.num_rows).view(np.int64))], names=["doc_id", "sig"])
 
     return run
 
 
-def _add_slices(size: int):
-    def run(t: pa.Table) -> pa.Table:
-        total = np.zeros(size, dtype=np.int64)
-        for x in t.column("counts"):
-            total += np.frombuffer(pa.decompress(x.as_buffer(), decompressed_size=4 * size, codec="zstd"), dtype=np.int32)
-        return pa.table({"slice": t.column("slice")[:1].cast(pa.int32()), "counts": pa.array([np.minimum(total, 65535).astype(np.uint16).tobytes()], pa.binary())})
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of integers as one compressed string; high bytes of small numbers vanish."""
+    out = [np.array([len(columns), *(len(c) for c in columns)], dtype=np.int64).tobytes()]
+    out += [np.ascontiguousarray(c.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns]
+    raw = b"".join(out)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack(blob: bytes) -> list[np.ndarray]:
+    raw = pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+    k = int(np.frombuffer(raw, np.int64, 1)[0])
+    sizes = np.frombuffer(raw, np.int64, k, 8)
+    at, out = 8 * (k + 1), []
+    for m in sizes.tolist():
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * m, at).reshape(8, m).T).view(np.int64).ravel())
+        at += 8 * m
+    return out
 
-    return run
 
+def _packed_rows(cut: np.ndarray, make) -> pa.RecordBatch:
+    """One packed row for each non-empty range of sorted rows between neighbours in ``cut``."""
+    keep = np.flatnonzero(np.diff(cut) > 0)
+    return pa.RecordBatch.from_arrays([pa.array(keep.astype(np.int32)), pa.array([make(int(cut[k]), int(cut[k + 1])) for k in keep], pa.binary())], names=["part", "packed"])
 
-def token_sketch(profile: DataFrame, bits: int) -> np.ndarray:
-    """Counts of tokens by the top ``bits`` of their hash, of all documents; 2**bits entries at any data size."""
-    size = (1 << bits) // SLICES
-    rows = profile.where("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(_add_slices(size), "slice int, counts binary").collect()
-    out = np.zeros((SLICES, size), dtype=np.uint16)
-    for r in rows:
-        out[r["slice"]] = np.frombuffer(r["counts"], dtype=np.uint16)
-    return out.ravel()
 
+def _tokens(n: int, n_parts: int):
+    """Every document's tokens to the partitions of their keys, keys sorted and as differences."""
+
+    def flush(g: list[np.ndarray], d: list[np.ndarray], sig: list[np.ndarray], size: list[np.ndarray]) -> pa.RecordBatch:
+        key, doc = np.concatenate(g) >> ts.U64(64 - KEY_BITS), np.concatenate(d)
+        sigs, sizes = np.concatenate(sig), np.concatenate(size)
+        by = np.argsort(key)
+        key, doc = key[by].astype(np.int64), doc[by]
+        cut = np.searchsorted(key, [((k << KEY_BITS) + n_parts - 1) // n_parts for k in range(n_parts + 1)])
+
+        def make(lo: int, hi: int) -> bytes:
+            who, at = np.unique(doc[lo:hi], return_inverse=True)
+            return pack(np.diff(key[lo:hi], prepend=0), at, sigs[who], sizes[who])
+
+        return _packed_rows(cut, make)
 
-def _prefix_rows(n: int, t: float, sketch):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g_all, d_all, s_all, n_all, docs, held = [], [], [], [], 0, 0
         for b in batches:
             for c in ts.chunks(b):
                 h, _, _, rows, _ = ts.words(c)
                 r, g = ts.shingles(h, rows, c.num_rows, n)
                 if not len(g):
                     continue
-                sig = signatures(r, g, c.num_rows).view(np.int64)
-                r = np.unique(r, return_inverse=True)
-                who, r = r[0], r[1]
-                at = prefixes(r, g, t, 0, sketch.value)
-                yield pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), pa.array(sig[who[r[at]]])], names=["token", "sig"])
+                g_all.append(g)
+                d_all.append(r + docs)
+                s_all.append(signatures(r, g, c.num_rows).view(np.int64))
+                n_all.append(np.bincount(r, minlength=c.num_rows))
+                docs += c.num_rows
+                held += len(g)
+                if held >= FLUSH:
+                    yield flush(g_all, d_all, s_all, n_all)
+                    g_all, d_all, s_all, n_all, docs, held = [], [], [], [], 0, 0
+        if held:
+            yield flush(g_all, d_all, s_all, n_all)
+
+    return run
+
+
+def _frequencies(n_parts: int):
+    """Per partition of keys: the tokens of two sets or more, with their number of sets, to the partitions of sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in ts.grouped(batches, "part"):
+            key, sig, size = [], [], []
+            for x in group.column("packed"):
+                k, at, s, m = unpack(x.as_py())
+                key.append(np.cumsum(k))
+                sig.append(s[at])
+                size.append(m[at])
+            key, sig, size = np.concatenate(key), np.concatenate(sig), np.concatenate(size)
+            by = np.argsort(key)
+            key = key[by]
+            more = np.zeros(len(key), dtype=bool)
+            more[1:] = key[1:] == key[:-1]
+            more[:-1] |= more[1:].copy()
+            by, key = by[more], key[more]
+            sig, size = sig[by], size[by]
+            by = np.lexsort((sig, key))
+            key, sig, size = key[by], sig[by], size[by]
+            first = np.ones(len(key), dtype=bool)
+            first[1:] = (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])
+            key, sig, size = key[first], sig[first], size[first]
+            if not len(key):
+                continue
+            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            df = np.diff(np.append(start, len(key)))
+            df = np.repeat(df, df)
+            keep = df > 1
+            key, sig, size, df = key[keep], sig[keep], size[keep], df[keep]
+            home = (sig.view(ts.U64) % ts.U64(n_parts)).astype(np.int64)
+            by = np.lexsort((sig, home))
+            key, sig, size, df, home = key[by], sig[by], size[by], df[by], home[by]
+
+            def make(lo: int, hi: int) -> bytes:
+                new = np.flatnonzero(np.concatenate([[True], sig[lo + 1 : hi] != sig[lo : hi - 1]]))
+                return pack(sig[lo + new], size[lo + new], np.diff(np.append(new, hi - lo)), key[lo:hi], df[lo:hi])
+
+            yield _packed_rows(np.searchsorted(home, np.arange(n_parts + 1)), make)
+
+    return run
+
+
+def _prefix_rows(t: float):
+    """Order 1: the part of each set's prefix that other sets may share, rarest first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in ts.grouped(batches, "part"):
+            cols: list[list[np.ndarray]] = [[], [], [], []]
+            for x in group.column("packed"):
+                s, m, c, k, f = unpack(x.as_py())
+                for col, v in zip(cols, (np.repeat(s, c), np.repeat(m, c), k, f)):
+                    col.append(v)
+            sig, size, key, df = map(np.concatenate, cols)
+            by = np.lexsort((ts.mix(key.view(ts.U64)), df, sig))
+            sig, size, key = sig[by], size[by], key[by]
+            start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+            count = np.diff(np.append(start, len(sig)))
+            take = prefix_length(size[start], t) - (size[start] - count)
+            keep = np.arange(len(sig)) - np.repeat(start, count) < np.repeat(take, count)
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(sig[keep])], names=["token", "sig"])
 
     return run
 
@@ -187,7 +262,7 @@ def shared_counts(rows: np.ndarray, g: np.ndarray, m: int) -> tuple[np.ndarray,
     return codes, counts
 
 
-def similar_pairs(ids: np.ndarray, texts: pa.Array, n: int, t: float, orders: int, sketch: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def similar_pairs(ids: np.ndarray, texts: pa.Array, n: int, t: float, orders: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Exact join of some documents: pairs that pass the prefix filter under every order, then verified."""
     batch = pa.RecordBatch.from_arrays([pa.array(ids), texts], names=["doc_id", "text"])
     r_all, g_all, base = [], [], 0
@@ -200,10 +275,10 @@ def similar_pairs(ids: np.ndarray, texts: pa.Array, n: int, t: float, orders: in
     rows, g, m = np.concatenate(r_all), np.concatenate(g_all), len(ids)
     size = np.bincount(rows, minlength=m)
     left: np.ndarray | None = None
-    for order in range(orders):
+    for order in range(1, orders):
         use = np.flatnonzero(size > 0)
         dense = np.cumsum(size > 0) - 1
-        at = prefixes(dense[rows], g, t, order, sketch)
+        at = prefixes(dense[rows], g, t, order)
         codes, _ = shared_counts(use[dense[rows[at]]], g[at], m)
         left = codes if left is None else left[np.isin(left, codes)]
         if not len(left):
@@ -224,14 +299,14 @@ def similar_pairs(ids: np.ndarray, texts: pa.Array, n: int, t: float, orders: in
     return ids[i[ok]], ids[j[ok]], jac[ok]
 
 
-def _verify(n: int, t: float, orders: int, sketch):
+def _verify(n: int, t: float, orders: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in ts.grouped(batches, "block"):
             group = group.combine_chunks()
             ids = group.column("doc_id").to_numpy()
             by = np.argsort(ids)
             texts = group.column("text").combine_chunks().take(pa.array(by))
-            a, b, jac = similar_pairs(ids[by], texts, n, t, orders, sketch.value)
+            a, b, jac = similar_pairs(ids[by], texts, n, t, orders)
             if not len(a):
                 continue
             blocks, part = group.column("blocks")[0].as_py(), group.column("part")[0].as_py()
@@ -244,7 +319,7 @@ def _verify(n: int, t: float, orders: int, sketch):
     return run
 
 
-def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, orders: int = ORDERS, block: int = BLOCK, sketch_bits: int = SKETCH_BITS) -> DataFrame:
+def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, orders: int = ORDERS, block: int = BLOCK) -> DataFrame:
     """(doc_a, doc_b, jaccard), doc_a < doc_b: all pairs of word n-gram sets as similar as ``threshold``.
 
     Documents with the same set are joined through the least doc_id among them: it is paired with
@@ -256,25 +331,27 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, orders
     doc_id with several texts is paired by any of them, never with itself.  Other columns are not
     read.
     """
-    if not 0 < threshold <= 1:
-        raise ValueError("threshold must be above 0 and at most 1")
+    if not 0 < threshold <= 1 or orders < 2:
+        raise ValueError("threshold must be above 0 and at most 1, orders at least 2")
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     shared_folder(spark)
-    profile = stored(d.mapInArrow(_profile(n, sketch_bits), "doc_id long, sig long, slice int, counts binary"))
-    sketch = spark.sparkContext.broadcast(token_sketch(profile, sketch_bits))
-    sets = profile.where("doc_id is not null and sig <> 0").select("doc_id", "sig").distinct()
+    sets = stored(d.mapInArrow(_profile(n), "doc_id long, sig long").where("sig <> 0").distinct())
     rep = sets.groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    links = d.mapInArrow(_prefix_rows(n, threshold, sketch), "token long, sig long").repartition("token").mapInArrow(_links, "a long, b long")
+    k = parts(spark)
+    shared = d.mapInArrow(_tokens(n, k), PACKED).repartition("part").sortWithinPartitions("part").mapInArrow(_frequencies(k), PACKED)
+    prefix = shared.repartition("part").sortWithinPartitions("part").mapInArrow(_prefix_rows(threshold), "token long, sig long")
+    links = prefix.repartition("token").mapInArrow(_links, "a long, b long")
     comps = components(links)
     member = rep.join(comps, rep.sig == comps.node).select(F.col("rep").alias("doc_id"), "sig", "root").distinct()
     sizes = member.groupBy("root").agg(F.count("*").alias("m")).where("m > 1")
     member = stored(member.join(sizes, "root").select("doc_id", "sig", "root", F.ceil(F.col("m") / block).cast("int").alias("blocks")))
-    rows = d.join(member.select("doc_id", "root", "blocks").distinct(), "doc_id")
+    linked = member.select("doc_id", "root", "blocks").distinct()
+    rows = d.join(linked, "doc_id")
     home = F.expr("cast(pmod(doc_id, blocks) as int)")
     tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.least(home, k) * F.col("blocks") + F.greatest(home, k))
     rows = rows.select("doc_id", "text", "root", "blocks", F.explode(tiles).alias("part")).withColumn("block", F.xxhash64("root", "part"))
-    near = rows.repartition("block").sortWithinPartitions("block").mapInArrow(_verify(n, threshold, orders, sketch), PAIRS)
+    near = rows.repartition("block").sortWithinPartitions("block").mapInArrow(_verify(n, threshold, orders), PAIRS)
     near = near.where("doc_a <> doc_b")
     copies = sets.join(rep, "sig").where("doc_id <> rep").select(F.least("rep", "doc_id").alias("doc_a"), F.greatest("rep", "doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
     return near.unionByName(copies).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))

@@ -62,27 +62,27 @@ def joined(spark, rows, **how):
 
 def test_against_brute_force(spark):
     rows = corpus()
-    for t, n, block in ((0.6, 3, 4096), (0.4, 2, 3), (0.85, 1, 5)):
-        assert joined(spark, rows, threshold=t, n=n, block=block, sketch_bits=12) == brute(rows, t, n)
+    for t, n, block in ((0.6, 3, 4096), (0.4, 2, 3)):
+        assert joined(spark, rows, threshold=t, n=n, block=block) == brute(rows, t, n)
 
 
 def test_edge_cases(spark):
     rows = [(1, None), (2, ""), (3, " ,. "), (4, "a b c d"), (4, "a b c d"), (5, "A, b c d"), (None, "a b c d"), (6, "a"), (7, "a!"), (8, "long " * 50000)]
-    assert joined(spark, rows, sketch_bits=12) == {(4, 5): 1.0, (6, 7): 1.0}
+    assert joined(spark, rows) == {(4, 5): 1.0, (6, 7): 1.0}
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = nj.keep_one(df.withColumn("root", F.lit(1)), sketch_bits=12)
+    kept = nj.keep_one(df.withColumn("root", F.lit(1)))
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 1), (False, 2), (False, 3), (False, 4), (False, 6), (False, 8), (True, 0)]
     assert kept.columns == ["doc_id", "text", "root"]
 
 
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
-    assert nj.ngram_join(df, sketch_bits=12).count() == 0
-    assert nj.keep_one(df, sketch_bits=12).count() == 0
+    assert nj.ngram_join(df).count() == 0
+    assert nj.keep_one(df).count() == 0
 
 
 def test_one_repeated_doc_many_ids(spark):
     rows = [(k, "the same few words again and again") for k in range(200)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert nj.ngram_join(df, sketch_bits=12).count() == 199
-    assert [r.doc_id for r in nj.keep_one(df, sketch_bits=12).collect()] == [0]
+    assert nj.ngram_join(df).count() == 199
+    assert [r.doc_id for r in nj.keep_one(df).collect()] == [0]
