@@ -29,7 +29,7 @@ from . import textscan as ts
 from .common import components, parts, shared_folder, stored, table
 
 N, THRESHOLD, ORDERS, BLOCK = 3, 0.6, 3, 4096
-KEY_BITS, FLUSH = 40, 3_000_000
+KEY_BITS, FLUSH, FILTER_BITS = 40, 3_000_000, 26
 PAIRS = "doc_a long, doc_b long, jaccard double"
 PACKED = "part int, packed binary"
 
@@ -319,6 +319,48 @@ def _verify(n: int, t: float, orders: int):
     return run
 
 
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(1 << FILTER_BITS, dtype=bool)
+    for b in batches:
+        bits[_bits_of(b.column(0)).ravel()] = True
+    packed = np.packbits(bits).reshape(64, -1)
+    some = np.flatnonzero(packed.any(axis=1))
+    if len(some):
+        blobs = [pa.compress(packed[k].tobytes(), codec="zstd", asbytes=True) for k in some]
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(blobs, pa.binary())], names=["part", "packed"])
+
+
+def _bits_of(ids: pa.Array) -> np.ndarray:
+    h = ts.mix(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(ts.U64))
+    return np.stack([h >> ts.U64(64 - FILTER_BITS), h & ts.U64((1 << FILTER_BITS) - 1)]).astype(np.int64)
+
+
+def _either(t: pa.Table) -> pa.Table:
+    size = (1 << FILTER_BITS) // 512
+    both = np.bitwise_or.reduce([np.frombuffer(pa.decompress(x.as_py(), decompressed_size=size, codec="zstd", asbytes=True), np.uint8) for x in t.column("packed")])
+    return pa.table({"part": t.column("part")[:1].cast(pa.int32()), "packed": pa.array([both.tobytes()], pa.binary())})
+
+
+def maybe_in(d: DataFrame, some: DataFrame) -> DataFrame:
+    """The rows of ``d`` whose doc_id a Bloom filter does not rule out of ``some``, so that few texts are shuffled.
+
+    The filter has 2**FILTER_BITS bits at any size of the data; once it is full it lets rows pass
+    that the join after it drops.
+    """
+    size = (1 << FILTER_BITS) // 512
+    bits = np.zeros((64, size), dtype=np.uint8)
+    for r in some.select("doc_id").coalesce(4).mapInArrow(_mark, PACKED).groupBy("part").applyInArrow(_either, PACKED).collect():
+        bits[r["part"]] = np.frombuffer(r["packed"], np.uint8)
+    sent = d.sparkSession.sparkContext.broadcast(bits.ravel())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = _bits_of(b.column(0))
+            yield b.filter(pa.array(((sent.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool).all(axis=0)))
+
+    return d.mapInArrow(run, d.schema)
+
+
 def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, orders: int = ORDERS, block: int = BLOCK) -> DataFrame:
     """(doc_a, doc_b, jaccard), doc_a < doc_b: all pairs of word n-gram sets as similar as ``threshold``.
 
@@ -347,7 +389,7 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, orders
     sizes = member.groupBy("root").agg(F.count("*").alias("m")).where("m > 1")
     member = stored(member.join(sizes, "root").select("doc_id", "sig", "root", F.ceil(F.col("m") / block).cast("int").alias("blocks")))
     linked = member.select("doc_id", "root", "blocks").distinct()
-    rows = d.join(linked, "doc_id")
+    rows = maybe_in(d, linked).join(linked, "doc_id")
     home = F.expr("cast(pmod(doc_id, blocks) as int)")
     tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.least(home, k) * F.col("blocks") + F.greatest(home, k))
     rows = rows.select("doc_id", "text", "root", "blocks", F.explode(tiles).alias("part")).withColumn("block", F.xxhash64("root", "part"))
