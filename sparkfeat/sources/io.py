@@ -27,7 +27,9 @@ def read(spark: SparkSession, path: str, fmt: str | None = None, limit: int | No
         if kind == "csv":
             df = r.csv(path, header=True, inferSchema=schema is None)
         elif kind == "json":
-            df = r.json(path, multiLine=not path.endswith("jsonl"))
+            # an array of records spans lines; else each line is a record and files are split
+            head = spark.read.text(path).where("trim(value) <> ''").limit(1).collect()
+            df = r.json(path, multiLine=bool(head) and head[0][0].strip().startswith("["))
         else:
             df = r.parquet(path)
     except AnalysisException as e:
