@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -212,10 +213,8 @@ def decode(df: DataFrame, ids: str = "token_ids", out: str = "text", path: str =
     Cut sequences may begin or end inside a character: its bytes decode to U+FFFD.  Ids outside
     the vocabulary are skipped.
     """
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
 
-    @pandas_udf("string")
+    @F.pandas_udf("string")
     def text_of(col: pd.Series) -> pd.Series:
         codec = Codec.load(path)
         return col.map(lambda a: codec.decode(a))
