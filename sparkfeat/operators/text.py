@@ -130,3 +130,38 @@ def embed(df: DataFrame, key: str, column: str, encoder: Callable[[list[str]], l
     k = min(components, d.first()["v"].size)
     out = PCA(k=k, inputCol="v", outputCol="p").fit(d).transform(d).withColumn("a", vector_to_array("p"))
     return out.select(key, *[F.col("a")[i].alias(f"{column}_emb_{i}") for i in range(k)])
+
+
+ENTITY_KINDS = ("person", "org", "gpe", "date", "money", "product", "event", "loc")
+POS_TAGS = ("noun", "verb", "adj", "adv", "pron", "propn", "num", "det", "adp")
+
+
+def _counts(df: DataFrame, column: str, model: Callable[[list[str]], list[dict[str, int]]], names: tuple[str, ...], most_chars: int) -> DataFrame:
+    @F.pandas_udf("map<string, bigint>")
+    def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in it:
+            yield pd.Series(model(s.fillna("").str.slice(0, most_chars).tolist()))
+
+    counted = df.withColumn("__c", run(F.col(E.q(column)).cast("string")))
+    return counted.withColumn("__n", F.array(*[F.coalesce(F.try_element_at("__c", F.lit(n)), F.lit(0)) for n in names]))
+
+
+def named_entities(df: DataFrame, column: str, model: Callable[[list[str]], list[dict[str, int]]] | None, most_chars: int = 10_000) -> DataFrame:
+    """``df`` with the number of entities of each kind and in all, of a model that counts them; unchanged without one."""
+    if model is None:
+        return df
+    d = _counts(df, column, model, ENTITY_KINDS, most_chars)
+    total = F.aggregate("__n", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return d.select(*[F.col(E.q(c)) for c in df.columns], *[F.col("__n")[k].alias(f"{column}_ner_{n}") for k, n in enumerate(ENTITY_KINDS)], total.alias(f"{column}_ner_total"))
+
+
+def parts_of_speech(df: DataFrame, column: str, model: Callable[[list[str]], list[dict[str, int]]] | None, most_chars: int = 10_000) -> DataFrame:
+    """``df`` with the share of each tag among the words, nouns over verbs, and the share of content words."""
+    if model is None:
+        return df
+    d = _counts(df, column, model, POS_TAGS, most_chars)
+    n = F.greatest(F.aggregate(F.map_values(F.coalesce("__c", F.create_map().cast("map<string,bigint>"))), F.lit(0).cast("bigint"), lambda a, x: a + x), F.lit(1))
+    at = lambda tag: F.col("__n")[POS_TAGS.index(tag)]
+    shares = [(at(t) / n).alias(f"{column}_pos_{t}_ratio") for t in POS_TAGS]
+    content = (at("noun") + at("verb") + at("adj") + at("adv")) / n
+    return d.select(*[F.col(E.q(c)) for c in df.columns], *shares, (at("noun") / F.greatest(at("verb"), F.lit(1))).alias(f"{column}_pos_noun_verb_ratio"), content.alias(f"{column}_pos_content_ratio"))

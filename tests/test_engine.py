@@ -137,6 +137,19 @@ def test_arrays_and_text(spark):
     assert emb.columns == ["id", "v_emb_0", "v_emb_1"]
 
 
+def test_models(spark):
+    t = spark.createDataFrame([(1, "Ann saw Bob"), (2, None)], "id int, s string")
+    ner = lambda xs: [{"person": sum(w.istitle() for w in x.split())} for x in xs]
+    pos = lambda xs: [{"noun": 2, "verb": 1} if x else {} for x in xs]
+    a = {r.id: r for r in text.named_entities(t, "s", ner).collect()}
+    assert (a[1].s_ner_person, a[1].s_ner_total, a[2].s_ner_total) == (2, 2, 0)
+    b = {r.id: r for r in text.parts_of_speech(t, "s", pos).collect()}
+    assert b[1].s_pos_noun_ratio == 2 / 3 and b[1].s_pos_noun_verb_ratio == 2 and b[1].s_pos_content_ratio == 1 and b[2].s_pos_noun_ratio == 0
+    assert text.named_entities(t, "s", None) is t
+    c = text.sentiment(t, "s", lambda xs: [(0.5, 0.25, 0.25) for _ in xs]).first()
+    assert c.s_sentiment_score == 0.25
+
+
 def test_selection(spark):
     r = np.random.default_rng(0)
     x = r.standard_normal((400, 3))
