@@ -78,9 +78,13 @@ _DUCK = {"log": "ln(1+abs({x}))", "log10": "log10(abs({x})+1)", "sqrt": "sqrt(ab
 
 
 def _tx(c: str, name: str, spark_side: bool):
+    """Transcendental functions differ in their last bits between libraries and are rounded; the others are exact."""
+    out, scale = f"{c}_{TRANSFORMS[name][0]}", 1e21 if name == "exp" else 1
+    inexact = name in ("log", "log10", "exp", "tanh", "sin", "cos")
     if spark_side:
-        return F.round(F.col(f"{c}_{TRANSFORMS[name][0]}") / (1e21 if name == "exp" else 1), 9).alias(f"{c}_{TRANSFORMS[name][0]}")
-    return f"round(({_DUCK[name].format(x=c)}){'/1e21::DOUBLE' if name == 'exp' else ''}, 9) AS {c}_{TRANSFORMS[name][0]}"
+        return F.round(F.col(out) / scale, 9).alias(out) if inexact else F.col(out)
+    sql = f"({_DUCK[name].format(x=c)}){'/1e21::DOUBLE' if name == 'exp' else ''}"
+    return f"round({sql}, 9) AS {out}" if inexact else f"{sql} AS {out}"
 
 
 @query("tab_transforms_all", "SELECT c_custkey, " + ", ".join(_tx("c_acctbal", n, False) for n in TRANSFORMS) + " FROM customer")
@@ -178,9 +182,9 @@ def self_group_mean_count(spark, d):
     return rounded(group_statistics(df, ["o_orderstatus"], ["o_totalprice"]).drop("o_orderstatus", "o_totalprice"))
 
 
-def _ts(spark: SparkSession, d: str, group: str, **how) -> DataFrame:
-    e = timeseries.TimeSeriesEngine(["ts", "event_id"], ["user_id"], [group], **how)
-    return rounded(e.transform(t(spark, d, "events"), ["value"]))
+def _ts(spark: SparkSession, d: str, group: str, digits: int | None = 6) -> DataFrame:
+    out = timeseries.TimeSeriesEngine(["ts", "event_id"], ["user_id"], [group]).transform(t(spark, d, "events"), ["value"])
+    return out if digits is None else rounded(out, digits)
 
 
 _BASE = """WITH s AS (SELECT user_id, value AS x, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n,
@@ -242,7 +246,7 @@ _AMP = lambda k: f"sqrt(power(sum(x*cos({2 * math.pi * k!r}*i/n)),2)+power(sum(x
 
 @query("ts_fft", _ts_sql({**{f"fft_coeff_{k}": f"CASE WHEN max(n)>=4 AND max(n)//2>={k} THEN {_r(_AMP(k), 4)} END" for k in range(1, 11)}, "spectral_energy": "CASE WHEN count(x)>=4 THEN round(count(x)*sum(x*x),2) END"}))
 def ts_fft(spark, d):
-    out = _ts(spark, d, "fft").drop("value_dominant_freq_idx")
+    out = _ts(spark, d, "fft", None).drop("value_dominant_freq_idx")
     return out.select("user_id", *[F.round(c, 2 if c.endswith("energy") else 4).alias(c) for c in out.columns if c != "user_id"])
 
 
@@ -251,14 +255,15 @@ def ts_dominant_freq(spark, d):
     return _ts(spark, d, "fft").select("user_id", "value_dominant_freq_idx")
 
 
-@query("ts_energy", _ts_sql({"abs_energy": _2(_r("sum(x*x)", 4)), "mean_abs_change": _r("avg(abs(x-p1))", 4), "mean_second_deriv_central": _r("avg(x-2*p1+p2)", 4), "rms": _2(_r("sqrt(avg(x*x))", 4)), "crest_factor": "CASE WHEN count(x)>=2 AND sqrt(avg(x*x))>0 THEN round(max(abs(x))/sqrt(avg(x*x)),4) END"}))
+@query("ts_energy", _ts_sql({"abs_energy": _2(_r("sum(x*x)", 4)), "mean_abs_change": _r("avg(abs(x-p1))", 5), "mean_second_deriv_central": _r("avg(x-2*p1+p2)", 5), "rms": _2(_r("sqrt(avg(x*x))", 5)), "crest_factor": "CASE WHEN count(x)>=2 AND sqrt(avg(x*x))>0 THEN round(max(abs(x))/sqrt(avg(x*x)),4) END"}))
 def ts_energy(spark, d):
-    return rounded(_ts(spark, d, "energy"), 4)
+    out = _ts(spark, d, "energy", None)
+    return out.select("user_id", *[F.round(c, 4 if c.endswith(("energy", "factor")) else 5).alias(c) for c in out.columns if c != "user_id"])
 
 
 @query("ts_complexity", _ts_sql({"cid_ce": _3(_r("sqrt(sum((x-p1)*(x-p1)))", 4)), "c3": _r("avg(x*p1*p2)", 2), "ratio_unique_values": _3(_r("count(DISTINCT x)/count(x)", 4)), "has_duplicate": _3("(count(DISTINCT x)<count(x))::INT"), "has_duplicate_max": _3("(max(same) FILTER (x=hi)>1)::INT"), "has_duplicate_min": _3("(max(same) FILTER (x=lo)>1)::INT"), "sum_reoccurring_values": _3(_r("coalesce(sum(x) FILTER (same>1),0)", 4)), "sum_reoccurring_data_points": _3("(count(*) FILTER (same>1))::BIGINT"), "pct_reoccurring_data_points": _3(_r("(count(*) FILTER (same>1))/count(x)", 4))}))
 def ts_complexity(spark, d):
-    out = _ts(spark, d, "complexity")
+    out = _ts(spark, d, "complexity", None)
     return out.select(*[F.round(c, 2 if c == "value_c3" else 4).alias(c) if k == "double" else c for c, k in out.dtypes])
 
 
