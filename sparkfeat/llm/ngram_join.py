@@ -6,7 +6,8 @@ Two n-gram sets with Jaccard similarity of at least t share a token among the fi
 pass under all of them are few.
 
 * Order 1 sorts tokens by the number of sets they occur in, counted over all documents.  Tokens go
-  to the partitions that count them as packed, compressed columns of 40-bit keys.  Those of a
+  to the partitions that count them as packed, compressed columns of keys just long enough to tell
+  them apart (equal keys only move a token within the order).  Those of a
   single set come first in the order and link nothing, so a document in which they fill the prefix
   has no partner and is done; of the others the rest of the prefix is joined by token.
 * Linked documents are brought together with their texts, each once; a component of more than
@@ -29,7 +30,7 @@ from . import textscan as ts
 from .common import components, parts, shared_folder, stored, table
 
 N, THRESHOLD, ORDERS, BLOCK = 3, 0.6, 3, 4096
-KEY_BITS, FLUSH, FILTER_BITS = 40, 3_000_000, 26
+SPARE_BITS, FLUSH, FILTER_BITS = 10, 3_000_000, 26
 PAIRS = "doc_a long, doc_b long, jaccard double"
 PACKED = "part int, packed binary"
 
@@ -61,7 +62,7 @@ def _profile(n: int):
             for c in ts.chunks(b):
                 h, _, _, rows, _ = ts.words(c)
                 r, g = ts.shingles(h, rows, c.num_rows, n)
-                yield pa.RecordBatch.from_arrays([c.column(0), pa.array(signatures(r, g, c.num_rows).view(np.int64))], names=["doc_id", "sig"])
+                yield pa.RecordBatch.from_arrays([c.column(0), pa.array(signatures(r, g, c.num_rows).view(np.int64)), pa.array(np.bincount(r, minlength=c.num_rows))], names=["doc_id", "sig", "n"])
 
     return run
 
@@ -91,15 +92,15 @@ def _packed_rows(cut: np.ndarray, make) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keep.astype(np.int32)), pa.array([make(int(cut[k]), int(cut[k + 1])) for k in keep], pa.binary())], names=["part", "packed"])
 
 
-def _tokens(n: int, n_parts: int):
+def _tokens(n: int, n_parts: int, bits: int):
     """Every document's tokens to the partitions of their keys, keys sorted and as differences."""
 
     def flush(g: list[np.ndarray], d: list[np.ndarray], sig: list[np.ndarray], size: list[np.ndarray]) -> pa.RecordBatch:
-        key, doc = np.concatenate(g) >> ts.U64(64 - KEY_BITS), np.concatenate(d)
+        key, doc = np.concatenate(g) >> ts.U64(64 - bits), np.concatenate(d)
         sigs, sizes = np.concatenate(sig), np.concatenate(size)
         by = np.argsort(key)
         key, doc = key[by].astype(np.int64), doc[by]
-        cut = np.searchsorted(key, [((k << KEY_BITS) + n_parts - 1) // n_parts for k in range(n_parts + 1)])
+        cut = np.searchsorted(key, [((k << bits) + n_parts - 1) // n_parts for k in range(n_parts + 1)])
 
         def make(lo: int, hi: int) -> bytes:
             who, at = np.unique(doc[lo:hi], return_inverse=True)
@@ -135,25 +136,29 @@ def _frequencies(n_parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in ts.grouped(batches, "part"):
-            key, sig, size = [], [], []
+            key, who, sigs, sizes, base = [], [], [], [], 0
             for x in group.column("packed"):
                 k, at, s, m = unpack(x.as_py())
                 key.append(np.cumsum(k))
-                sig.append(s[at])
-                size.append(m[at])
-            key, sig, size = np.concatenate(key), np.concatenate(sig), np.concatenate(size)
+                who.append((at + base).astype(np.int32))
+                sigs.append(s)
+                sizes.append(m)
+                base += len(s)
+            table, first, inv = np.unique(np.concatenate(sigs), return_index=True, return_inverse=True)
+            heads = np.concatenate(sizes)[first]
+            key, who = np.concatenate(key), inv.astype(np.int32)[np.concatenate(who)]
             by = np.argsort(key)
             key = key[by]
             more = np.zeros(len(key), dtype=bool)
             more[1:] = key[1:] == key[:-1]
             more[:-1] |= more[1:].copy()
-            by, key = by[more], key[more]
-            sig, size = sig[by], size[by]
-            by = np.lexsort((sig, key))
-            key, sig, size = key[by], sig[by], size[by]
+            key, who = key[more], who[by[more]]
+            by = np.lexsort((who, key))
+            key, who = key[by], who[by]
             first = np.ones(len(key), dtype=bool)
-            first[1:] = (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])
-            key, sig, size = key[first], sig[first], size[first]
+            first[1:] = (key[1:] != key[:-1]) | (who[1:] != who[:-1])
+            key, who = key[first], who[first]
+            sig, size = table[who], heads[who]
             if not len(key):
                 continue
             start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -378,10 +383,13 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, orders
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     shared_folder(spark)
-    sets = stored(d.mapInArrow(_profile(n), "doc_id long, sig long").where("sig <> 0").distinct())
+    sets = stored(d.mapInArrow(_profile(n), "doc_id long, sig long, n long").where("sig <> 0").distinct())
     rep = sets.groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    k = parts(spark)
-    shared = d.mapInArrow(_tokens(n, k), PACKED).repartition("part").sortWithinPartitions("part").mapInArrow(_frequencies(k), PACKED)
+    # a vertex has a head in every partition that its tokens go to, so few large partitions move least
+    k = max(1, parts(spark) // 2)
+    total = rep.join(sets, "sig").where("doc_id = rep").agg(F.sum("n")).first()[0] or 1
+    bits = min(63, max(24, int(total).bit_length() + SPARE_BITS))
+    shared = d.mapInArrow(_tokens(n, k, bits), PACKED).repartition("part").sortWithinPartitions("part").mapInArrow(_frequencies(k), PACKED)
     prefix = shared.repartition("part").sortWithinPartitions("part").mapInArrow(_prefix_rows(threshold), "token long, sig long")
     links = prefix.repartition("token").mapInArrow(_links, "a long, b long")
     comps = components(links)
