@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - as pa.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -336,7 +337,7 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bits_of(ids: pa.Array) -> np.ndarray:
-    h = ts.mix(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(ts.U64))
+    h = ts.mix(pa.compute.fill_null(ids.cast(pa.int64()), 0).to_numpy(zero_copy_only=False).view(ts.U64))
     return np.stack([h >> ts.U64(64 - FILTER_BITS), h & ts.U64((1 << FILTER_BITS) - 1)]).astype(np.int64)
 
 
@@ -346,22 +347,27 @@ def _either(t: pa.Table) -> pa.Table:
     return pa.table({"part": t.column("part")[:1].cast(pa.int32()), "packed": pa.array([both.tobytes()], pa.binary())})
 
 
-def maybe_in(d: DataFrame, some: DataFrame) -> DataFrame:
+def maybe_in(d: DataFrame, some: DataFrame, inside: bool = True) -> DataFrame:
     """The rows of ``d`` whose doc_id a Bloom filter does not rule out of ``some``, so that few texts are shuffled.
 
-    The filter has 2**FILTER_BITS bits at any size of the data; once it is full it lets rows pass
-    that the join after it drops.
+    Or, not ``inside``, the other rows: those with null doc_id and those that are surely not in
+    ``some``.  The filter has 2**FILTER_BITS bits at any size of the data; once it is full it lets
+    rows pass that the join after it drops.
     """
     size = (1 << FILTER_BITS) // 512
     bits = np.zeros((64, size), dtype=np.uint8)
     for r in some.select("doc_id").coalesce(4).mapInArrow(_mark, PACKED).groupBy("part").applyInArrow(_either, PACKED).collect():
         bits[r["part"]] = np.frombuffer(r["packed"], np.uint8)
     sent = d.sparkSession.sparkContext.broadcast(bits.ravel())
+    where = d.columns.index("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = _bits_of(b.column(0))
-            yield b.filter(pa.array(((sent.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool).all(axis=0)))
+            ids = b.column(where)
+            at = _bits_of(ids)
+            hit = ((sent.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool).all(axis=0)
+            hit &= ~pa.compute.is_null(ids).to_numpy(zero_copy_only=False)
+            yield b.filter(pa.array(hit == inside))
 
     return d.mapInArrow(run, d.schema)
 
@@ -426,11 +432,14 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     """
     pairs = ngram_join(docs, **how)
     groups = components(pairs, "doc_a", "doc_b")
-    gone = groups.where("node <> root").select(F.col("node").alias("doc_id"))
-    left = docs.join(gone, "doc_id", "left_anti")
+    gone = stored(groups.where("node <> root").select(F.col("node").alias("doc_id")))
+    left = maybe_in(docs, gone, False).unionByName(maybe_in(docs, gone).join(gone, "doc_id", "left_anti").select(*docs.columns))
     again = stored(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    once = left.join(again, "doc_id", "left_anti")
-    return once.unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    if again.isEmpty():
+        return left
+    some = maybe_in(left, again)
+    once = maybe_in(left, again, False).unionByName(some.join(again, "doc_id", "left_anti").select(*docs.columns))
+    return once.unionByName(some.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
