@@ -25,7 +25,7 @@ from .common import parts, shared_folder, table
 from .ngram_join import pack, unpack
 
 PACKED = "part int, packed binary, right binary, left binary"
-FLUSH = 24_000_000
+FLUSH = 6_000_000
 
 
 def words_text(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
