@@ -6,8 +6,12 @@ no kept neighbour covers (Subramanya et al., 2019), links are made mutual, and t
 lists are united.  Every vector is then a query: a greedy search walks from its shard's medoid over the united lists;
 once within the radius it expands everything in range it meets (range search of Manohar
 et al., 2024), and what it found is carried on across shards along the united lists until nothing
-new is in range.  All pairs are verified by their cosine.  Recall is audited against brute force for
-queries chosen by hash; while it is under ``least_recall`` the shards overlap more.
+new is in range.  All pairs are verified by their cosine.
+
+Recall is audited against brute force for queries in hash order, drawn until enough of them have a
+partner.  While it is under ``least_recall`` the shards overlap more, as long as that costs less than
+comparing all nodes in blocks; then they are compared.  An audit that had to draw every node is such
+a comparison, and its pairs are the result.
 
 Equal vectors are one node of all this; the copies rejoin at the end.
 """
@@ -26,6 +30,8 @@ from .common import shared_folder, stored, table
 
 COSINE, SHARD, OVERLAP, DEGREE, ALPHA, BEAM, AUDIT, LEAST_RECALL = 0.9, 1000, 2, 24, 1.2, 24, 64, 0.95
 SAMPLE, MAX_CENTRES = 20_000, 16_384
+#: Floats of a block of audit queries, and the comparisons that cost as much as a place in a shard.
+BLOCK, PLACE = 1 << 20, 256
 PAIRS = "vec_a long, vec_b long, cosine double"
 
 
@@ -238,13 +244,68 @@ def near_pairs(n: DataFrame, count: int, radius: float, shard: int, overlap: int
     return found
 
 
-def audit(n: DataFrame, found: DataFrame, radius: float, queries: int) -> float:
-    """Share of the true pairs of some nodes, chosen by hash, that were found; 1.0 if they have none."""
-    q = n.orderBy(F.xxhash64("node", F.lit(11)), "node").limit(queries).select(F.col("node").alias("q"), F.col("v").alias("vq"))
-    q = stored(q)
-    true = n.crossJoin(F.broadcast(q)).where("node <> q").where(cosine(F.col("v"), F.col("vq")) >= radius).select(F.least("node", "q").alias("a"), F.greatest("node", "q").alias("b")).distinct()
+def _compare(sent, radius: float):
+    """(q, a, b, cosine) of the pairs that a block of queries makes with all nodes; the cosine in doubles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x = sent.value
+        near, exact = unit(x), unit(x.astype(np.float64))
+        for b in batches:
+            for lo in range(0, b.num_rows, 512):
+                s = b.slice(lo, 512)
+                node, v = s.column(0).to_numpy(), matrix(s.column(1))
+                r, c = np.nonzero(unit(v) @ near.T >= radius - 1e-4)
+                cos = np.einsum("ij,ij->i", unit(v.astype(np.float64))[r], exact[c])
+                ok = (cos >= radius) & (node[r] != ids[c])
+                q, other = ids[c[ok]], node[r[ok]]
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.minimum(q, other)), pa.array(np.maximum(q, other)), pa.array(cos[ok])], names=["q", "a", "b", "cosine"])
+
+    return run
+
+
+def true_pairs(n: DataFrame, radius: float, queries: int | None) -> tuple[DataFrame, bool]:
+    """(the true pairs (a, b, cosine) of nodes drawn in hash order, whether every node was drawn).
+
+    Nodes are drawn, in growing blocks, until ``queries`` of them have a partner; all if it is None.
+    """
+    spark = n.sparkSession
+    by = n.withColumn("h", F.xxhash64("node", F.lit(11)))
+    parts, last, partnered, size = [], None, 0, queries
+    while queries is None or partnered < queries:
+        rest = by if last is None else by.where((F.col("h") > last[0]) | ((F.col("h") == last[0]) & (F.col("node") > last[1])))
+        most = max(64, BLOCK // max(1, parts[0][1])) if parts else 64
+        limit = most if size is None else min(size, most)
+        q = rest.orderBy("h", "node").limit(limit).select("h", "node", "v").toArrow()
+        if not q.num_rows:
+            break
+        x = matrix(q.column("v"))
+        last = (q.column("h")[-1].as_py(), q.column("node")[-1].as_py())
+        sent = spark.sparkContext.broadcast((q.column("node").to_numpy(), x))
+        found = stored(n.select("node", "v").mapInArrow(_compare(sent, radius), "q long, a long, b long, cosine double"))
+        sent.unpersist()
+        partnered += found.select("q").distinct().count()
+        parts.append((found, x.shape[1]))
+        size = size and 4 * size
+        if q.num_rows < limit:
+            break
+    else:
+        rest = by.where((F.col("h") > last[0]) | ((F.col("h") == last[0]) & (F.col("node") > last[1])))
+        if not rest.isEmpty():
+            return _united(parts), False
+    return _united(parts), True
+
+
+def _united(parts: list[tuple[DataFrame, int]]) -> DataFrame:
+    out = parts[0][0]
+    for df, _ in parts[1:]:
+        out = out.unionByName(df)
+    return out.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+
+
+def recall(true: DataFrame, found: DataFrame) -> float:
+    """Share of some true pairs, of which there is at least one, that were found."""
     r = true.join(found.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left").agg(F.count("*").alias("n"), F.count("hit").alias("k")).first()
-    return r["k"] / r["n"] if r["n"] else 1.0
+    return r["k"] / r["n"]
 
 
 def near_duplicates(embeddings: DataFrame, radius: float = COSINE, shard: int = SHARD, overlap: int = OVERLAP, degree: int = DEGREE, alpha: float = ALPHA, beam: int = BEAM, queries: int = AUDIT, least_recall: float = LEAST_RECALL) -> DataFrame:
@@ -263,11 +324,14 @@ def near_duplicates(embeddings: DataFrame, radius: float = COSINE, shard: int =
     same = copies.where("node <> vec_id").select(F.least("node", "vec_id").alias("vec_a"), F.greatest("node", "vec_id").alias("vec_b"), F.lit(1.0).alias("cosine"))
     if count < 2:
         return same.distinct()
-    while True:
-        found = near_pairs(n, count, radius, shard, overlap, degree, alpha, beam)
-        if audit(n, found, radius, queries) >= least_recall or overlap >= 8:
-            break
-        overlap *= 2
+    found, whole = true_pairs(n, radius, queries)
+    if not whole:
+        true = stored(found)
+        while recall(true, found := near_pairs(n, count, radius, shard, overlap, degree, alpha, beam)) < least_recall:
+            overlap *= 2
+            if overlap * shard * PLACE >= count:
+                found, _ = true_pairs(n, radius, None)
+                break
     near = found.select(F.col("a").alias("vec_a"), F.col("b").alias("vec_b"), F.round("cosine", 6).alias("cosine"))
     return near.unionByName(same).groupBy("vec_a", "vec_b").agg(F.max("cosine").alias("cosine"))
 

@@ -45,3 +45,22 @@ def test_odd_rows(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     assert {(r.vec_a, r.vec_b, r.cosine) for r in gd.near_duplicates(df).collect()} == {(1, 2, 1.0), (1, 3, 1.0)}
     assert gd.near_duplicates(df.limit(0)).count() == 0
+
+
+def planted(n, pairs, dim=64, seed=3):
+    """Isotropic vectors of which ``pairs`` have one partner each, at a cosine of about 0.92."""
+    rng = np.random.default_rng(seed)
+    x = gd.unit(rng.standard_normal((n, dim))).astype(np.float32)
+    for k in range(pairs):
+        x[2 * k + 1] = x[2 * k] + 0.42 * gd.unit(rng.standard_normal((1, dim)))[0]
+    return x
+
+
+def test_recall_is_met_with_many_shards_and_isolated_pairs(spark):
+    for n, pairs in ((2000, 12), (2000, 600)):
+        x = planted(n, pairs)
+        u = gd.unit(x.astype(np.float64))
+        want = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(u @ u.T >= 0.9, 1)))}
+        df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+        got = {(r.vec_a, r.vec_b) for r in gd.near_duplicates(df, shard=10, overlap=1).collect()}
+        assert got <= want and len(got) >= 0.95 * len(want) and len(want) >= 0.9 * pairs
