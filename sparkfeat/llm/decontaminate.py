@@ -6,7 +6,8 @@ cosine with an item), without those that most passages share.  A randomised SVD
 passages' leading right singular vectors: every task adds its part of Y = A'(A Omega) for a random
 Omega, the parts are summed in a shuffle, and the Nystroem form Y (Omega' Y)^-1 Y' of A'A gives
 them (Halko et al., 2011; Tropp et al., 2017).  A passage is a candidate for an item if their cosine
-in that latent space is high enough.  Candidates are verified on the words: the longest common
+in that latent space is high enough.  An item longer than a passage is sought by its stretches, cut
+evenly, each a vector of its own.  Candidates are verified on the words: the longest common
 subsequence of item and passage must cover the item, and that of its answer, the last quarter
 of its words, the answer.  So reordered neighbours, inserted and replaced words are still found.
 
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import table
+from .common import ceil_tol, table
 
 PASSAGE, RANK, MAX_DF, COSINE, LCS, ANSWER = 64, 112, 0.01, 0.2, 0.7, 0.5
 FOUND = "doc_id long, item_id long, cosine double, lcs double, answer double"
@@ -36,10 +37,13 @@ class Plan(NamedTuple):
     terms: np.ndarray  # sorted word hashes, without those that too many passages hold
     idf: np.ndarray
     basis: np.ndarray  # terms x rank
-    latent: np.ndarray  # items x rank, unit rows
+    latent: np.ndarray  # stretches x rank, unit rows
     items: list[tuple[int, list[int]]]  # item_id and word hashes
-    holds: np.ndarray  # items x terms
-    distinct: np.ndarray  # each item's number of distinct terms
+    of: np.ndarray  # each stretch's item
+    holds: np.ndarray  # stretches x terms
+    total: list[int]  # each item's number of distinct terms, summed over its stretches
+    words: np.ndarray  # sorted word hashes of all items
+    has: np.ndarray  # items x words
 
 
 def rows_of(c: pa.RecordBatch, terms: np.ndarray, passage: int):
@@ -157,7 +161,7 @@ def plan(docs: DataFrame, benchmark: DataFrame, passage: int = PASSAGE, rank: in
     items = words_of_items(benchmark)
     if not items:
         return None
-    terms = np.unique(np.array([w for _, ws in items for w in ws], dtype=ts.U64))
+    terms = words = np.unique(np.array([w for _, ws in items for w in ws], dtype=ts.U64))
     text = docs.select(F.lit(0).alias("k"), F.col("text").cast("string").alias("text"))
     counted = {r["term"]: r["n"] for r in text.mapInArrow(_counts(terms, passage), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     total = counted.pop(-1, 0) or 0
@@ -177,15 +181,42 @@ def plan(docs: DataFrame, benchmark: DataFrame, passage: int = PASSAGE, rank: in
         y[r["term"]] = np.frombuffer(r["v"], np.float64)
     sent.unpersist()
     basis = nystrom_basis(y, omega.astype(np.float64), rank).astype(np.float32)
-    latent = np.zeros((len(items), basis.shape[1]), np.float32)
-    holds = np.zeros((len(items), len(terms)), dtype=bool)
-    for k, (_, ws) in enumerate(items):
-        mine = np.array(ws, dtype=ts.U64)
+    cut = [(k, part) for k, (_, ws) in enumerate(items) for part in stretches(ws, passage)]
+    latent = np.zeros((len(cut), basis.shape[1]), np.float32)
+    holds = np.zeros((len(cut), len(terms)), dtype=bool)
+    for j, (_, part) in enumerate(cut):
+        mine = np.array(part, dtype=ts.U64)
         t, n = np.unique(np.searchsorted(terms, mine[np.isin(mine, terms)]), return_counts=True)
         v = ((1 + np.log(n)) * idf[t]).astype(np.float32) @ basis[t]
-        holds[k, t] = True
-        latent[k] = v / max(float(np.linalg.norm(v)), 1e-12)
-    return Plan(terms, idf, basis, latent, items, holds, holds.sum(axis=1))
+        holds[j, t] = True
+        latent[j] = v / max(float(np.linalg.norm(v)), 1e-12)
+    item = np.array([k for k, _ in cut])
+    has = np.zeros((len(items), len(words)), dtype=bool)
+    for k, own in enumerate(of):
+        has[k, own] = True
+    return Plan(terms, idf, basis, latent, items, item, holds, np.bincount(item, weights=holds.sum(axis=1)).astype(int).tolist(), words, has)
+
+
+def stretches(ws: list[int], passage: int) -> list[list[int]]:
+    """An item's words in as few even stretches of at most a passage as they take."""
+    c = -(-len(ws) // passage)
+    return [ws[k * len(ws) // c : (k + 1) * len(ws) // c] for k in range(c)]
+
+
+def window(n: int) -> int:
+    """Words of the region in which an item of ``n`` words is verified."""
+    return -(-3 * n // 2) + 2 * (n // 4)
+
+
+def least_held(n: int, total: int, passage: int, least: float) -> int:
+    """Distinct terms that some stretch of a verified item has in some passage, at the least.
+
+    At most ``lost`` of the item's ``n`` words have no match, and the region of the others is
+    covered by so many pairs of a stretch and a passage that follow each other.
+    """
+    lost = n - ceil_tol(least * n)
+    pairs = (window(n) + -(-n // passage) * (passage // 2 - 1 + passage - 1)) // passage
+    return max(1, -(-(total - lost) // pairs))
 
 
 def lcs(a: list[int], b: list[int]) -> int:
@@ -212,27 +243,39 @@ def matches(c: pa.RecordBatch, plan: Plan, passage: int, cosine: float, least: f
         return []
     v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
     best: dict[tuple[int, int], tuple[float, float, float]] = {}
+    long = np.array([len(ws) for _, ws in plan.items])
+    need = np.array([least_held(m, total, passage, least) for m, total in zip(long.tolist(), plan.total)])
+    lost = long - np.array([ceil_tol(least * m) for m in long.tolist()])
+    known = plan.has.sum(axis=1)
+    word = np.minimum(np.searchsorted(plan.words, h), len(plan.words) - 1)
+    inside = plan.words[word] == h
     begin, end = np.searchsorted(p, rows), np.searchsorted(p, rows, side="right")
     for lo in range(0, len(rows), 4096):
         cos = v[lo : lo + 4096] @ plan.latent.T
-        i_all, k_all = np.nonzero(cos >= cosine)
-        # an item's best passage holds most of it: two in five of its distinct terms at the least
+        i_all, j_all = np.nonzero(cos >= cosine)
+        # what the longest common subsequence implies: of the stretch's distinct terms in the passage,
         size = end[lo + i_all] - begin[lo + i_all]
-        held = plan.holds[np.repeat(k_all, size), t[ts.ranges(begin[lo + i_all], size)]]
+        held = plan.holds[np.repeat(j_all, size), t[ts.ranges(begin[lo + i_all], size)]]
         held = np.concatenate([[0], np.cumsum(held)])
         stop = np.cumsum(size)
-        enough = held[stop] - held[stop - size] >= 0.4 * plan.distinct[k_all]
-        for i, k in zip(i_all[enough].tolist(), k_all[enough].tolist()):
-            q = rows[lo + i]
-            r, s = int(row_of[q]), int(start[q])
+        enough = held[stop] - held[stop - size] >= need[plan.of[j_all]]
+        i_all, j_all = i_all[enough], j_all[enough]
+        # and of the item's words in the region around it
+        k_all = plan.of[j_all]
+        own = row_of[rows[lo + i_all]]
+        a_all = np.maximum(first[own], start[rows[lo + i_all]] - long[k_all])
+        e_all = np.minimum(first[own] + n[own], start[rows[lo + i_all]] + passage + long[k_all])
+        for i, j, k, a, e in zip(i_all.tolist(), j_all.tolist(), k_all.tolist(), a_all.tolist(), e_all.tolist()):
+            w_in = word[a:e][inside[a:e]]
+            w_in = w_in[plan.has[k, w_in]]
+            if len(w_in) < least * long[k] or len(w_in) < known[k] - lost[k] or len(set(w_in.tolist())) < known[k] - lost[k]:
+                continue
+            r = int(row_of[rows[lo + i]])
             item_id, ws = plan.items[k]
             if best.get((r, item_id), (0, 0, 0))[1] >= 1.0:
                 continue
-            a, e = max(int(first[r]), s - len(ws)), min(int(first[r] + n[r]), s + passage + len(ws))
             region = h[a:e].tolist()
             full, share, said = set(ws), 0.0, 0.0
-            if sum(x in full for x in region) < least * len(ws):
-                continue
             # the densest stretch, of 1.5 times the item's length
             width = -(-3 * len(ws) // 2)
             hits = np.concatenate([[0], np.cumsum([x in full for x in region])])
@@ -245,7 +288,7 @@ def matches(c: pa.RecordBatch, plan: Plan, passage: int, cosine: float, least: f
             said = lcs(tail, near) / len(tail)
             if share >= least and said >= answer:
                 key = (r, item_id)
-                got = (float(cos[i, k]), share, said)
+                got = (float(cos[i, j]), share, said)
                 best[key] = max(best.get(key, got), got, key=lambda x: (x[1], x[2], x[0]))
     return [(r, item, *x) for (r, item), x in sorted(best.items())]
 

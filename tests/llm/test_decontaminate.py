@@ -70,3 +70,22 @@ def test_odd_rows(spark):
     none = bench.limit(0)
     assert dc.contaminated(docs, none).count() == 0 and dc.drop_contaminated(docs, none).count() == 7
     assert dc.contaminated(docs.limit(0), bench).count() == 0
+
+
+def test_long_items_and_paraphrases_without_their_rare_words(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    common = [f"c{k}" for k in range(40)]
+    pad = lambda k: [r.choice(common) for _ in range(k)]
+    items = [[word() for _ in range(m)] for m in (150, 400, 1200)]
+    items.append([word() if k in (0, 4, 8, 12, 16, 20, 24, 28, 32, 36, 38, 39) else common[k] for k in range(40)])
+    docs, want = [], set()
+    for i, ws in enumerate(items):
+        leaks = [ws, [word() if k % 4 == 1 else w for k, w in enumerate(ws)]] if i < 3 else [ws, [word() if w not in common and k < 38 else w for k, w in enumerate(ws)]]
+        for leak in leaks:
+            want.add((len(docs), i))
+            docs.append((len(docs), " ".join(pad(45) + leak + pad(77))))
+    docs += [(k, " ".join(pad(200))) for k in range(len(docs), 400)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(i, " ".join(ws)) for i, ws in enumerate(items)], "item_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in dc.contaminated(d, b).collect()} == want
