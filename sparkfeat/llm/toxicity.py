@@ -28,11 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import table
+from .common import stored, table
 
-DECAY, SPAN, LANDMARKS, MAX_TRAIN = 0.6, 6, 96, 1000
+DECAY, SPAN, LANDMARKS, MAX_TRAIN = 0.6, 6, 96, 2000
 OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 WEIGHT = np.array([DECAY ** (b + 1) for _, b in OFFSETS])
+RUNS = (4, 5)
 SCORES = "doc_id long, score double, toxic int, sentence string"
 
 #: 0 white space, 1-26 letters, 27-30 bytes of other letters, 31 signs and digits.
@@ -266,33 +267,163 @@ def witnesses(docs: list[str], toxic: np.ndarray, support: int) -> tuple[list[by
         odds_of.append(odds)
         clear.append(q == 0)
         base += len(ids)
-    told: list[np.ndarray] = []
+    told = np.zeros(0, np.int64)
     if held:
         of, doc, piece = np.concatenate(held, axis=1)
-        odds, pure = np.concatenate(odds_of), np.concatenate(clear)
-        open_doc = toxic.copy()
-        often = max(4, pos // 20)
-        while len(of):
-            once = np.sort(of * len(docs) + doc)
-            once = once[np.concatenate([[True], once[1:] != once[:-1]])]
-            gain = np.bincount(once // len(docs), minlength=base)
-            fresh = np.bincount(once[open_doc[once % len(docs)]] // len(docs), minlength=base)
-            fit = (fresh >= support) | (pure & (gain >= often))
-            if not fit.any():
-                break
-            k = int(np.argmax(np.where(fit, (gain + fresh) * odds, -1)))
-            mine = np.unique(piece[of == k])
-            told.append(mine)
-            open_doc[doc[of == k]] = False
-            left = ~np.isin(piece, mine)
-            of, doc, piece = of[left], doc[left], piece[left]
+        told = explained(of, doc, piece, np.concatenate(odds_of), np.concatenate(clear), pos, support)
     raw = data.tobytes()
-    found: list[bytes] = []
-    if told:
-        found = [raw[starts[k] : ends[k]] for k in np.concatenate(told).tolist()]
-    clean = np.flatnonzero(~toxic[rows])
-    _, first = np.unique(ts.word_hashes(data, starts[clean], ends[clean]), return_index=True)
-    return found, [raw[starts[k] : ends[k]] for k in clean[first].tolist()]
+    found = [raw[starts[k] : ends[k]] for k in told.tolist()]
+    return found, distinct_pieces([d for d, bad in zip(docs, toxic.tolist()) if not bad])
+
+
+def distinct_pieces(docs: list[str]) -> list[bytes]:
+    data, offs = ts.text_buffer(pa.array(docs, pa.large_string()))
+    data = ts.fold(data)
+    starts, ends, _ = pieces(data, offs)
+    _, first = np.unique(ts.word_hashes(data, starts, ends), return_index=True)
+    raw = data.tobytes()
+    return [raw[starts[k] : ends[k]] for k in first.tolist()]
+
+
+def explained(of: np.ndarray, doc: np.ndarray, piece: np.ndarray, odds: np.ndarray, pure: np.ndarray, pos: int, support: int) -> np.ndarray:
+    """The pieces of toxic documents that hold a chosen run; (of, doc, piece) are the places of the runs that qualify."""
+    told: list[np.ndarray] = []
+    n_docs = int(doc.max(initial=-1)) + 1
+    open_doc = np.ones(n_docs, dtype=bool)
+    often = max(4, pos // 20)
+    while len(of):
+        once = np.unique(of * n_docs + doc)
+        gain = np.bincount(once // n_docs, minlength=len(odds))
+        fresh = np.bincount(once[open_doc[once % n_docs]] // n_docs, minlength=len(odds))
+        fit = (fresh >= support) | (pure & (gain >= often))
+        if not fit.any():
+            break
+        k = int(np.argmax(np.where(fit, (gain + fresh) * odds, -1)))
+        mine = np.unique(piece[of == k])
+        told.append(mine)
+        open_doc[doc[of == k]] = False
+        left = ~np.isin(piece, mine)
+        of, doc, piece = of[left], doc[left], piece[left]
+    return np.concatenate(told) if told else np.zeros(0, np.int64)
+
+
+def letter_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(pieces, runs of letters in them) for each of the lengths; a run's number also tells its length."""
+    code = CODE[data]
+    place = ts.ranges(starts, ends - starts)
+    piece = np.repeat(np.arange(len(starts)), ends - starts)
+    for size in RUNS:
+        gram = np.zeros(len(data), dtype=np.int32)
+        whole = np.ones(len(data), dtype=bool)
+        for k in range(size):
+            shifted = np.concatenate([code[k:], np.zeros(k, np.int32)])
+            gram = (gram << 5) | shifted
+            whole &= (shifted > 0) & (shifted < 31)
+        keep = whole[place] & (place + size <= ends[piece])
+        yield piece[keep], gram[place[keep]].astype(np.int64) | size << 25
+
+
+def _labelled_chunks(batches: Iterator[pa.RecordBatch], ids: np.ndarray, toxic: np.ndarray):
+    """(label numbers, classes, lower-cased bytes, piece starts, ends, rows) of the labelled documents."""
+    for b in batches:
+        for c in ts.chunks(b):
+            doc = c.column(0).to_numpy(zero_copy_only=False)
+            at = np.minimum(np.searchsorted(ids, doc), len(ids) - 1)
+            mine = np.flatnonzero(ids[at] == doc)
+            if len(mine):
+                data, offs = ts.text_buffer(c.column(1).take(pa.array(mine)))
+                data = ts.fold(data)
+                yield at[mine], toxic[at[mine]], data, *pieces(data, offs)
+
+
+def _counts(sent):
+    """(run, toxic documents with it, clean ones) over this task's labelled documents; run 0 counts the documents."""
+
+    def summed(parts: list[np.ndarray]) -> np.ndarray:
+        key, p, q = np.concatenate(parts, axis=1)
+        u, inv = np.unique(key, return_inverse=True)
+        return np.stack([u, np.bincount(inv, weights=p).astype(np.int64), np.bincount(inv, weights=q).astype(np.int64)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[np.ndarray] = []
+        held = 0
+        for _, bad, data, starts, ends, rows in _labelled_chunks(batches, *sent.value):
+            parts.append(np.array([[0], [bad.sum()], [(~bad).sum()]], dtype=np.int64))
+            for piece, gram in letter_runs(data, starts, ends):
+                once = np.unique(gram * len(bad) + rows[piece])
+                key, first = np.unique(once // len(bad), return_index=True)
+                p = np.add.reduceat(bad[once % len(bad)].astype(np.int64), first) if len(key) else first
+                parts.append(np.stack([key, p, np.diff(np.append(first, len(once))) - p]))
+                held += len(key)
+            if held > 2_000_000:
+                parts = [summed(parts)]
+                held = 0
+        if parts:
+            k, p, q = summed(parts)
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(p), pa.array(q)], names=["run", "p", "q"])
+
+    return run
+
+
+def _places(sent):
+    """(doc, piece) of the labelled toxic documents' pieces that hold one of the runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, toxic, runs = sent.value
+        for number, bad, data, starts, ends, rows in _labelled_chunks(batches, ids[toxic], toxic[toxic]):
+            raw = data.tobytes()
+            for k in np.unique(np.concatenate([piece[np.isin(gram, runs)] for piece, gram in letter_runs(data, starts, ends)])).tolist():
+                yield pa.RecordBatch.from_arrays([pa.array([number[rows[k]]]), pa.array([raw[starts[k] : ends[k]]], pa.binary())], names=["doc", "piece"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = list(run(batches))
+        if got:
+            yield from pa.Table.from_batches(got).combine_chunks().to_batches()
+
+    return packed
+
+
+def corpus_witnesses(docs: DataFrame, ids: np.ndarray, toxic: np.ndarray) -> list[bytes]:
+    """What ``witnesses`` finds, over all labelled ``docs``; the driver gets the runs that qualify and the pieces that hold them."""
+    sc = docs.sparkSession.sparkContext
+    text = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sent = sc.broadcast((ids, toxic))
+    counts = stored(text.mapInArrow(_counts(sent), "run long, p long, q long").groupBy("run").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).where("p > 0"))
+    sent.unpersist()
+    size = F.shiftright("run", 25)
+    known = {r["size"]: r for r in counts.groupBy(size.alias("size")).agg(F.count("*").alias("n"), F.sum("p").alias("p"), F.sum("q").alias("q")).collect()}
+    if 0 not in known:
+        return []
+    pos, neg = known[0]["p"], max(1, known[0]["q"])
+    support = max(2 if pos < 20 else 3, pos // 300)
+    t = counts.where((F.col("run") > 0) & (F.col("p") >= support) & (F.col("p") / pos > F.col("q") / neg)).where(F.log((F.col("p") + 0.5) / (pos + 1)) - F.log((F.col("q") + 0.5) / (neg + 1)) >= float(np.log(50))).orderBy("run").toArrow()
+    run, p, q = (t.column(k).to_numpy() for k in ("run", "p", "q"))
+    odds = np.log((p + 0.5) / (pos + 1)) - np.log((q + 0.5) / (neg + 1))
+    share = np.array([pos, neg]) / (pos + neg)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        g2 = 2 * (p * np.log(p / ((p + q) * share[0])) + np.where(q > 0, q * np.log(q / ((p + q) * share[1])), 0))
+    good = g2 >= 2 * np.log(np.array([max(2, known[s]["n"]) for s in (run >> 25).tolist()]))
+    run, q, odds = run[good], q[good], odds[good]
+    if not len(run):
+        return []
+    sent = sc.broadcast((ids, toxic, run))
+    t = text.mapInArrow(_places(sent), "doc long, piece binary").toArrow()
+    sent.unpersist()
+    if not t.num_rows:
+        return []
+    words = t.column("piece").combine_chunks().dictionary_encode()
+    names, which = words.dictionary.to_pylist(), words.indices.to_numpy()
+    order = np.lexsort((np.argsort(np.argsort(np.array(names, dtype=object), kind="stable")).astype(np.int64)[which], t.column("doc").to_numpy()))
+    which, doc = which[order], np.unique(t.column("doc").to_numpy()[order], return_inverse=True)[1]
+    data = np.frombuffer(b" ".join(names) + b" ", dtype=np.uint8)
+    ends = np.cumsum([len(w) + 1 for w in names]) - 1
+    starts = ends - np.array([len(w) for w in names])
+    pairs = np.concatenate([np.stack([piece, gram]) for piece, gram in letter_runs(data, starts, ends)], axis=1)
+    pairs = np.unique(pairs[:, np.isin(pairs[1], run)], axis=1)
+    first, stop = np.searchsorted(pairs[0], which), np.searchsorted(pairs[0], which, side="right")
+    of = np.searchsorted(run, pairs[1])[ts.ranges(first, stop - first)]
+    at = np.repeat(np.arange(len(which)), stop - first)
+    return [names[which[k]] for k in explained(of, doc[at], at, odds, q == 0, pos, support).tolist()]
 
 
 def bare(word: bytes) -> bytes:
@@ -306,13 +437,16 @@ def values(model: Model, texts: list[str]) -> np.ndarray:
     return np.concatenate([model.score(*ts.text_buffer(c.column(0)))[0] for c in ts.chunks(batch)] or [np.zeros(0)])
 
 
-def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, hard: int = 3000, rounds: int = 4) -> Model:
-    """Fits the model on labelled documents; with no toxic witness at all it finds nothing toxic."""
+def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, hard: int = 3000, rounds: int = 4, found: list[bytes] | None = None) -> Model:
+    """Fits the model on labelled documents, and on the witnesses ``found`` if they are known already; with no toxic witness at all it finds nothing toxic."""
     y = np.array(toxic, dtype=bool)
     never = Model(np.zeros(32**3), -1.0, [])
     if not y.any():
         return never
-    found, clean = witnesses(texts, y, support=max(2 if y.sum() < 20 else 3, int(y.sum()) // 300))
+    if found is None:
+        found, clean = witnesses(texts, y, support=max(2 if y.sum() < 20 else 3, int(y.sum()) // 300))
+    else:
+        clean = distinct_pieces([d for d, bad in zip(texts, toxic) if not bad])
     known = {bare(w) for w in clean}
     count = Counter(w for w in map(bare, found) if len(w) >= 3 and w not in known)
     if not count:
@@ -378,13 +512,14 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, hard:
     return model
 
 
-def labelled(docs: DataFrame, labels: DataFrame, most: int) -> tuple[list[str], list[int]]:
-    """At most ``most`` labelled documents of each class, the same ones whatever the order of rows.
-
-    Labels that are null, or that disagree about a doc_id, are not used.
-    """
+def usable(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) without labels that are null, or that disagree about a doc_id."""
     by = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("toxic").alias("lo"), F.max("toxic").alias("hi"))
-    by = by.where("lo = hi and lo in (0, 1)").select("doc_id", F.col("lo").cast("int").alias("toxic"))
+    return by.where("lo = hi and lo in (0, 1)").select("doc_id", F.col("lo").cast("int").alias("toxic"))
+
+
+def labelled(docs: DataFrame, by: DataFrame, most: int) -> tuple[list[str], list[int]]:
+    """At most ``most`` documents of each class of ``usable`` labels, the same ones whatever the order of rows."""
     pick = [by.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for k in (0, 1)]
     chosen = F.broadcast(pick[0].unionByName(pick[1]))
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id").collect()
@@ -393,8 +528,16 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int) -> tuple[list[str],
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
-    """The model of the labelled ``docs``; ``max_train`` bounds the documents of each class that are read for it."""
-    return train(*labelled(docs, labels, max_train))
+    """The model of the labelled ``docs``.
+
+    Witnesses are sought in all of them; ``max_train`` bounds the documents of each class that the
+    clean strings and the cut are taken from.
+    """
+    by = usable(labels)
+    t = by.orderBy("doc_id").toArrow()
+    ids, toxic = t.column("doc_id").to_numpy(), t.column("toxic").to_numpy().astype(bool)
+    found = corpus_witnesses(docs, ids, toxic) if toxic.any() else []
+    return train(*labelled(docs, by, max_train), found=found)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -87,3 +87,17 @@ def test_empty_tables(spark):
     assert tx.score(docs, m).count() == 0
     some = spark.createDataFrame([(1, "abc")], "doc_id long, text string")
     assert [r.toxic for r in tx.score(some, m).collect()] == [0]
+
+
+def test_rare_insults_are_learnt_from_all_labels(spark):
+    r = random.Random(5)
+    texts, y = sentences(6000, 4)
+    clean = [t for t, bad in zip(texts, y) if not bad]
+    rare = [t.replace(" ", " vuxquop ", 1) for t in clean[:20]]
+    rows = [*zip(texts, y), *((t, 1) for t in rare)]
+    r.shuffle(rows)
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, bad) for k, (_, bad) in enumerate(rows)], "doc_id long, toxic int")
+    m = tx.fit(docs, labels)
+    got = m.score(*ts.text_buffer(pa.array(["the vuxquop on", "there vuxquop"])))[0]
+    assert (got > m.cut).all()
