@@ -34,12 +34,12 @@ def _safe(a: Column, b: Column) -> Column:
 class TimeSeriesEngine:
     """``fit`` fixes nothing but the columns; ``transform`` gives one row per entity."""
 
-    def __init__(self, order_cols: list[str], entity_cols: list[str] | None = None, features: list[str] | None = None, window_sizes: tuple[int, ...] = WINDOWS, lags: int = 10, coefficients: int = 10, max_length: int = 5000) -> None:
+    def __init__(self, order_cols: list[str], entity_cols: list[str] | None = None, features: list[str] | None = None, window_sizes: tuple[int, ...] = WINDOWS, lags: int = 10, coefficients: int = 10) -> None:
         if not order_cols:
             raise ValueError("a series needs order_cols")
         self.order, self.entity = list(order_cols), list(entity_cols or [])
         self.groups = [g for g in (DEFAULT if features is None else features) if g in GROUPS]
-        self.windows, self.lags, self.coefficients, self.max_length = window_sizes, lags, coefficients, max_length
+        self.windows, self.lags, self.coefficients = window_sizes, lags, coefficients
 
     def transform(self, df: DataFrame, columns: list[str]) -> DataFrame:
         out = None
@@ -210,12 +210,10 @@ class TimeSeriesEngine:
         return self._by(b).agg(F.when(F.max("n") >= 4, -F.sum(p * F.log(p + 1e-10))).alias(f"{c}_binned_entropy"))
 
     def _per_entity(self, series: DataFrame, names: list[str], fn) -> DataFrame:
-        keys, most = self.entity, self.max_length
+        keys = self.entity
         schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in series.select(*keys).schema.fields] + [f"`{n}` double" for n in names])
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            if len(pdf) > most:
-                raise ValueError(f"a series of {len(pdf)} values exceeds max_length={most}")
             v = pdf.sort_values("i")["x"].to_numpy(dtype=float)
             return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, **{n: [r] for n, r in zip(names, fn(v))}})
 
@@ -231,20 +229,25 @@ class TimeSeriesEngine:
         return self._per_entity(series, [f"{c}_dominant_freq_idx"], fn)
 
 
-def _distances(v: np.ndarray, m: int) -> np.ndarray:
+def _near(v: np.ndarray, m: int, r: float, strict: bool) -> np.ndarray:
+    """For each window of ``m`` values the number of windows within ``r`` of it, itself included; by blocks of rows."""
     e = np.lib.stride_tricks.sliding_window_view(v, m)
-    d = np.zeros((len(e), len(e)))
-    for k in range(m):
-        np.maximum(d, np.abs(e[:, k, None] - e[None, :, k]), out=d)
-    return d
+    out = np.zeros(len(e), dtype=np.int64)
+    step = max(1, 2_000_000 // len(e))
+    for lo in range(0, len(e), step):
+        d = np.zeros((len(e[lo : lo + step]), len(e)))
+        for k in range(m):
+            np.maximum(d, np.abs(e[lo : lo + step, k, None] - e[None, :, k]), out=d)
+        out[lo : lo + step] = ((d < r) if strict else (d <= r)).sum(axis=1)
+    return out
 
 
 def sample_entropy(v: np.ndarray, m: int = 2) -> float:
     r = 0.2 * v.std()
     if len(v) < m + 2 or r == 0:
         return 0.0
-    pairs = lambda size, k: int((_distances(v, size)[np.triu_indices(k, 1)] < r).sum())
-    b, a = pairs(m, len(v) - m + 1), pairs(m + 1, len(v) - m)
+    pairs = lambda size: (int(_near(v, size, r, True).sum()) - (len(v) - size + 1)) // 2
+    b, a = pairs(m), pairs(m + 1)
     return float(-np.log(a / b)) if a and b else 0.0
 
 
@@ -252,7 +255,7 @@ def approximate_entropy(v: np.ndarray, m: int = 2) -> float:
     r = 0.2 * v.std()
     if r == 0:
         return 0.0
-    phi = lambda k: float(np.log((_distances(v, k) <= r).mean(axis=1) + 1e-10).mean())
+    phi = lambda k: float(np.log(_near(v, k, r, False) / (len(v) - k + 1) + 1e-10).mean())
     return abs(phi(m) - phi(m + 1))
 
 

@@ -298,3 +298,15 @@ def test_io_and_cli(spark, tmp_path, capsys):
     assert cli.main(["explain", "--input", src, "--config", str(tmp_path / "c.json")]) == 2
     assert cli.main(["transform", "--input", src, "--output", out, "--max-features", "5"]) == 2
     assert cli.main(["info"]) == 0 and cli.main(["what"]) == 2
+
+
+def test_long_series(spark):
+    n = 6000
+    v = np.sin(2 * np.pi * 7 * np.arange(n) / n) + np.random.default_rng(0).normal(0, 0.1, n)
+    df = spark.createDataFrame([("u", k, float(x)) for k, x in enumerate(v)] + [("w", k, float(k % 3)) for k in range(9)], "u string, i long, x double")
+    got = {g: {r.u: r.asDict() for r in TimeSeriesEngine(["i"], ["u"], [g]).transform(df, ["x"]).collect()} for g in ("fft", "entropy")}
+    assert got["fft"]["u"]["x_dominant_freq_idx"] == 7
+    r = 0.2 * v.std()
+    d = lambda m: [sum(int((np.abs(np.array([v[j : n - m + 1 + j] for j in range(m)]) - v[i : i + m, None]).max(axis=0)[i + 1 :] < r).sum()) for i in range(n - m + 1))]
+    assert abs(got["entropy"]["u"]["x_sample_entropy"] + np.log(d(3)[0] / d(2)[0])) < 1e-4
+    assert set(got["entropy"]) == {"u", "w"}
