@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import textscan as ts
 from .common import components, parts, shared_folder, stored, table
 
-N, THRESHOLD, ORDERS, BLOCK = 3, 0.6, 3, 4096
+N, THRESHOLD, ORDERS, BLOCK = 3, 0.5, 3, 4096
 SPARE_BITS, FLUSH, FILTER_BITS = 10, 3_000_000, 26
 PAIRS = "doc_a long, doc_b long, jaccard double"
 PACKED = "part int, packed binary"

@@ -86,3 +86,10 @@ def test_one_repeated_doc_many_ids(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert nj.ngram_join(df).count() == 199
     assert [r.doc_id for r in nj.keep_one(df).collect()] == [0]
+
+
+def test_default_threshold_joins_edited_copies(spark):
+    w = [f"w{k}" for k in range(60)]
+    edited = [f"new{k}" if k % 12 == 6 else x for k, x in enumerate(w)]
+    rows = [(1, " ".join(w)), (2, " ".join(edited))]
+    assert joined(spark, rows) == {(1, 2): round(43 / 73, 9)}
