@@ -61,3 +61,13 @@ def test_ranks(spark):
     assert all(x.blocked == int(x.host is not None and want["distrust"][x.host] > want["trust"][x.host] and want["distrust"][x.host] * len(got) >= lt.CUT) for x in rows)
     assert any(x.blocked for x in rows) and not all(x.blocked for x in rows)
     assert lt.judged(df.limit(0), rounds=2).count() == 0
+
+
+def test_distrust_reaches_hosts_far_from_a_seed(spark, monkeypatch):
+    monkeypatch.setattr(lt, "DAMPING", 0.5)  # of the brute force: fewer rounds to wait for
+    chain = [f"c{k}.com" for k in range(30)] + ["example.net"]
+    pages = [(k, f"http://{a}/", f"<a href='http://{b}/'>") for k, (a, b) in enumerate(zip(chain[:-1], chain[1:]))]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    want = brute(pages, 200)["distrust"]
+    got = {r.host: r.distrust for r in lt.propagate(df, damping=0.5).collect()}
+    assert set(got) == set(want) and all(abs(got[h] - want[h]) < 1e-10 and got[h] > 0 for h in want)
