@@ -56,3 +56,17 @@ def test_odd_messages(spark):
     got = {g.leaf: g.n_messages for g in rt.conversations_of(rt.messages(turns)).collect()}
     assert got == {"2/2": 2, "3/1": 3}
     assert rt.conversations_of(rt.messages(turns.limit(0))).count() == 0
+
+
+def test_deep_trees_circles_and_a_hot_tree(spark):
+    rows = [(1, f"n{k:04}", f"n{k - 1:04}" if k else None, "user", f"{k}", 1.0, 0) for k in range(700)]  # a chain, and a side branch at every hundredth message
+    rows += [(1, f"s{k:04}", f"n{k:04}", "user", "side", 0.5, 0) for k in range(0, 690, 100)]
+    rows += [(2, f"c{k}", f"c{(k + 1) % 5}", "user", "circle", 1.0, 0) for k in range(5)]
+    rows += [(2, f"h{k}", f"c{k}", "user", "hangs on a circle", 1.0, 0) for k in range(5)]
+    rows += [(3, "o1", "gone", "user", "orphan", 1.0, 0), (3, "o2", "o1", "user", "its reply", 1.0, 0)]
+    rows += [(4, "root", None, "user", "q", 2.0, 0), *((4, f"r{k:03}", "root", "assistant", f"a{k}", float(k % 7), 0) for k in range(400))]
+    got = rt.conversations_of(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(g.conv_id, g.leaf): g.n_messages for g in got} == {(1, "n0699"): 700} | {(1, f"s{k:04}"): k + 2 for k in range(0, 690, 100)} | {(4, f"r{k:03}"): 2 for k in range(400)}
+    assert next(g for g in got if g.leaf == "n0699").text == "".join(f"<|im_start|>user\n{k}<|im_end|>\n" for k in range(700))
+    hot = sorted((g for g in got if g.conv_id == 4), key=lambda g: g.rank)
+    assert [g.rank for g in hot] == list(range(1, 401)) and hot == sorted(hot, key=lambda g: (-g.score, g.leaf))
