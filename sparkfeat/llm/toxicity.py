@@ -31,6 +31,7 @@ from . import textscan as ts
 from .common import stored, table
 
 DECAY, SPAN, LANDMARKS, MAX_TRAIN = 0.6, 6, 96, 2000
+HARD, MOST_FOUND, BEND = 3000, 4000, 150
 OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 WEIGHT = np.array([DECAY ** (b + 1) for _, b in OFFSETS])
 RUNS = (4, 5)
@@ -216,8 +217,8 @@ def svm(x: np.ndarray, y: np.ndarray, c: np.ndarray, rounds: int = 60) -> tuple[
     return w[:-1], float(w[-1])
 
 
-def witnesses(docs: list[str], toxic: np.ndarray, support: int) -> tuple[list[bytes], list[bytes]]:
-    """Pieces that make toxic documents' sentences toxic, and the distinct pieces of clean documents.
+def witnesses(docs: pa.Array, toxic: np.ndarray, support: int) -> list[bytes]:
+    """Pieces that make toxic documents' sentences toxic.
 
     A document's label says that some sentence of it is toxic, not which.  Runs of four and five
     letters are counted by document, and those that toxic documents share and clean ones lack (a
@@ -227,7 +228,7 @@ def witnesses(docs: list[str], toxic: np.ndarray, support: int) -> tuple[list[by
     one.  The pieces that hold a chosen run are the witnesses; other pieces of toxic documents
     teach nothing.
     """
-    data, offs = ts.text_buffer(pa.array(docs, pa.large_string()))
+    data, offs = ts.text_buffer(docs)
     data = ts.fold(data)
     starts, ends, rows = pieces(data, offs)
     code = CODE[data]
@@ -272,17 +273,20 @@ def witnesses(docs: list[str], toxic: np.ndarray, support: int) -> tuple[list[by
         of, doc, piece = np.concatenate(held, axis=1)
         told = explained(of, doc, piece, np.concatenate(odds_of), np.concatenate(clear), pos, support)
     raw = data.tobytes()
-    found = [raw[starts[k] : ends[k]] for k in told.tolist()]
-    return found, distinct_pieces([d for d, bad in zip(docs, toxic.tolist()) if not bad])
+    return [raw[starts[k] : ends[k]] for k in told.tolist()]
 
 
-def distinct_pieces(docs: list[str]) -> list[bytes]:
-    data, offs = ts.text_buffer(pa.array(docs, pa.large_string()))
-    data = ts.fold(data)
-    starts, ends, _ = pieces(data, offs)
-    _, first = np.unique(ts.word_hashes(data, starts, ends), return_index=True)
-    raw = data.tobytes()
-    return [raw[starts[k] : ends[k]] for k in first.tolist()]
+def distinct_pieces(docs: pa.Array) -> set[bytes]:
+    """The distinct pieces of texts, read half a megabyte at a time."""
+    out: set[bytes] = set()
+    for c in ts.chunks(pa.RecordBatch.from_arrays([docs], names=["text"])):
+        data, offs = ts.text_buffer(c.column(0))
+        data = ts.fold(data)
+        starts, ends, _ = pieces(data, offs)
+        _, first = np.unique(ts.word_hashes(data, starts, ends), return_index=True)
+        raw = data.tobytes()
+        out.update(raw[starts[k] : ends[k]] for k in first.tolist())
+    return out
 
 
 def explained(of: np.ndarray, doc: np.ndarray, piece: np.ndarray, odds: np.ndarray, pure: np.ndarray, pos: int, support: int) -> np.ndarray:
@@ -395,7 +399,7 @@ def corpus_witnesses(docs: DataFrame, ids: np.ndarray, toxic: np.ndarray) -> lis
     if 0 not in known:
         return []
     pos, neg = known[0]["p"], max(1, known[0]["q"])
-    support = max(2 if pos < 20 else 3, pos // 300)
+    support = least_support(pos)
     t = counts.where((F.col("run") > 0) & (F.col("p") >= support) & (F.col("p") / pos > F.col("q") / neg)).where(F.log((F.col("p") + 0.5) / (pos + 1)) - F.log((F.col("q") + 0.5) / (neg + 1)) >= float(np.log(50))).orderBy("run").toArrow()
     run, p, q = (t.column(k).to_numpy() for k in ("run", "p", "q"))
     odds = np.log((p + 0.5) / (pos + 1)) - np.log((q + 0.5) / (neg + 1))
@@ -432,29 +436,38 @@ def bare(word: bytes) -> bytes:
     return word[a[0] : a[-1] + 1] if len(a) else b""
 
 
-def values(model: Model, texts: list[str]) -> np.ndarray:
-    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["text"])
+def values(model: Model, texts: pa.Array) -> np.ndarray:
+    batch = pa.RecordBatch.from_arrays([texts], names=["text"])
     return np.concatenate([model.score(*ts.text_buffer(c.column(0)))[0] for c in ts.chunks(batch)] or [np.zeros(0)])
 
 
-def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, hard: int = 3000, rounds: int = 4, found: list[bytes] | None = None) -> Model:
-    """Fits the model on labelled documents, and on the witnesses ``found`` if they are known already; with no toxic witness at all it finds nothing toxic."""
+def least_support(pos: int) -> int:
+    """Toxic documents, of ``pos``, that a run of letters must explain."""
+    return max(3, pos // 300)
+
+
+def train(texts: pa.Array | list[str], toxic: list[int], landmarks: int = LANDMARKS, hard: int = HARD, most_found: int = MOST_FOUND, bend: int = BEND, rounds: int = 4, found: list[bytes] | None = None) -> Model:
+    """Fits the model on labelled documents, and on the witnesses ``found`` if they are known already; with no toxic witness at all it finds nothing toxic.
+
+    The SVM's rows are bounded: the ``most_found`` commonest distinct witnesses, the ``bend`` commonest
+    with a letter inserted at each place, and of the distinct clean pieces ``hard`` at first and as many of
+    the worst judged ones, among all of them, in each of the ``rounds`` after it.
+    """
+    texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts
     y = np.array(toxic, dtype=bool)
     never = Model(np.zeros(32**3), -1.0, [])
     if not y.any():
         return never
     if found is None:
-        found, clean = witnesses(texts, y, support=max(2 if y.sum() < 20 else 3, int(y.sum()) // 300))
-    else:
-        clean = distinct_pieces([d for d, bad in zip(texts, toxic) if not bad])
-    known = {bare(w) for w in clean}
+        found = witnesses(texts, y, least_support(int(y.sum())))
+    known = {bare(w) for w in distinct_pieces(texts.filter(pa.array(~y)))}
     count = Counter(w for w in map(bare, found) if len(w) >= 3 and w not in known)
     if not count:
         return never
     names, freq = sorted(count), np.array([count[w] for w in sorted(count)])
     order = np.argsort(-freq, kind="stable")
-    pos = [names[k] for k in order[:4000]]
-    weight = np.sqrt(freq[order[:4000]].astype(float))
+    pos = [names[k] for k in order[:most_found]]
+    weight = np.sqrt(freq[order[:most_found]].astype(float))
     clean = sorted(known - {b""})
     step = max(1, len(clean) // hard)
     neg = clean[::step][:hard]
@@ -466,7 +479,7 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, hard:
             break
         marks.append(pos[k])
         near = np.maximum(near, kernel(pos, [pos[k]])[:, 0])
-    clean_texts = [w.decode("utf-8", "replace") for w in clean]
+    clean_texts = pa.array([w.decode("utf-8", "replace") for w in clean], pa.large_string())
     model = never
     spread = neg[:: max(1, len(neg) // max(1, landmarks - len(marks)))][: landmarks - len(marks)]
     marks = marks + spread
@@ -475,7 +488,7 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, hard:
     white = vec / np.sqrt(np.maximum(val, 1e-6))
     lr, li, lv = matrix(marks)
     rng = np.random.default_rng(0)
-    bent = [w[:k] + bytes([97 + int(rng.integers(26))]) + w[k:] for w in pos[:150] if len(w) >= 5 for k in range(1, len(w)) if all(x < 128 for x in w[k - 1 : k + 1])]
+    bent = [w[:k] + bytes([97 + int(rng.integers(26))]) + w[k:] for w in pos[:bend] if len(w) >= 5 for k in range(1, len(w)) if all(x < 128 for x in w[k - 1 : k + 1])]
     bent = [w for w in bent if w not in known]
     kp = kernel(pos + bent, marks) @ white
     weight = np.concatenate([weight, np.full(len(bent), 0.5 * weight.sum() / max(1, len(bent)))])
@@ -518,13 +531,12 @@ def usable(labels: DataFrame) -> DataFrame:
     return by.where("lo = hi and lo in (0, 1)").select("doc_id", F.col("lo").cast("int").alias("toxic"))
 
 
-def labelled(docs: DataFrame, by: DataFrame, most: int) -> tuple[list[str], list[int]]:
-    """At most ``most`` documents of each class of ``usable`` labels, the same ones whatever the order of rows."""
+def labelled(docs: DataFrame, by: DataFrame, most: int) -> tuple[pa.Array, list[int]]:
+    """Texts and classes of at most ``most`` documents of each class of ``usable`` labels, the same ones whatever the order of rows."""
     pick = [by.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for k in (0, 1)]
     chosen = F.broadcast(pick[0].unionByName(pick[1]))
-    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return [r["text"] for r in rows], [r["toxic"] for r in rows]
+    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id").orderBy("doc_id", "text").toArrow()
+    return rows.column("text").cast(pa.large_string()).combine_chunks(), rows.column("toxic").to_pylist()
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
