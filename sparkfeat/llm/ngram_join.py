@@ -11,28 +11,33 @@ pass under all of them are few.
   single set come first in the order and link nothing, so a document in which they fill the prefix
   has no partner and is done; of the others the rest of the prefix is joined by token.
 * Linked documents are brought together with their texts, each once; a component of more than
-  ``block`` documents is tiled into pairs of blocks.  There the prefixes under further orders
-  (hash permutations) are intersected, and what is left is verified by exact set intersection.
+  ``block`` documents, or of as many tokens as they have, is tiled into pairs of blocks.  There the prefixes under further
+  orders, of rising frequency as well, are intersected, and what is left is verified by exact counts.
 
-Documents with equal sets are one vertex of all this; the copies rejoin at the end.
+Documents with equal sets are one vertex of all this.  A tile gives each set's number of links and its
+group, so what is written grows with the documents, never with the pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401 - as pa.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from . import bloom
 from . import textscan as ts
 from .common import components, parts, shared_folder, stored, table
 
 N, THRESHOLD, ORDERS, BLOCK = 3, 0.5, 3, 4096
-SPARE_BITS, FLUSH, FILTER_BITS = 10, 3_000_000, 26
-PAIRS = "doc_a long, doc_b long, jaccard double"
+SPARE_BITS, FLUSH = 10, 3_000_000
+#: Tokens a set of a full block has on average at most; cells of a comparison, and places in lists, at a time.
+WORDS, CELLS, WORK = 400, 1 << 21, 1 << 21
 PACKED = "part int, packed binary"
 
 
@@ -40,14 +45,6 @@ def prefix_length(n: np.ndarray, t: float) -> np.ndarray:
     return n - np.ceil(t * n - 1e-9).astype(np.int64) + 1
 
 
-def prefixes(rows: np.ndarray, g: np.ndarray, t: float, order: int) -> np.ndarray:
-    """Places of the prefix tokens, under a hash order, of sets given as (row, token), rows ascending."""
-    by = np.lexsort((ts.mix(g ^ ts.U64(0xA0761D6478BD642F * (order + 1) & (2**64 - 1))), rows))
-    n = np.bincount(rows)
-    rank = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
-    return by[rank < np.repeat(prefix_length(n, t), n)]
-
-
 def signatures(rows: np.ndarray, g: np.ndarray, n_rows: int) -> np.ndarray:
     """A 64-bit hash of each row's set; 0 for the empty set."""
     total = np.concatenate([np.zeros(1, ts.U64), np.cumsum(ts.mix(g ^ ts.U64(0xD6E8FEB86659FD93)), dtype=ts.U64)])
@@ -229,216 +226,290 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
 
-def shared_counts(rows: np.ndarray, g: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """(pair code i*m+j with i<j, shared tokens) of all pairs of m sets that share any token."""
-    by = np.argsort(g, kind="stable")
-    g, rows = g[by], rows[by]
-    new = np.ones(len(g), dtype=bool)
-    new[1:] = g[1:] != g[:-1]
-    start = np.flatnonzero(new)
-    df = np.diff(np.append(start, len(g)))
-    start, df = start[df > 1], df[df > 1]
-    if not len(df):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if float(m) * m * len(df) < 8.0 * float((df.astype(float) ** 2).sum()) * 30 and m <= 2 * BLOCK:
-        gram = np.zeros((m, m), dtype=np.float32)
-        step = max(1, (1 << 22) // m)
-        for lo in range(0, len(df), step):
-            x = np.zeros((m, min(step, len(df) - lo)), dtype=np.float32)
-            d = df[lo : lo + step]
-            x[rows[ts.ranges(start[lo : lo + step], d)], np.repeat(np.arange(len(d)), d)] = 1
-            gram += x @ x.T
-        i, j = np.nonzero(np.triu(gram, 1))
-        return i.astype(np.int64) * m + j, np.rint(gram[i, j]).astype(np.int64)
-    codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = 0
-    work = np.cumsum(df.astype(np.int64) ** 2)
-    while at < len(df):
-        end = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + (1 << 22))))
-        s, d = start[at:end], df[at:end]
-        left = np.repeat(ts.ranges(s, d), np.repeat(d, d))
-        right = ts.ranges(np.repeat(s, d), np.repeat(d, d))
-        keep = left < right
-        a, b = rows[left[keep]], rows[right[keep]]
-        c = np.minimum(a, b).astype(np.int64) * m + np.maximum(a, b)
-        c, k = np.unique(c, return_counts=True)
-        both, inv = np.unique(np.concatenate([codes, c]), return_inverse=True)
-        counts = np.bincount(inv, weights=np.concatenate([counts, k])).astype(np.int64)
-        codes, at = both, end
-    return codes, counts
-
-
-def similar_pairs(ids: np.ndarray, texts: pa.Array, n: int, t: float, orders: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Exact join of some documents: pairs that pass the prefix filter under every order, then verified."""
-    batch = pa.RecordBatch.from_arrays([pa.array(ids), texts], names=["doc_id", "text"])
-    r_all, g_all, base = [], [], 0
-    for c in ts.chunks(batch):
-        h, _, _, rows, _ = ts.words(c)
-        r, g = ts.shingles(h, rows, c.num_rows, n)
-        r_all.append(r + base)
-        g_all.append(g)
-        base += c.num_rows
-    rows, g, m = np.concatenate(r_all), np.concatenate(g_all), len(ids)
-    size = np.bincount(rows, minlength=m)
-    left: np.ndarray | None = None
-    for order in range(1, orders):
-        use = np.flatnonzero(size > 0)
-        dense = np.cumsum(size > 0) - 1
-        at = prefixes(dense[rows], g, t, order)
-        codes, _ = shared_counts(use[dense[rows[at]]], g[at], m)
-        left = codes if left is None else left[np.isin(left, codes)]
-        if not len(left):
-            z = np.zeros(0, np.int64)
-            return z, z, np.zeros(0)
-    i, j = left // m, left % m
-    ratio = np.minimum(size[i], size[j]) >= t * np.maximum(size[i], size[j]) - 1e-9
-    left, i, j = left[ratio], i[ratio], j[ratio]
-    if len(left) * 4 > m:
-        codes, shared = shared_counts(rows, g, m)
-        at = np.searchsorted(codes, left)
-        common = shared[at]
-    else:
-        first = np.cumsum(size) - size
-        common = np.array([len(np.intersect1d(g[first[a] : first[a] + size[a]], g[first[b] : first[b] + size[b]], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist())], dtype=np.int64)
-    jac = common / np.maximum(size[i] + size[j] - common, 1)
-    ok = jac >= t - 1e-12
-    return ids[i[ok]], ids[j[ok]], jac[ok]
+class Side(NamedTuple):
+    """Token sets of one side of a comparison: their tokens as (row, token), rows ascending, and how many sets there are."""
 
+    rows: np.ndarray
+    g: np.ndarray
+    m: int
 
-def _verify(n: int, t: float, orders: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in ts.grouped(batches, "block"):
-            group = group.combine_chunks()
-            ids = group.column("doc_id").to_numpy()
-            by = np.argsort(ids)
-            texts = group.column("text").combine_chunks().take(pa.array(by))
-            a, b, jac = similar_pairs(ids[by], texts, n, t, orders)
-            if not len(a):
-                continue
-            blocks, part = group.column("blocks")[0].as_py(), group.column("part")[0].as_py()
-            if blocks > 1:
-                x, y = np.mod(a, blocks), np.mod(b, blocks)
-                mine = np.minimum(x, y) * blocks + np.maximum(x, y) == part
-                a, b, jac = a[mine], b[mine], jac[mine]
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(jac)], names=["doc_a", "doc_b", "jaccard"])
-
-    return run
 
+def shared_counts(a: Side, b: Side, lo: int, hi: int) -> np.ndarray:
+    """How many tokens each set of ``a`` from lo to hi shares with each of ``b``.
 
-def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(1 << FILTER_BITS, dtype=bool)
-    for b in batches:
-        bits[_bits_of(b.column(0)).ravel()] = True
-    packed = np.packbits(bits).reshape(64, -1)
-    some = np.flatnonzero(packed.any(axis=1))
-    if len(some):
-        blobs = [pa.compress(packed[k].tobytes(), codec="zstd", asbytes=True) for k in some]
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(blobs, pa.binary())], names=["part", "packed"])
+    Tokens in many sets of ``b`` are counted by a matrix product, the others through the lists of their sets.
+    """
+    out = np.zeros((hi - lo) * b.m, np.float32)
+    i, j = np.searchsorted(a.rows, [lo, hi])
+    by = np.argsort(b.g, kind="stable")
+    gb, rb = b.g[by], b.rows[by]
+    start = np.flatnonzero(np.concatenate([[True], gb[1:] != gb[:-1]])) if len(gb) else np.zeros(0, np.int64)
+    if i == j or not len(start):
+        return out.reshape(hi - lo, b.m)
+    df = np.diff(np.append(start, len(gb)))
+    at = np.minimum(np.searchsorted(gb[start], a.g[i:j]), len(start) - 1)
+    hit = gb[start[at]] == a.g[i:j]
+    at, row = at[hit], a.rows[i:j][hit] - lo
+    heavy = df > max(8, b.m // 8)
+    big = heavy[at]
+    if big.any():
+        col = np.cumsum(heavy) - 1
+        which = np.flatnonzero(heavy)
+        x, y = (at[big], row[big])
+        for k in range(0, len(which), 2048):
+            some = which[k : k + 2048]
+            xb = np.zeros((b.m, len(some)), np.float32)
+            xb[rb[ts.ranges(start[some], df[some])], np.repeat(np.arange(len(some)), df[some])] = 1
+            mine = (col[x] >= k) & (col[x] < k + 2048)
+            xa = np.zeros((hi - lo, len(some)), np.float32)
+            xa[y[mine], col[x[mine]] - k] = 1
+            out += (xa @ xb.T).ravel()
+    at, row = at[~big], row[~big]
+    work = np.cumsum(df[at])
+    k = 0
+    while k < len(at):
+        end = max(k + 1, int(np.searchsorted(work, (work[k - 1] if k else 0) + WORK, side="right")))
+        n = df[at[k:end]]
+        flat = np.repeat(row[k:end] * b.m, n) + rb[ts.ranges(start[at[k:end]], n)]
+        if len(flat) * 8 > len(out):
+            out += np.bincount(flat, minlength=len(out)).astype(np.float32)
+        else:
+            np.add.at(out, flat, np.float32(1))
+        k = end
+    return out.reshape(hi - lo, b.m)
+
+
+def split(rows: np.ndarray, g: np.ndarray, first: int | None, m: int) -> tuple[Side, Side]:
+    """The sets before ``first`` and those from it on; both are all sets if it is None."""
+    if first is None:
+        return (one := Side(rows, g, m)), one
+    k = int(np.searchsorted(rows, first))
+    return Side(rows[:k], g[:k], first), Side(rows[k:] - first, g[k:], m - first)
+
+
+def linked(rows: np.ndarray, g: np.ndarray, size: np.ndarray, weight: np.ndarray, first: int | None, t: float, orders: int) -> tuple[np.ndarray, np.ndarray]:
+    """(links, root) of sets given as (row, token), rows ascending; all meet, or only those before ``first`` the others.
+
+    The prefixes are taken under further orders: by the number of these sets that hold a token, and
+    by that number times a random one, of hashes.  Tokens of one set come first in each
+    and link nothing.  What shares a prefix token under every order is verified by its exact count.
+    ``links`` adds up the weights of the similar sets; ``root`` is the least row of a set's group.
+    """
+    m = len(size)
+    links, root = np.zeros(m), np.arange(m)
+    while True:
+        by = np.argsort(g, kind="stable")
+        new = np.concatenate([[True], g[by][1:] != g[by][:-1]]) if len(g) else np.zeros(0, bool)
+        start = np.flatnonzero(new)
+        df = np.empty(len(g), np.int64)
+        df[by] = np.repeat(np.diff(np.append(start, len(g))), np.diff(np.append(start, len(g))))
+        common = np.bincount(rows[df > 1], minlength=m)
+        take = np.where(size > 0, prefix_length(size, t), 0) - (size - common)
+        keep = (df > 1) & (take[rows] > 0)
+        if keep.all():
+            break
+        rows, g = rows[keep], g[keep]
+    if not len(g):
+        return links, root
+    count = np.bincount(rows, minlength=m)
+    rank = np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)
+    prefix = []
+    for order in range(1, orders):
+        h = ts.mix(g ^ ts.U64(0xA0761D6478BD642F * order & (2**64 - 1)))
+        key = df if order == 1 else df * -np.log((h >> ts.U64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54)
+        by = np.lexsort((h, key, rows))
+        by = np.sort(by[rank < take[rows]])
+        prefix.append(split(rows[by], g[by], first, m))
+    a, b = split(rows, g, first, m)
+    off = first or 0
+    size_a, size_b, w_a, w_b = size[:first], size[off:], weight[:first], weight[off:]
+    step = max(1, CELLS // max(1, b.m))
+    ends: list[np.ndarray] = []
+    for lo in range(0, a.m, step):
+        hi = min(a.m, lo + step)
+        likely = np.ones((hi - lo, b.m), bool)
+        for x, y in prefix:
+            likely &= shared_counts(x, y, lo, hi) > 0
+        if first is None:
+            likely[np.arange(hi - lo), np.arange(lo, hi)] = False
+        live = np.flatnonzero(likely.any(axis=1))
+        if not len(live):
+            continue
+        lo_live, hi_live = lo + int(live[0]), lo + int(live[-1]) + 1
+        n = shared_counts(a, b, lo_live, hi_live)
+        ok = likely[lo_live - lo : hi_live - lo] & (n >= (t - 1e-12) * (size_a[lo_live:hi_live, None] + size_b[None, :] - n))
+        links[lo_live:hi_live] += ok @ w_b
+        if first is not None:
+            links[first:] += w_a[lo_live:hi_live] @ ok
+        i, j = np.nonzero(ok)
+        # of a set's similar sets its first is enough to tell its group, and each set names its own
+        head = ok.argmax(axis=1)
+        heads = head[i] + off
+        ends.append(np.unique(np.concatenate([(i + lo_live) * m + heads, (j + off) * m + heads])))
+    if ends:
+        code = np.concatenate(ends)
+        root = joined(m, code // m, code % m)
+    return links, root
+
+
+def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least member of each number's group, of n numbers joined by the pairs (a, b)."""
+    root = np.arange(n)
+    while True:
+        new = root.copy()
+        np.minimum.at(new, a, root[b])
+        np.minimum.at(new, b, root[a])
+        np.minimum.at(new, root[a], new[b])
+        np.minimum.at(new, root[b], new[a])
+        new = new[new]
+        if np.array_equal(new, root):
+            return root
+        root = new
 
 
-def _bits_of(ids: pa.Array) -> np.ndarray:
-    h = ts.mix(pa.compute.fill_null(ids.cast(pa.int64()), 0).to_numpy(zero_copy_only=False).view(ts.U64))
-    return np.stack([h >> ts.U64(64 - FILTER_BITS), h & ts.U64((1 << FILTER_BITS) - 1)]).astype(np.int64)
+def _verify(n: int, t: float, orders: int):
+    """(sig, links, root) of a tile's sets that are similar to another."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in ts.grouped(batches, "block"):
+            cross = group.column("cross")[0].as_py()
+            group = group.combine_chunks().select(["sig", "text", "w", "side"])
+            r_all, g_all, base = [], [], 0
+            sig = []
+            for b in group.to_batches():
+                for c in ts.chunks(b):
+                    h, _, _, rows, _ = ts.words(c)
+                    r, g = ts.shingles(h, rows, c.num_rows, n)
+                    sig.append(signatures(r, g, c.num_rows).view(np.int64))
+                    r_all.append(r + base)
+                    g_all.append(g)
+                    base += c.num_rows
+            want, sig = group.column("sig").to_numpy(), np.concatenate(sig)
+            rows, g = np.concatenate(r_all), np.concatenate(g_all)
+            # a doc_id may have come with other texts or twice: each set counts once, one side after the other
+            side = group.column("side").to_numpy()
+            order = np.lexsort((sig, side, sig != want))
+            good = sig[order] == want[order]
+            good[1:] &= (sig[order][1:] != sig[order][:-1]) | ~good[:-1]
+            use = order[good]
+            place = np.full(base, -1)
+            place[use] = np.arange(len(use))
+            keep = place[rows] >= 0
+            rows, g = place[rows[keep]], g[keep]
+            by = np.argsort(rows, kind="stable")
+            rows, g = rows[by], g[by]
+            size = np.bincount(rows, minlength=len(use))
+            first = int((side[use] == 0).sum()) if cross else None
+            links, root = linked(rows, g, size, group.column("w").to_numpy()[use].astype(np.float64), first, t, orders)
+            at = np.flatnonzero(links > 0)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(sig[use[at]]), pa.array(np.rint(links[at]).astype(np.int64)), pa.array(sig[use[root[at]]])], names=["sig", "links", "root"])
 
-def _either(t: pa.Table) -> pa.Table:
-    size = (1 << FILTER_BITS) // 512
-    both = np.bitwise_or.reduce([np.frombuffer(pa.decompress(x.as_py(), decompressed_size=size, codec="zstd", asbytes=True), np.uint8) for x in t.column("packed")])
-    return pa.table({"part": t.column("part")[:1].cast(pa.int32()), "packed": pa.array([both.tobytes()], pa.binary())})
+    return run
 
 
-def maybe_in(d: DataFrame, some: DataFrame, inside: bool = True) -> DataFrame:
-    """The rows of ``d`` whose doc_id a Bloom filter does not rule out of ``some``, so that few texts are shuffled.
+def maybe_in(d: DataFrame, some: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``d`` whose doc_id a Bloom filter does not rule out of ``some``, so that few texts are shuffled; and the others.
 
-    Or, not ``inside``, the other rows: those with null doc_id and those that are surely not in
-    ``some``.  The filter has 2**FILTER_BITS bits at any size of the data; once it is full it lets
-    rows pass that the join after it drops.
+    The others are those with null doc_id, and those that are surely not in ``some``.
     """
-    size = (1 << FILTER_BITS) // 512
-    bits = np.zeros((64, size), dtype=np.uint8)
-    for r in some.select("doc_id").coalesce(4).mapInArrow(_mark, PACKED).groupBy("part").applyInArrow(_either, PACKED).collect():
-        bits[r["part"]] = np.frombuffer(r["packed"], np.uint8)
-    sent = d.sparkSession.sparkContext.broadcast(bits.ravel())
+    bits = bloom.build(some.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null"))
+    sent = d.sparkSession.sparkContext.broadcast(bits)
     where = d.columns.index("doc_id")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column(where)
-            at = _bits_of(ids)
-            hit = ((sent.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool).all(axis=0)
-            hit &= ~pa.compute.is_null(ids).to_numpy(zero_copy_only=False)
-            yield b.filter(pa.array(hit == inside))
+    def of(inside: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ids = b.column(where)
+                hit = bloom.passes(sent.value, pa.compute.fill_null(ids.cast(pa.int64()), 0).to_numpy(zero_copy_only=False))
+                hit &= ~pa.compute.is_null(ids).to_numpy(zero_copy_only=False)
+                yield b.filter(pa.array(hit == inside))
+
+        return run
 
-    return d.mapInArrow(run, d.schema)
+    return d.mapInArrow(of(True), d.schema), d.mapInArrow(of(False), d.schema)
 
 
-def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, orders: int = ORDERS, block: int = BLOCK) -> DataFrame:
-    """(doc_a, doc_b, jaccard), doc_a < doc_b: all pairs of word n-gram sets as similar as ``threshold``.
+def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, orders: int = ORDERS, block: int = BLOCK) -> DataFrame:
+    """(doc_id, sig, root, class_id, links): the class and the number of similar documents of each document.
 
-    Documents with the same set are joined through the least doc_id among them: it is paired with
-    each of them at 1.0, and it alone is paired with other sets' least doc_ids.  So exact copies
-    cost rows in proportion to their number, and ``expand_copies`` can enumerate every pair.
+    A document is a doc_id and one of its word n-gram sets, named by ``sig``; two are linked if their sets are as similar
+    as ``threshold``, copies included.  Links in a row make a class, named by its least doc_id; ``root`` is one of its sets.
 
     A text of fewer than n words has one n-gram, all its words.  Null, empty and wordless texts
-    have no n-grams and are in no pair.  Null doc_ids are in no pair.  Repeated rows count once; a
-    doc_id with several texts is paired by any of them, never with itself.  Other columns are not
-    read.
+    have no n-grams: sig 0, no links, each a class of its own.  Rows with null doc_id are left out.
+    Repeated rows count once; a doc_id with several different texts has a row for each.  Other columns are not read.
     """
     if not 0 < threshold <= 1 or orders < 2:
         raise ValueError("threshold must be above 0 and at most 1, orders at least 2")
     spark = docs.sparkSession
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     shared_folder(spark)
-    sets = stored(d.mapInArrow(_profile(n), "doc_id long, sig long, n long").where("sig <> 0").distinct())
-    rep = sets.groupBy("sig").agg(F.min("doc_id").alias("rep"))
+    sets = stored(every.mapInArrow(_profile(n), "doc_id long, sig long, n long").distinct())
+    d = every.where("text is not null")
+    vertex = stored(sets.where("sig <> 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("w"), F.first("n").alias("n")))
     # a vertex has a head in every partition that its tokens go to, so few large partitions move least
     k = max(1, parts(spark) // 2)
-    total = rep.join(sets, "sig").where("doc_id = rep").agg(F.sum("n")).first()[0] or 1
+    total = vertex.agg(F.sum("n")).first()[0] or 1
     bits = min(63, max(24, int(total).bit_length() + SPARE_BITS))
     shared = d.mapInArrow(_tokens(n, k, bits), PACKED).repartition("part").sortWithinPartitions("part").mapInArrow(_frequencies(k), PACKED)
     prefix = shared.repartition("part").sortWithinPartitions("part").mapInArrow(_prefix_rows(threshold), "token long, sig long")
-    links = prefix.repartition("token").mapInArrow(_links, "a long, b long")
-    comps = components(links)
-    member = rep.join(comps, rep.sig == comps.node).select(F.col("rep").alias("doc_id"), "sig", "root").distinct()
-    sizes = member.groupBy("root").agg(F.count("*").alias("m")).where("m > 1")
-    member = stored(member.join(sizes, "root").select("doc_id", "sig", "root", F.ceil(F.col("m") / block).cast("int").alias("blocks")))
-    linked = member.select("doc_id", "root", "blocks").distinct()
-    rows = maybe_in(d, linked).join(linked, "doc_id")
-    home = F.expr("cast(pmod(doc_id, blocks) as int)")
-    tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.least(home, k) * F.col("blocks") + F.greatest(home, k))
-    rows = rows.select("doc_id", "text", "root", "blocks", F.explode(tiles).alias("part")).withColumn("block", F.xxhash64("root", "part"))
-    near = rows.repartition("block").sortWithinPartitions("block").mapInArrow(_verify(n, threshold, orders), PAIRS)
-    near = near.where("doc_a <> doc_b")
-    copies = sets.join(rep, "sig").where("doc_id <> rep").select(F.least("rep", "doc_id").alias("doc_a"), F.greatest("rep", "doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    return near.unionByName(copies).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
-
-
-def expand_copies(pairs: DataFrame) -> DataFrame:
-    """Every pair of a join's result with copies spelled out: quadratic in the size of each group of copies."""
-    same = pairs.where("jaccard = 1.0")
-    comps = components(same, "doc_a", "doc_b")
-    of = lambda side: comps.select(F.col("root").alias(f"root_{side}"), F.col("node").alias(f"node_{side}"))
-    within = of("a").join(of("b"), F.expr("root_a = root_b and node_a < node_b")).select(F.col("node_a").alias("doc_a"), F.col("node_b").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    other = pairs.where("jaccard < 1.0").join(of("a"), F.expr("doc_a = root_a"), "left").join(of("b"), F.expr("doc_b = root_b"), "left")
-    other = other.select(F.coalesce("node_a", "doc_a").alias("x"), F.coalesce("node_b", "doc_b").alias("y"), "jaccard")
-    return within.unionByName(other.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")).distinct()
+    comps = components(prefix.repartition("token").mapInArrow(_links, "a long, b long"))
+    member = vertex.join(comps, vertex.sig == comps.node).select("sig", "rep", "w", "n", "root")
+    sizes = member.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("all")).where("m > 1")
+    blocks = F.ceil(F.greatest(F.col("m") / block, F.col("all") / (block * WORDS))).cast("int")
+    member = stored(member.join(sizes, "root").select(F.col("rep").alias("doc_id"), "sig", "w", "root", blocks.alias("blocks")))
+    home = F.expr("cast(pmod(sig, blocks) as int)")
+    tile = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.xxhash64("root", F.least(home, k), F.greatest(home, k)).alias("block"), F.when(home > k, 1).otherwise(0).alias("side"), (home != k).alias("cross")))
+    rows = maybe_in(d, member.select("doc_id").distinct())[0].join(member, "doc_id")
+    rows = rows.select("sig", "text", "w", "blocks", F.explode(tile).alias("x")).select("sig", "text", "w", "x.block", "x.side", "x.cross")
+    near = stored(rows.repartition("block").sortWithinPartitions("block").mapInArrow(_verify(n, threshold, orders), "sig long, links long, root long"))
+    found = near.groupBy("sig").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
+    # a group within one tile is whole; those of several tiles join where they share a set
+    many = near.join(member.where("blocks > 1").select("sig"), "sig", "left_semi").select(F.col("sig").alias("a"), F.col("root").alias("b"))
+    if not many.isEmpty():
+        wide = components(many)
+        found = found.join(wide.withColumnRenamed("root", "whole"), F.col("sig") == F.col("node"), "left").select("sig", "links", F.coalesce("whole", "root").alias("root"))
+    vertex = vertex.join(found.select("sig", "links", "root"), "sig", "left").select("sig", "rep", F.coalesce("root", "sig").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("links"))
+    least = vertex.groupBy("root").agg(F.min("rep").alias("class_id"))
+    vertex = vertex.join(least, "root").select("sig", "root", "class_id", "links")
+    return sets.join(vertex, "sig", "left").select("doc_id", "sig", "root", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def ngram_join(docs: DataFrame, **how) -> DataFrame:
+    """(doc_id, class_id, links): one row for each document, as ``classes`` describes them and with its parameters."""
+    return classes(docs, **how).select("doc_id", "class_id", "links")
+
+
+def _signed(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c in ts.chunks(b):
+                h, _, _, rows, _ = ts.words(c)
+                r, g = ts.shingles(h, rows, c.num_rows, n)
+                yield pa.RecordBatch.from_arrays([*c.columns, pa.array(signatures(r, g, c.num_rows).view(np.int64))], names=[*c.schema.names, "__sig"])
+
+    return run
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` without all but one document of each group that the join links: the least doc_id stays.
+    """``docs`` with one document of each class that the join finds: that of the least doc_id, and of its texts that of the least set.
 
     Rows with null doc_id or without words stay.  Of repeated rows of one doc_id and text one
     stays.  All columns are kept.
     """
-    pairs = ngram_join(docs, **how)
-    groups = components(pairs, "doc_a", "doc_b")
-    gone = stored(groups.where("node <> root").select(F.col("node").alias("doc_id")))
-    left = maybe_in(docs, gone, False).unionByName(maybe_in(docs, gone).join(gone, "doc_id", "left_anti").select(*docs.columns))
+    n = how.get("n", N)
+    found = classes(docs, **how).where("sig <> 0")
+    first = found.groupBy("root").agg(F.min(F.struct("doc_id", "sig")).alias("x"))
+    gone = stored(found.join(first, "root").where("doc_id <> x.doc_id or sig <> x.sig").select("doc_id", "sig"))
+    some, rest = maybe_in(docs, gone)
+    signed = some.mapInArrow(_signed(n), StructType([*docs.schema.fields, StructField("__sig", LongType())]))
+    left = rest.unionByName(signed.join(gone.select(F.col("doc_id").alias("__doc"), F.col("sig").alias("__gone")), (F.col("doc_id") == F.col("__doc")) & (F.col("__sig") == F.col("__gone")), "left_anti").select(*docs.columns))
     again = stored(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if again.isEmpty():
         return left
-    some = maybe_in(left, again)
-    once = maybe_in(left, again, False).unionByName(some.join(again, "doc_id", "left_anti").select(*docs.columns))
+    some, once = maybe_in(left, again)
+    once = once.unionByName(some.join(again, "doc_id", "left_anti").select(*docs.columns))
     return once.unionByName(some.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
