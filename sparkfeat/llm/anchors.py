@@ -3,7 +3,7 @@
 Among the hashes of all runs of ``GRAM`` words, those that are least in some window of ``SPREAD``
 neighbours are anchors (winnowing; Schleimer et al., 2003).  Any ``GRAM + SPREAD - 1`` = 50 words
 hold one at least, at the same place in every copy.  Anchors that occur once in the corpus rule out
-the windows around them; a Bloom filter of fixed size carries those that repeat back to the texts, so no text is shuffled.
+the windows around them; a Bloom filter carries those that repeat back to the texts, so no text is shuffled.
 """
 
 from __future__ import annotations
@@ -15,9 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from . import textscan as ts
 
-GRAM, SPREAD, FILTER_BITS, SLICES = 12, 39, 27, 128
+GRAM, SPREAD = 12, 39
 LENGTH = GRAM + SPREAD - 1
 
 
@@ -64,39 +65,14 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(anchors(h, rows)[1].view(np.int64))], names=["key"])
 
 
-def bits_of(h: np.ndarray) -> np.ndarray:
-    h = h.view(ts.U64)
-    return np.stack([h >> ts.U64(64 - FILTER_BITS), h & ts.U64((1 << FILTER_BITS) - 1)]).astype(np.int64)
-
-
-def passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = bits_of(h)
-    return ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool).all(axis=0)
-
-
-def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(1 << FILTER_BITS, dtype=bool)
-    for b in batches:
-        bits[bits_of(b.column(0).to_numpy()).ravel()] = True
-    packed = np.packbits(bits).reshape(SLICES, -1)
-    some = np.flatnonzero(packed.any(axis=1))
-    if len(some):
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([pa.compress(packed[k].tobytes(), codec="zstd", asbytes=True) for k in some], pa.binary())], names=["part", "packed"])
-
-
-def _either(t: pa.Table) -> pa.Table:
-    size = (1 << FILTER_BITS) // 8 // SLICES
-    both = np.bitwise_or.reduce([np.frombuffer(pa.decompress(x.as_py(), decompressed_size=size, codec="zstd", asbytes=True), np.uint8) for x in t.column("packed")])
-    return pa.table({"part": t.column("part")[:1].cast(pa.int32()), "packed": pa.array([both.tobytes()], pa.binary())})
+def anchor_counts(d: DataFrame) -> DataFrame:
+    """(key, n) of the anchors that occur more than once in (doc_id, text)."""
+    return d.mapInArrow(_keys, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
 
 
 def repeated_anchors(d: DataFrame) -> np.ndarray:
-    """The filter of the anchors that occur more than once in (doc_id, text): 16 MB at any size of the data.
+    """The Bloom filter of the anchors that occur more than once in (doc_id, text).
 
-    A full filter lets unique anchors pass too; what uses it counts again, so results never change.
+    What uses it counts again, so results never depend on what passes by chance.
     """
-    twice = d.mapInArrow(_keys, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    bits = np.zeros((SLICES, (1 << FILTER_BITS) // 8 // SLICES), dtype=np.uint8)
-    for r in twice.mapInArrow(_mark, "part int, packed binary").groupBy("part").applyInArrow(_either, "part int, packed binary").collect():
-        bits[r["part"]] = np.frombuffer(r["packed"], np.uint8)
-    return bits.ravel()
+    return bloom.build(anchor_counts(d).select("key"))

@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .anchors import GRAM, LENGTH, SPREAD, passes, repeated_anchors, sliding, window_hashes
+from .anchors import GRAM, LENGTH, SPREAD, repeated_anchors, sliding, window_hashes
+from .bloom import passes
 from .common import parts, shared_folder, stored, table
 from .ngram_join import _packed_rows, pack, unpack
 

@@ -1,13 +1,17 @@
 """Repeated passages by a hash-compared suffix sort.
 
-The suffixes that can share ``LENGTH`` words with another are those around anchors that repeat.  They
-are bucketed by anchor, and each bucket is sorted by a mergesort whose comparisons are logarithmic:
-prefix polynomial hashes of the partition's text and a binary search give the common extension of
+A suffix can share ``LENGTH`` words with another only if the least run of words among its first LENGTH
+(its anchor) occurs elsewhere.  Suffixes whose anchor repeats go to their anchor's bucket, those
+of neighbouring words as one segment of text; equal segments are one, with a list of their places.
+Within a bucket suffixes whose anchors lie equally deep are sorted by a mergesort whose comparisons are logarithmic:
+prefix polynomial hashes of the text and a binary search give the common extension of
 two suffixes, and one byte decides.  All comparisons of a merge round are made at once in NumPy.
-Neighbours in the order then give the longest common extensions to the right; the same sort over
-reversed text gives those to the left.  Matches are verified byte by byte before they count.
+In that order a suffix that shares LENGTH words with any other shares them with a neighbour.  Such
+matches are verified byte by byte before they count.
 
-A suffix carries LENGTH words of context on either side; longer repeats are chains of anchors.
+Buckets are read in lots of bounded size from rows that Spark has sorted.  An anchor that occurs more than
+``HOT`` times would fill a bucket without bound; its suffixes are bucketed by all their LENGTH words,
+those alone that a count of these finds twice.
 """
 
 from __future__ import annotations
@@ -16,16 +20,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bloom
 from . import textscan as ts
-from .anchors import LENGTH, anchors, passes, repeated_anchors
-from .common import parts, shared_folder, table
-from .ngram_join import pack, unpack
+from .anchors import GRAM, LENGTH, SPREAD, anchor_counts, window_hashes
+from .common import discard, shared_folder, stored, table
 
-PACKED = "part int, packed binary, right binary, left binary"
-FLUSH = 6_000_000
+SEGMENTS = "key long, depth int, text binary, docs array<long>, places array<int>"
+SPANS = "doc_id long, start_word long, end_word long, first boolean"
+#: Bytes of segments that are searched for equal ones, and sorted, at a time; occurrences from which an anchor is split.
+FLUSH, LOT, HOT = 3_000_000, 2_000_000, 10_000
 
 
 def words_text(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -37,41 +44,92 @@ def words_text(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
     return out, at
 
 
-def _contexts(bits, n_parts: int):
+def sliding_least(g: np.ndarray, width: int) -> np.ndarray:
+    """The place of the first least value in every window."""
+    done, out = 1, np.arange(len(g))
+    pick = lambda a, b: np.where(g[b] < g[a], b, a)
+    while done * 2 <= width:
+        out = pick(out[:-done], out[done:])
+        done *= 2
+    rest = width - done
+    return pick(out[: len(out) - rest], out[rest:]) if rest else out
+
+
+def suffixes(c: pa.RecordBatch, twice: np.ndarray, hot: np.ndarray | None):
+    """(word hashes, starts, ends, first word and row of each, first words of suffixes, their anchors' places and hashes, whether hot)."""
+    h, starts, ends, rows, _ = ts.words(c)
+    z = np.zeros(0, np.int64)
+    if len(h) < LENGTH:
+        return h, starts, ends, rows, z, z, z.view(ts.U64), z.astype(bool)
+    g = window_hashes(h, GRAM)
+    q = sliding_least(g, SPREAD)
+    new = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
+    n = np.diff(np.append(new, len(q)))
+    known = bloom.passes(twice, g[q[new]])
+    split = bloom.passes(hot, g[q[new]]) if hot is not None else np.zeros(len(new), bool)
+    p = np.flatnonzero(np.repeat(known, n) & (rows[: len(q)] == rows[LENGTH - 1 :]))
+    return h, starts, ends, rows, p, q[p], g[q[p]], np.repeat(split, n)[p]
+
+
+def _hot_windows(sent):
+    """Hashes of all LENGTH words of the suffixes at hot anchors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        twice, hot, _ = sent.value
+        for b in batches:
+            for c in ts.chunks(b):
+                h, _, _, _, p, _, _, split = suffixes(c, twice, hot)
+                if split.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(window_hashes(h, LENGTH)[p[split]].view(np.int64))], names=["key"])
+
+    return run
+
+
+def alike(key: np.ndarray, depth: np.ndarray, text: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, new): rows sorted so that equal ones are neighbours, and where another one begins; verified byte by byte."""
+    n = np.diff(offs)
+    h = ts.word_hashes(text, offs[:-1], offs[1:])
+    by = np.lexsort((n, h, depth, key))
+    a, b = by[:-1], by[1:]
+    same = (key[a] == key[b]) & (depth[a] == depth[b]) & (h[a] == h[b]) & (n[a] == n[b])
+    at = np.flatnonzero(same)
+    same[at] = exact(text, offs[a[at]], offs[b[at]], n[a[at]])
+    return by, np.concatenate([[True], ~same])
+
+
+def _segments(sent):
+    """The segments of suffixes with a repeated anchor, each once with its places."""
+
     def flush(held: list) -> pa.RecordBatch:
-        key, doc, pos, nl, nr = (np.concatenate([x[k] for x in held]) for k in range(5))
-        left, right = np.concatenate([x[5] for x in held]), np.concatenate([x[6] for x in held])
-        home = (key % ts.U64(n_parts)).astype(np.int64)
-        by = np.lexsort((key, home))
-        l0, r0 = np.cumsum(nl) - nl, np.cumsum(nr) - nr
-        left, right = left[ts.ranges(l0[by], nl[by])], right[ts.ranges(r0[by], nr[by])]
-        key, doc, pos, nl, nr, home = key[by], doc[by], pos[by], nl[by], nr[by], home[by]
-        le, re_ = np.concatenate([[0], np.cumsum(nl)]), np.concatenate([[0], np.cumsum(nr)])
-        cut = np.searchsorted(home, np.arange(n_parts + 1))
-        z = lambda a: len(a).to_bytes(8, "little") + pa.compress(a.tobytes(), codec="zstd", asbytes=True)
-        keep = np.flatnonzero(np.diff(cut) > 0)
-        span = [(int(cut[k]), int(cut[k + 1])) for k in keep]
-        return pa.RecordBatch.from_arrays([pa.array(keep.astype(np.int32)), pa.array([pack(key[a:b].view(np.int64), doc[a:b], pos[a:b], nl[a:b], nr[a:b]) for a, b in span], pa.binary()), pa.array([z(right[re_[a] : re_[b]]) for a, b in span], pa.binary()), pa.array([z(left[le[a] : le[b]]) for a, b in span], pa.binary())], names=["part", "packed", "right", "left"])
+        key, depth, doc, place, n = (np.concatenate([x[k] for x in held]) for k in range(5))
+        text, offs = np.concatenate([x[5] for x in held]), np.concatenate([[0], np.cumsum(n)])
+        by, new = alike(key, depth, text, offs)
+        first = by[new]
+        cut = pa.array(np.append(np.flatnonzero(new), len(by)).astype(np.int32))
+        whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(text)])
+        return pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), pa.array(depth[first].astype(np.int32)), whole.take(pa.array(first)).cast(pa.binary()), pa.ListArray.from_arrays(cut, pa.array(doc[by])), pa.ListArray.from_arrays(cut, pa.array(place[by].astype(np.int32)))], names=["key", "depth", "text", "docs", "places"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        twice, hot, repeat = sent.value
         held, size = [], 0
         for b in batches:
             for c in ts.chunks(b):
-                h, starts, ends, rows, _ = ts.words(c)
-                at, key = anchors(h, rows)
-                ok = passes(bits.value, key)
-                at, key = at[ok], key[ok]
-                if not len(at):
+                h, starts, ends, rows, p, q, key, split = suffixes(c, twice, hot)
+                if split.any():
+                    w = window_hashes(h, LENGTH)[p]
+                    keep = ~split | bloom.passes(repeat, w)
+                    key = np.where(split, ts.mix(w), key)
+                    p, q, key, split = p[keep], q[keep], key[keep], split[keep]
+                if not len(p):
                     continue
+                new = np.flatnonzero(np.concatenate([[True], (q[1:] != q[:-1]) | (p[1:] != p[:-1] + 1) | split[1:]]))
+                lo, hi = p[new], p[np.append(new[1:], len(p)) - 1] + LENGTH
                 data, _ = ts.text_buffer(c.column(1))
-                text, place = words_text(ts.fold(data), starts, ends)
-                n = np.bincount(rows, minlength=c.num_rows)
-                first = np.cumsum(n) - n
-                lo, hi = np.maximum(first[rows[at]], at - LENGTH), np.minimum(first[rows[at]] + n[rows[at]], at + LENGTH)
-                nl, nr = place[at] - place[lo], place[hi] - place[at]
-                left = text[np.repeat(place[at] - 1, nl) - (ts.ranges(np.zeros(len(at), np.int64), nl))]
-                held.append((key, c.column(0).to_numpy()[rows[at]], at - first[rows[at]], nl, nr, left, text[ts.ranges(place[at], nr)]))
-                size += int(nl.sum() + nr.sum())
+                text, at = words_text(ts.fold(data), starts, ends)
+                first = np.searchsorted(rows, rows[lo])
+                n = at[hi] - at[lo]
+                held.append((key[new], q[new] - lo, c.column(0).to_numpy()[rows[lo]], lo - first, n, text[ts.ranges(at[lo], n)]))
+                size += int(n.sum())
                 if size >= FLUSH:
                     yield flush(held)
                     held, size = [], 0
@@ -166,75 +224,114 @@ def exact(text: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.n
     return ok
 
 
-def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least member of each number's group, of n numbers joined by the pairs (a, b)."""
-    root = np.arange(n)
-    while True:
-        new = root.copy()
-        np.minimum.at(new, a, root[b])
-        np.minimum.at(new, b, root[a])
-        new = new[new]
-        if np.array_equal(new, root):
-            return root
-        root = new
+def lots(batches: Iterator[pa.RecordBatch], key: str, size) -> Iterator[pa.Table]:
+    """Tables of whole keys, from batches sorted by key, each with ``size`` of its rows just above LOT."""
+    held: list[pa.RecordBatch] = []
+    total = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = b.column(b.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
+        if held:
+            last = held[-1].column(b.schema.get_field_index(key))[-1].as_py()
+            end = int(np.argmax(k != last)) if (k != last).any() else len(k)
+            if end:
+                held.append(b.slice(0, end))
+                total += size(held[-1])
+            if end == len(k):
+                continue
+            if total >= LOT:
+                yield pa.Table.from_batches(held)
+                held, total = [], 0
+            b, k = b.slice(end), k[end:]
+        starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        lo = 0
+        for at in starts[1:].tolist():
+            if (at - lo) * size(b) >= LOT * b.num_rows:
+                yield pa.Table.from_batches([*held, b.slice(lo, at - lo)])
+                held, total, lo = [], 0, at
+        held.append(b.slice(lo))
+        total += size(held[-1])
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def bytes_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column and its n+1 offsets into them."""
+    col = col.cast(pa.large_binary())
+    offs = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
+    return np.frombuffer(col.buffers()[2], np.uint8)[offs[0] : offs[-1]], offs - offs[0]
+
+
+def matches(t: pa.Table) -> pa.RecordBatch | None:
+    """(doc_id, start_word, end_word, first) of the repeated suffixes of some whole buckets, neighbours united."""
+    t = t.combine_chunks()
+    col = lambda name: t.column(name).chunk(0)
+    key, depth = col("key").to_numpy(), col("depth").to_numpy().astype(np.int64)
+    text, offs = bytes_of(col("text"))
+    docs, places = col("docs"), col("places")
+    many = pc.list_value_length(docs).to_numpy().astype(np.int64)
+    doc, place = docs.flatten().to_numpy(), places.flatten().to_numpy().astype(np.int64)
+    by, new = alike(key, depth, text, offs)
+    seg_of = np.empty(len(by), np.int64)
+    seg_of[by] = np.cumsum(new) - 1
+    own = by[new]
+    # occurrences by segment, the first of each at its head
+    seg = np.repeat(seg_of, many)
+    o = np.lexsort((place, doc, seg))
+    seg, doc, place = seg[o], doc[o], place[o]
+    count = np.bincount(seg, minlength=len(own))
+    head = np.cumsum(count) - count
+    # suffixes: a segment's words but its last LENGTH - 1 each begin one
+    begin = np.flatnonzero(np.concatenate([[True], text[:-1] == 32])) if len(text) else np.zeros(0, np.int64)
+    w0 = np.searchsorted(begin, offs[own])
+    m = np.searchsorted(begin, offs[own + 1]) - w0 - LENGTH + 1
+    of = np.repeat(np.arange(len(own)), m)
+    j = ts.ranges(np.zeros(len(own), np.int64), m)
+    word = w0[of] + j
+    start, stop = begin[word], np.append(begin, len(text))[word + LENGTH]
+    deep = depth[own][of] - j
+    by = np.lexsort((of, deep, key[own][of]))
+    of, j, start, stop, deep = of[by], j[by], start[by], stop[by], deep[by]
+    k = key[own][of]
+    bucket = np.cumsum(np.concatenate([[0], (k[1:] != k[:-1]) | (deep[1:] != deep[:-1])])) if len(k) else k
+    order = sort_suffixes((Extensions(text), start, stop - start), bucket)
+    a, b = order[:-1], order[1:]
+    n = stop - start
+    same = np.flatnonzero((bucket[a] == bucket[b]) & (n[a] == n[b]))
+    same = same[exact(text, start[a[same]], start[b[same]], n[a[same]])]
+    run = np.ones(len(order), bool)
+    run[same + 1] = False
+    name = np.empty(len(order), np.int64)
+    name[order] = np.cumsum(run) - 1
+    total = np.bincount(name, weights=count[of], minlength=int(run.sum()))
+    # the run's first occurrence in the corpus, by doc_id and place
+    f = np.lexsort((place[head[of]] + j, doc[head[of]], name))
+    lead = np.zeros(len(f), bool)
+    lead[f[np.concatenate([[True], name[f][1:] != name[f][:-1]])] if len(f) else f] = True
+    hit = np.flatnonzero(total[name] > 1)
+    hit = hit[np.lexsort((j[hit], of[hit]))]
+    if not len(hit):
+        return None
+    of, j, lead = of[hit], j[hit], lead[hit]
+    cut = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (j[1:] != j[:-1] + 1)]))
+    end = np.append(cut[1:], len(of)) - 1
+    lead = np.logical_and.reduceat(lead, cut)
+    each = count[of[cut]]
+    at = ts.ranges(head[of[cut]], each)
+    return pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(place[at] + np.repeat(j[cut], each)), pa.array(place[at] + np.repeat(j[end] + LENGTH, each)), pa.array(np.repeat(lead, each) & (at == np.repeat(head[of[cut]], each)))], names=["doc_id", "start_word", "end_word", "first"])
 
 
 def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per partition of anchors: the stretch of each suffix that its neighbours in the order share."""
-    for group in ts.grouped(batches, "part"):
-        cols: list[list[np.ndarray]] = [[], [], [], [], []]
-        left, right = [], []
-        for x, r, l in zip(group.column("packed"), group.column("right"), group.column("left")):
-            for col, v in zip(cols, unpack(x.as_py())):
-                col.append(v)
-            for out, z in ((right, r.as_py()), (left, l.as_py())):
-                out.append(np.frombuffer(pa.decompress(z[8:], decompressed_size=int.from_bytes(z[:8], "little"), codec="zstd", asbytes=True), np.uint8))
-        key, doc, pos, nl, nr = map(np.concatenate, cols)
-        l0, r0 = np.cumsum(nl) - nl, np.cumsum(nr) - nr
-        by = np.lexsort((pos, doc, key))
-        _, inv, size = np.unique(key[by], return_inverse=True, return_counts=True)
-        keep = size[inv] > 1
-        by, bucket = by[keep], np.unique(inv[keep], return_inverse=True)[1] if keep.any() else inv[:0]
-        if not len(by):
-            continue
-        lt, rt = np.concatenate(left), np.concatenate(right)
-        doc, pos, nl, nr, l0, r0 = doc[by], pos[by], nl[by], nr[by], l0[by], r0[by]
-        x, y = Extensions(rt), Extensions(lt)
-        sides = (x, r0, nr), (y, l0, nl)
-        # neighbours by what follows, then by what goes before: each finds its nearest on either side
-        orders = [sort_suffixes(sides[0], bucket, sides[1]), sort_suffixes(sides[1], bucket, sides[0])]
-        a, b = np.concatenate([o[:-1] for o in orders]), np.concatenate([o[1:] for o in orders])
-        near = bucket[a] == bucket[b]
-        a, b = a[near], b[near]
-        r = x.common(r0[a], r0[b], np.minimum(nr[a], nr[b]))
-        l = y.common(l0[a], l0[b], np.minimum(nl[a], nl[b]))
-        blanks_r, blanks_l = np.concatenate([[0], np.cumsum(rt == 32)]), np.concatenate([[0], np.cumsum(lt == 32)])
-        wr = blanks_r[r0[a] + r] - blanks_r[r0[a]]
-        # reversed words begin with their blank: the last is whole if the next blank or the end follows in both
-        lt_end = np.append(lt, np.uint8(32))
-        end = ((l == nl[a]) | (lt_end[l0[a] + l] == 32)) & ((l == nl[b]) | (lt_end[l0[b] + l] == 32))
-        wl = np.maximum(blanks_l[l0[a] + l] - blanks_l[l0[a]] - ~end, 0)
-        good = np.flatnonzero((wr + wl >= LENGTH) & (r > 0))
-        good = good[exact(rt, r0[a[good]], r0[b[good]], r[good]) & exact(lt, l0[a[good]], l0[b[good]], l[good])]
-        if not len(good):
-            continue
-        # suffixes joined by matches; the first of each group by doc_id and place is the original
-        run = joined(len(bucket), a[good], b[good])
-        members = np.concatenate([a[good], b[good]])
-        w_l, w_r = np.tile(wl[good], 2), np.tile(wr[good], 2)
-        who = np.unique(members)
-        g = run[who]
-        o = np.lexsort((pos[who], doc[who], g))
-        first = np.zeros(len(bucket), dtype=bool)
-        first[who[o[np.concatenate([[True], g[o][1:] != g[o][:-1]])]]] = True
-        yield pa.RecordBatch.from_arrays([pa.array(doc[members]), pa.array(pos[members] - w_l), pa.array(pos[members] + w_r), pa.array(first[members])], names=["doc_id", "start_word", "end_word", "first"])
+    for t in lots(batches, "key", lambda b: int(pc.sum(pc.binary_length(b.column(2))).as_py() or 0)):
+        found = matches(t)
+        if found is not None:
+            yield found
 
 
-def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    doc, s, e, f = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in held]) for k in range(4))
+def united(t: pa.Table) -> pa.RecordBatch:
+    """The stretches of some documents, those that overlap or touch as one."""
+    doc, s, e, f = (t.column(k).to_numpy() for k in range(4))
     by = np.lexsort((e, s, doc))
     doc, s, e, f = doc[by], s[by], e[by], f[by]
     row = np.cumsum(np.concatenate([[0], doc[1:] != doc[:-1]]))
@@ -242,23 +339,36 @@ def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     reach = np.maximum.accumulate(e + row * wide) - row * wide
     cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (s[1:] > reach[:-1])]))
     last = np.append(cut[1:], len(doc)) - 1
-    yield pa.RecordBatch.from_arrays([pa.array(doc[cut]), pa.array(s[cut]), pa.array(reach[last]), pa.array(np.logical_and.reduceat(f, cut))], names=["doc_id", "start_word", "end_word", "first"])
+    return pa.RecordBatch.from_arrays([pa.array(doc[cut]), pa.array(s[cut]), pa.array(reach[last]), pa.array(np.logical_and.reduceat(f, cut))], names=["doc_id", "start_word", "end_word", "first"])
+
+
+def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for t in lots(batches, "doc_id", lambda b: 20 * b.num_rows):
+        yield united(t)
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
-    """(doc_id, start_word, end_word, first): stretches of LENGTH words or more that occur elsewhere too.
+def repeated_passages(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """(doc_id, start_word, end_word, first): stretches of LENGTH words or more, all of them in runs of LENGTH words that occur elsewhere too.
 
-    Words count from 0, ``end_word`` is exclusive; ``first`` says that every match in the stretch is
+    Words count from 0, ``end_word`` is exclusive; ``first`` says that every repeated run of LENGTH words in the stretch is
     the corpus's first by doc_id and place.  Null, empty and short texts have none; rows with null
-    doc_id are left out; repeated rows are copies of each other; other columns are not read.
+    doc_id are left out; repeated rows are copies of each other; a passage repeated within one text counts; other columns are not read.
     """
     spark = docs.sparkSession
     shared_folder(spark)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    bits = spark.sparkContext.broadcast(repeated_anchors(d))
-    packed = d.mapInArrow(_contexts(bits, parts(spark)), PACKED).repartition("part").sortWithinPartitions("part")
-    found = packed.mapInArrow(_matches, "doc_id long, start_word long, end_word long, first boolean")
-    return found.repartition("doc_id").mapInArrow(_union, "doc_id long, start_word long, end_word long, first boolean")
+    counts = stored(anchor_counts(d))
+    twice, split, repeat = bloom.build(counts.select("key")), None, None
+    often = counts.where(F.col("n") > hot)
+    if not often.isEmpty():
+        split = bloom.build(often.select("key"))
+        sent = spark.sparkContext.broadcast((twice, split, None))
+        repeat = bloom.build(d.mapInArrow(_hot_windows(sent), "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+        sent.unpersist()
+    discard(counts)
+    sent = spark.sparkContext.broadcast((twice, split, repeat))
+    found = d.mapInArrow(_segments(sent), SEGMENTS).repartition("key").sortWithinPartitions("key").mapInArrow(_matches, SPANS)
+    return found.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(_union, SPANS)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

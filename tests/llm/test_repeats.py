@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sparkfeat.llm import substring_dedup as sub
@@ -69,6 +70,81 @@ def test_odd_rows(spark, find):
     assert find(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def variants(seed):
+    """Texts that share different stretches around the same words: edits of one text, moved parts, repeats within a text."""
+    r = random.Random(seed)
+    word = lambda: r.choice("abcdefgh") + str(r.randrange(r.choice([3, 30, 300])))
+    base = [[word() for _ in range(r.choice([50, 60, 70, 140]))] for _ in range(2)]
+    docs = []
+    for k in range(r.choice([3, 8, 25])):
+        w = list(r.choice(base))
+        for _ in range(r.choice([0, 1, 1, 2, 3])):
+            at = r.randrange(len(w))
+            kind = r.randrange(4)
+            if kind == 0:
+                w[at] = word()
+            elif kind == 1:
+                w[at:at] = [word() for _ in range(r.randrange(1, 20))]
+            elif kind == 2:
+                del w[at : at + r.randrange(1, 15)]
+            else:
+                w = w[at:] + w[:at]
+        w = [word() for _ in range(r.randrange(0, 60))] + w + [word() for _ in range(r.randrange(0, 60))]
+        docs.append((k, " ".join(w)))
+    docs.append((100, " ".join(["tick"] * r.choice([49, 50, 51, 120]))))
+    return docs
+
+
+def firsts(docs):
+    """(doc_id, word): whether it is the first occurrence, for each start of a run of LENGTH words that repeats."""
+    seen = defaultdict(list)
+    for i, t in docs:
+        w = t.lower().split()
+        for k in range(len(w) - LENGTH + 1):
+            seen[tuple(w[k : k + LENGTH])].append((i, k))
+    return {x: x == min(v) for v in seen.values() if len(v) > 1 for x in v}
+
+
+class Sent:
+    def __init__(self, *value):
+        self.value = value
+
+
+def locally(docs, n_tasks, hot=False):
+    """The suffix sort's functions, one after another, with filters that let everything pass."""
+    every = np.full(1 << 13, 255, np.uint8)
+    sent = Sent(every, every if hot else None, every if hot else None)
+    made = []
+    for k in range(n_tasks):
+        mine = docs[k::n_tasks]
+        made += suf._segments(sent)(iter([pa.RecordBatch.from_arrays([pa.array([i for i, _ in mine], pa.int64()), pa.array([t for _, t in mine])], names=["doc_id", "text"])]))
+    if not made:
+        return []
+    by_key = pa.Table.from_batches(made).sort_by("key")
+    found = list(suf._matches(iter(by_key.to_batches(max_chunksize=7))))
+    return [r for b in suf._union(iter(pa.Table.from_batches(found).sort_by("doc_id").to_batches(max_chunksize=5))) for r in b.to_pylist()] if found else []
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_suffix_sort_loses_nothing(seed, monkeypatch):
+    docs = variants(seed)
+    want, first = covered_by_brute(docs), firsts(docs)
+    for n_tasks, lot, hot in ((1, 2_000_000, False), (3, 500, False), (2, 500, True)):
+        monkeypatch.setattr(suf, "LOT", lot)
+        rows = locally(docs, n_tasks, hot)
+        assert {(r["doc_id"], k) for r in rows for k in range(r["start_word"], r["end_word"])} == want
+        for r in rows:
+            assert r["first"] == all(first.get((r["doc_id"], k), True) for k in range(r["start_word"], r["end_word"] - LENGTH + 1))
+
+
+def test_suffix_sort_splits_hot_anchors(spark):
+    docs = variants(11) + [(200 + k, f"x{k} " + " ".join(f"line{j}" for j in range(45)) + f" y{k} z{k} " + " ".join(f"u{k}v{j}" for j in range(30))) for k in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for hot in (3, 20, 10_000):
+        rows = suf.repeated_passages(df, hot=hot).collect()
+        assert {(r.doc_id, k) for r in rows for k in range(r.start_word, r.end_word)} == covered_by_brute(docs)
+
+
 def test_mergesort_is_lexicographic():
     r = random.Random(3)
     texts = ["".join(r.choice("ab") for _ in range(r.randint(1, 12))).encode() for _ in range(300)]
