@@ -5,10 +5,11 @@ Two n-gram sets with Jaccard similarity of at least t share a token among the fi
 2006; Xiao et al., 2008).  So a pair must pass that test under *every* order, and the pairs that
 pass under all of them are few.
 
-* Order 1 sorts tokens by the number of sets they occur in, counted over all documents.  Tokens go
+* Order 1 sorts tokens by how often they occur, counted over all documents (equal sets once for each lot
+  of documents that a task packs).  Tokens go
   to the partitions that count them as packed, compressed columns of keys just long enough to tell
-  them apart (equal keys only move a token within the order).  Those of a
-  single set come first in the order and link nothing, so a document in which they fill the prefix
+  them apart (equal keys only move a token within the order), and back to their lots.  Those that occur
+  once come first in the order and link nothing, so a document in which they fill the prefix
   has no partner and is done; of the others the rest of the prefix is joined by token.
 * Linked documents are brought together with their texts, each once; a component of more than
   ``block`` documents, or of as many tokens as they have, is tiled into pairs of blocks.  There the prefixes under further
@@ -26,6 +27,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401 - as pa.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -39,6 +41,7 @@ SPARE_BITS, FLUSH = 10, 3_000_000
 #: Tokens a set of a full block has on average at most; cells of a comparison, and places in lists, at a time.
 WORDS, CELLS, WORK = 400, 1 << 21, 1 << 21
 PACKED = "part int, packed binary"
+LOTS = "part int, lot long, head boolean, packed binary"
 
 
 def prefix_length(n: np.ndarray, t: float) -> np.ndarray:
@@ -90,23 +93,34 @@ def _packed_rows(cut: np.ndarray, make) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keep.astype(np.int32)), pa.array([make(int(cut[k]), int(cut[k + 1])) for k in keep], pa.binary())], names=["part", "packed"])
 
 
+def _lot_rows(part: np.ndarray, lot: np.ndarray, head: bool, packed: list[bytes]) -> pa.RecordBatch:
+    n = len(packed)
+    return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(lot.astype(np.int64)), pa.array([head] * n), pa.array(packed, pa.binary())], names=["part", "lot", "head", "packed"])
+
+
 def _tokens(n: int, n_parts: int, bits: int):
-    """Every document's tokens to the partitions of their keys, keys sorted and as differences."""
+    """The tokens of a lot of sets, each set once, to the partitions of their keys, keys sorted and as differences; and the lot's sets.
+
+    A lot is named by its task and number; both come out the same if the task runs again.
+    """
 
-    def flush(g: list[np.ndarray], d: list[np.ndarray], sig: list[np.ndarray], size: list[np.ndarray]) -> pa.RecordBatch:
+    def flush(lot: int, g: list[np.ndarray], d: list[np.ndarray], sig: list[np.ndarray], size: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         key, doc = np.concatenate(g) >> ts.U64(64 - bits), np.concatenate(d)
-        sigs, sizes = np.concatenate(sig), np.concatenate(size)
+        sigs, first = np.unique(np.concatenate(sig), return_index=True)
+        sizes = np.concatenate(size)[first]
+        own = np.full(int(doc.max()) + 1, -1, dtype=np.int32)
+        own[first[first < len(own)]] = np.flatnonzero(first < len(own))
+        doc = own[doc]
+        key, doc = key[doc >= 0], doc[doc >= 0]
         by = np.argsort(key)
         key, doc = key[by].astype(np.int64), doc[by]
         cut = np.searchsorted(key, [((k << bits) + n_parts - 1) // n_parts for k in range(n_parts + 1)])
-
-        def make(lo: int, hi: int) -> bytes:
-            who, at = np.unique(doc[lo:hi], return_inverse=True)
-            return pack(np.diff(key[lo:hi], prepend=0), at, sigs[who], sizes[who])
-
-        return _packed_rows(cut, make)
+        some = np.flatnonzero(np.diff(cut) > 0)
+        yield _lot_rows(some, np.full(len(some), lot), False, [pack(np.diff(key[cut[k] : cut[k + 1]], prepend=0), doc[cut[k] : cut[k + 1]]) for k in some.tolist()])
+        yield _lot_rows(np.array([lot % n_parts]), np.array([lot]), True, [pack(sigs, sizes)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lot = TaskContext.get().partitionId() << 24
         g_all, d_all, s_all, n_all, docs, held = [], [], [], [], 0, 0
         for b in batches:
             for c in ts.chunks(b):
@@ -115,87 +129,86 @@ def _tokens(n: int, n_parts: int, bits: int):
                 if not len(g):
                     continue
                 g_all.append(g)
-                d_all.append(r + docs)
+                d_all.append((r + docs).astype(np.int32))
                 s_all.append(signatures(r, g, c.num_rows).view(np.int64))
                 n_all.append(np.bincount(r, minlength=c.num_rows))
                 docs += c.num_rows
                 held += len(g)
                 if held >= FLUSH:
-                    yield flush(g_all, d_all, s_all, n_all)
-                    g_all, d_all, s_all, n_all, docs, held = [], [], [], [], 0, 0
+                    yield from flush(lot, g_all, d_all, s_all, n_all)
+                    g_all, d_all, s_all, n_all, docs, held, lot = [], [], [], [], 0, 0, lot + 1
         if held:
-            yield flush(g_all, d_all, s_all, n_all)
+            yield from flush(lot, g_all, d_all, s_all, n_all)
 
     return run
 
 
-def _frequencies(n_parts: int):
-    """Per partition of keys: the tokens of two sets or more, with their number of sets, to the partitions of sets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in ts.grouped(batches, "part"):
-            key, who, sigs, sizes, base = [], [], [], [], 0
-            for x in group.column("packed"):
-                k, at, s, m = unpack(x.as_py())
-                key.append(np.cumsum(k))
-                who.append((at + base).astype(np.int32))
-                sigs.append(s)
-                sizes.append(m)
-                base += len(s)
-            table, first, inv = np.unique(np.concatenate(sigs), return_index=True, return_inverse=True)
-            heads = np.concatenate(sizes)[first]
-            key, who = np.concatenate(key), inv.astype(np.int32)[np.concatenate(who)]
-            by = np.argsort(key)
-            key = key[by]
-            more = np.zeros(len(key), dtype=bool)
-            more[1:] = key[1:] == key[:-1]
-            more[:-1] |= more[1:].copy()
-            key, who = key[more], who[by[more]]
-            by = np.lexsort((who, key))
-            key, who = key[by], who[by]
-            first = np.ones(len(key), dtype=bool)
-            first[1:] = (key[1:] != key[:-1]) | (who[1:] != who[:-1])
-            key, who = key[first], who[first]
-            sig, size = table[who], heads[who]
-            if not len(key):
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per partition of keys: the tokens of two sets or more, with the number of lots' sets that hold them, back to their lots."""
+    for group in ts.grouped(batches, "part"):
+        key, who, lots = [], [], []
+        for lot, head, x in zip(group.column("lot").to_pylist(), group.column("head").to_pylist(), group.column("packed")):
+            if head:
+                yield _lot_rows(np.zeros(1), np.array([lot]), True, [x.as_py()])
                 continue
-            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            df = np.diff(np.append(start, len(key)))
-            df = np.repeat(df, df)
-            keep = df > 1
-            key, sig, size, df = key[keep], sig[keep], size[keep], df[keep]
-            home = (sig.view(ts.U64) % ts.U64(n_parts)).astype(np.int64)
-            by = np.lexsort((sig, home))
-            key, sig, size, df, home = key[by], sig[by], size[by], df[by], home[by]
-
-            def make(lo: int, hi: int) -> bytes:
-                new = np.flatnonzero(np.concatenate([[True], sig[lo + 1 : hi] != sig[lo : hi - 1]]))
-                return pack(sig[lo + new], size[lo + new], np.diff(np.append(new, hi - lo)), key[lo:hi], df[lo:hi])
-
-            yield _packed_rows(np.searchsorted(home, np.arange(n_parts + 1)), make)
-
-    return run
+            k, at = unpack(x.as_py())
+            key.append(np.cumsum(k))
+            who.append(at + (len(lots) << 32))
+            lots.append(lot)
+        if not key:
+            continue
+        key, who = np.concatenate(key), np.concatenate(who)
+        by = np.argsort(key, kind="stable")  # a key's sets stay in the order of their lots
+        key, who = key[by], who[by]
+        more = np.zeros(len(key), dtype=bool)
+        more[1:] = key[1:] == key[:-1]
+        more[:-1] |= more[1:].copy()
+        key, who = key[more], who[more]
+        if not len(key):
+            continue
+        by = np.lexsort((who, key))
+        key, who = key[by], who[by]
+        first = np.ones(len(key), dtype=bool)
+        first[1:] = (key[1:] != key[:-1]) | (who[1:] != who[:-1])
+        key, who = key[first], who[first]
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        df = np.diff(np.append(start, len(key)))
+        df = np.repeat(df, df)
+        keep = df > 1
+        key, who, df = key[keep], who[keep], df[keep]
+        by = np.argsort(who >> 32, kind="stable")
+        key, who, df = key[by], who[by], df[by]
+        cut = np.searchsorted(who >> 32, np.arange(len(lots) + 1))
+        some = np.flatnonzero(np.diff(cut) > 0)
+        if len(some):
+            yield _lot_rows(np.zeros(len(some)), np.array(lots)[some], False, [pack(np.diff(key[cut[k] : cut[k + 1]], prepend=0), who[cut[k] : cut[k + 1]] & 0xFFFFFFFF, df[cut[k] : cut[k + 1]]) for k in some.tolist()])
 
 
 def _prefix_rows(t: float):
     """Order 1: the part of each set's prefix that other sets may share, rarest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in ts.grouped(batches, "part"):
-            cols: list[list[np.ndarray]] = [[], [], [], []]
-            for x in group.column("packed"):
-                s, m, c, k, f = unpack(x.as_py())
-                for col, v in zip(cols, (np.repeat(s, c), np.repeat(m, c), k, f)):
-                    col.append(v)
-            sig, size, key, df = map(np.concatenate, cols)
-            by = np.lexsort((ts.mix(key.view(ts.U64)), df, sig))
-            sig, size, key = sig[by], size[by], key[by]
-            start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-            count = np.diff(np.append(start, len(sig)))
-            take = prefix_length(size[start], t) - (size[start] - count)
-            keep = np.arange(len(sig)) - np.repeat(start, count) < np.repeat(take, count)
+        for group in ts.grouped(batches, "lot"):
+            sigs = sizes = None
+            key, at, df = [], [], []
+            for head, x in zip(group.column("head").to_pylist(), group.column("packed")):
+                if head:
+                    sigs, sizes = unpack(x.as_py())
+                else:
+                    k, a, f = unpack(x.as_py())
+                    key.append(np.cumsum(k))
+                    at.append(a.astype(np.int32))
+                    df.append(f)
+            if not key:
+                continue
+            key, at, df = np.concatenate(key), np.concatenate(at), np.concatenate(df)
+            by = np.lexsort((ts.mix(key.view(ts.U64)), df, at))
+            key, at = key[by], at[by]
+            count = np.bincount(at, minlength=len(sigs))
+            take = prefix_length(sizes, t) - (sizes - count)
+            keep = np.arange(len(at)) - (np.cumsum(count) - count)[at] < take[at]
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(sig[keep])], names=["token", "sig"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(sigs[at[keep]])], names=["token", "sig"])
 
     return run
 
@@ -448,12 +461,11 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, orders: i
     sets = stored(every.mapInArrow(_profile(n), "doc_id long, sig long, n long").distinct())
     d = every.where("text is not null")
     vertex = stored(sets.where("sig <> 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("w"), F.first("n").alias("n")))
-    # a vertex has a head in every partition that its tokens go to, so few large partitions move least
-    k = max(1, parts(spark) // 2)
+    k = parts(spark)
     total = vertex.agg(F.sum("n")).first()[0] or 1
     bits = min(63, max(24, int(total).bit_length() + SPARE_BITS))
-    shared = d.mapInArrow(_tokens(n, k, bits), PACKED).repartition("part").sortWithinPartitions("part").mapInArrow(_frequencies(k), PACKED)
-    prefix = shared.repartition("part").sortWithinPartitions("part").mapInArrow(_prefix_rows(threshold), "token long, sig long")
+    shared = d.mapInArrow(_tokens(n, k, bits), LOTS).repartition("part").sortWithinPartitions("part").mapInArrow(_frequencies, LOTS)
+    prefix = shared.repartition("lot").sortWithinPartitions("lot").mapInArrow(_prefix_rows(threshold), "token long, sig long")
     comps = components(prefix.repartition("token").mapInArrow(_links, "a long, b long"))
     member = vertex.join(comps, vertex.sig == comps.node).select("sig", "rep", "w", "n", "root")
     sizes = member.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("all")).where("m > 1")
