@@ -3,15 +3,18 @@
 Vectors go to the shards of their nearest cluster centres, each to ``overlap`` of them.  A shard
 builds its part of the graph: of each vector's nearest neighbours robust pruning keeps those that
 no kept neighbour covers (Subramanya et al., 2019), links are made mutual, and the parts' adjacency
-lists are united.  Every vector is then a query: a greedy search walks from its shard's medoid over the united lists;
-once within the radius it expands everything in range it meets (range search of Manohar
+lists are united.  Every vector is then a query: a greedy search walks from its shard's medoid over the united lists,
+all of the beam a step; once within the radius it expands everything in range it meets (range search of Manohar
 et al., 2024), and what it found is carried on across shards along the united lists until nothing
-new is in range.  All pairs are verified by their cosine.
+new is in range.  All pairs are verified by their cosine in double precision.
+
+A pair counts in the first shard that both vectors are in, so a shard gives each vector's number of links and its group,
+and no pairs are written but those of vectors that share no shard.
 
 Recall is audited against brute force for queries in hash order, drawn until enough of them have a
 partner.  While it is under ``least_recall`` the shards overlap more, as long as that costs less than
 comparing all nodes in blocks; then they are compared.  An audit that had to draw every node is such
-a comparison, and its pairs are the result.
+a comparison, and its counts are the result.
 
 Equal vectors are one node of all this; the copies rejoin at the end.
 """
@@ -26,13 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import shared_folder, stored, table
+from .common import components, discard, shared_folder, stored, table
+from .ngram_join import joined
 
 COSINE, SHARD, OVERLAP, DEGREE, ALPHA, BEAM, AUDIT, LEAST_RECALL = 0.9, 1000, 2, 24, 1.2, 24, 64, 0.95
 SAMPLE, MAX_CENTRES = 20_000, 16_384
 #: Floats of a block of audit queries, and the comparisons that cost as much as a place in a shard.
 BLOCK, PLACE = 1 << 20, 256
-PAIRS = "vec_a long, vec_b long, cosine double"
+LINKS = "node long, links long, root long"
 
 
 def matrix(col: pa.Array) -> np.ndarray:
@@ -45,25 +49,22 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def nodes(embeddings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, copies): distinct usable vectors, scaled to length 1, under their least vec_id; and the ids equal to them.
+    """(nodes, members): distinct usable vectors (node, v, w) with their number of ids; and (vec_id, node).
 
     Vectors are usable if they are of the commonest dimension, finite and not zero.
     """
     e = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("v")).where("vec_id is not null and v is not null")
     e = e.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0))
     sizes = e.groupBy(F.size("v").alias("k")).count().orderBy(F.desc("count"), "k").first()
-    e = e.where(F.size("v") == (sizes["k"] if sizes else 0))
-    ids = e.groupBy("v").agg(F.min("vec_id").alias("node"), F.collect_set("vec_id").alias("ids"))
-    ids = stored(ids)
-    copies = ids.select("node", F.explode("ids").alias("vec_id")).where("vec_id <> node")
-    once = ids.groupBy("node").agg(F.min("v").alias("v"))
-    return once, copies
+    e = stored(e.where(F.size("v") == (sizes["k"] if sizes else 0)).distinct())
+    n = stored(e.groupBy("v").agg(F.count("*").alias("w")).select(F.monotonically_increasing_id().alias("node"), "v", "w"))
+    return n, e.join(n, "v").select("vec_id", "node")
 
 
 def centres(n: DataFrame, count: int, shard: int, seed: int = 5, rounds: int = 8) -> np.ndarray:
     """Cluster centres by k-means on a bounded sample of nodes; they only decide which shards build together."""
     k = max(1, min(MAX_CENTRES, -(-count // shard)))
-    rows = n.orderBy(F.xxhash64("node"), "node").limit(max(SAMPLE, 2 * k)).select("v").toArrow()
+    rows = n.orderBy(F.xxhash64("v"), "v").limit(max(SAMPLE, 2 * k)).select("v").toArrow()
     x = unit(matrix(rows.column("v")))
     c = x[np.random.default_rng(seed).choice(len(x), min(k, len(x)), replace=False)]
     for _ in range(rounds):
@@ -83,24 +84,26 @@ def _assign(sent, overlap: int):
                 s = b.slice(lo, 4096)
                 sim = unit(matrix(s.column(1))) @ c.T
                 near = np.argpartition(-sim, m - 1, axis=1)[:, :m] if m < len(c) else np.tile(np.arange(len(c)), (s.num_rows, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), pa.array(np.repeat(s.column(0).to_numpy(), m)), s.column(1).take(pa.array(np.repeat(np.arange(s.num_rows), m)))], names=["shard", "node", "v"])
+                near = np.sort(near, axis=1).astype(np.int32)
+                at = pa.array(np.repeat(np.arange(s.num_rows), m))
+                homes = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, m, dtype=np.int32)), pa.array(near.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(near.ravel()), *(s.column(k).take(at) for k in range(3)), homes.take(at)], names=["shard", "node", "v", "w", "homes"])
 
     return run
 
 
-def robust_prune(near: np.ndarray, sim: np.ndarray, x: np.ndarray, degree: int, alpha: float) -> list[int]:
-    """Of candidates by falling similarity those that no kept one is ``alpha`` times nearer to than the node is."""
+def robust_prune(near: np.ndarray, sim: np.ndarray, x: np.ndarray, degree: int, alpha: float) -> np.ndarray:
+    """For each row of candidates by falling similarity, those that no kept one is ``alpha`` times nearer to than the row's node is."""
     dist = np.sqrt(np.maximum(2 - 2 * sim, 0))
-    between = np.sqrt(np.maximum(2 - 2 * (x[near] @ x[near].T), 0))
-    alive = np.ones(len(near), dtype=bool)
-    kept: list[int] = []
-    for k in range(len(near)):
-        if alive[k]:
-            kept.append(k)
-            if len(kept) == degree:
-                break
-            alive &= alpha * between[k] > dist
-    return near[kept].tolist()
+    v = x[near]
+    between = alpha * np.sqrt(np.maximum(2 - 2 * (v @ v.transpose(0, 2, 1)), 0))
+    alive = np.ones(near.shape, dtype=bool)
+    kept = np.zeros(near.shape, dtype=bool)
+    for k in range(near.shape[1]):
+        take = alive[:, k] & (kept.sum(axis=1) < degree)
+        kept[:, k] = take
+        alive &= ~take[:, None] | (between[:, k] > dist)
+    return kept
 
 
 def build(x: np.ndarray, degree: int, alpha: float, pool: int = 64) -> list[set[int]]:
@@ -115,10 +118,12 @@ def build(x: np.ndarray, degree: int, alpha: float, pool: int = 64) -> list[set[
         sim[np.arange(len(sim)), np.arange(lo, lo + len(sim))] = -2
         near = np.argpartition(-sim, pool - 1, axis=1)[:, :pool]
         near = np.take_along_axis(near, np.argsort(-np.take_along_axis(sim, near, 1), axis=1, kind="stable"), 1)
-        for i in range(len(sim)):
-            for j in robust_prune(near[i], sim[i, near[i]], x, degree, alpha):
-                links[lo + i].add(j)
-                links[j].add(lo + i)
+        for at in range(0, len(sim), 128):
+            mine = near[at : at + 128]
+            kept = robust_prune(mine, np.take_along_axis(sim[at : at + 128], mine, 1), x, degree, alpha)
+            for i, j in zip((np.nonzero(kept)[0] + lo + at).tolist(), mine[kept].tolist()):
+                links[i].add(j)
+                links[j].add(i)
     seen = np.zeros(m, dtype=bool)
     last = medoid = int((x @ x.sum(axis=0)).argmax())
     todo = [medoid]
@@ -148,67 +153,77 @@ def _graph(degree: int, alpha: float):
     return run
 
 
-def search(x: np.ndarray, links: list[np.ndarray], radius: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, found) of a shard, all its members as queries in step: beam from the medoid, then all in range."""
+def search(x: np.ndarray, links: list[np.ndarray], radius: float, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, found) of a shard, all its members as queries in step: from the medoid all of the beam at once, then all in range."""
     m = len(x)
     width = max((len(s) for s in links), default=0)
     if not width:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return
     adj = np.full((m, width), -1, dtype=np.int64)
     for i, s in enumerate(links):
         adj[i, : len(s)] = s
     medoid = int((x @ x.sum(axis=0)).argmax())
-    out_q, out_f = [], []
     for lo in range(0, m, 512):
         q = np.arange(lo, min(m, lo + 512))
         sim = np.full((len(q), m), -2, dtype=np.float32)  # what a query has met so far
         sim[:, medoid] = x[q] @ x[medoid]
         opened = np.zeros((len(q), m), dtype=bool)
         while True:
-            waiting = np.where(opened, -3, sim)
             cut = np.partition(sim, m - min(beam, m), axis=1)[:, m - min(beam, m)]
-            best = waiting.argmax(axis=1)
-            top = waiting[np.arange(len(q)), best]
-            act = np.flatnonzero((top > -2) & ((top >= cut) | (top >= radius)))
-            if not len(act):
+            r, c = np.nonzero(~opened & (sim > -1.5) & (sim >= np.minimum(cut, radius)[:, None]))
+            if not len(r):
                 break
-            rows = [act]
-            cols = [best[act]]
-            r, c = np.nonzero((waiting >= radius) & (sim >= radius))  # everything in range is expanded
-            rows.append(r)
-            cols.append(c)
-            r, c = np.concatenate(rows), np.concatenate(cols)
             opened[r, c] = True
-            nb = adj[c]
-            r = np.repeat(r, width)
-            nb = nb.ravel()
-            ok = nb >= 0
-            r, nb = r[ok], nb[ok]
-            fresh = sim[r, nb] < -1.5
-            r, nb = r[fresh], nb[fresh]
-            for k in range(0, len(r), 1 << 16):
-                a, b = r[k : k + (1 << 16)], nb[k : k + (1 << 16)]
+            for k in range(0, len(r), 1 << 14):
+                a, b = np.repeat(r[k : k + (1 << 14)], width), adj[c[k : k + (1 << 14)]].ravel()
+                a, b = a[b >= 0], b[b >= 0]
+                fresh = np.unique((a * m + b)[sim[a, b] < -1.5])
+                a, b = fresh // m, fresh % m
                 sim[a, b] = np.einsum("ij,ij->i", x[q[a]], x[b])
-        r, c = np.nonzero(sim >= radius)
-        out_q.append(q[r])
-        out_f.append(c)
-    return np.concatenate(out_q), np.concatenate(out_f)
+        r, c = np.nonzero(sim >= radius - 1e-4)
+        yield q[r], c
 
 
 def _search(radius: float, beam: int):
+    """Per shard: each node's links that count here, its group, and the nodes outside that it may be near to."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in ts.grouped(batches, "shard"):
-            ids, x = g.column("node").combine_chunks().to_numpy(), unit(matrix(g.column("v")))
+            shard = g.column("shard")[0].as_py()
+            ids, raw = g.column("node").combine_chunks().to_numpy(), matrix(g.column("v"))
             by = np.argsort(ids)
-            ids, x = ids[by], x[by]
+            ids, raw, weight = ids[by], raw[by], g.column("w").to_numpy()[by]
+            x, exact = unit(raw), unit(raw.astype(np.float64))
+            homes = g.column("homes").combine_chunks()
+            homes = homes.flatten().to_numpy().reshape(len(ids), -1)[by]
             lists = g.column("links").combine_chunks().take(pa.array(by))
             flat, offs = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pa.compute.list_value_length(lists).to_numpy())])
             at = np.minimum(np.searchsorted(ids, flat), len(ids) - 1)
             here = ids[at] == flat
             links = [at[a:b][here[a:b]] for a, b in zip(offs[:-1], offs[1:])]
-            q, f = search(x, links, radius, beam)
-            keep = ids[q] < ids[f]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q[keep]]), pa.array(ids[f[keep]])], names=["a", "b"])
+            away = [flat[a:b][~here[a:b]] for a, b in zip(offs[:-1], offs[1:])]
+            far = np.array([len(s) for s in away])
+            total, out, ends = np.zeros(len(ids), np.int64), [[] for _ in ids], []
+            for q, f in search(x, links, radius, beam):
+                ok = (np.einsum("ij,ij->i", exact[q], exact[f]) >= radius) & (q != f)
+                q, f = q[ok], f[ok]
+                first, known = np.zeros(len(q), bool), np.zeros(len(q), bool)
+                for k in range(homes.shape[1]):  # homes ascend: the first that both have is where they count
+                    both = (homes[q, k][:, None] == homes[f]).any(axis=1) & ~known
+                    first |= both & (homes[q, k] == shard)
+                    known |= both
+                total += np.bincount(q[first], weights=weight[f[first]], minlength=len(ids)).astype(np.int64)
+                if len(q):  # a query's group is told by the first it found; queries come in order
+                    new = np.diff(q, prepend=-1) > 0
+                    head = f[np.flatnonzero(new)][np.cumsum(new) - 1]
+                    ends.append(np.unique(np.concatenate([q, f]) * len(ids) + np.tile(head, 2)))
+                near = np.flatnonzero(far[f] > 0)
+                for i, j in zip(q[near].tolist(), f[near].tolist()):
+                    out[i].append(away[j])
+            code = np.concatenate(ends) if ends else np.zeros(0, np.int64)
+            root = joined(len(ids), code // len(ids), code % len(ids))
+            out = [np.unique(np.concatenate([*o, away[i]])) if o or len(away[i]) else away[i] for i, o in enumerate(out)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total), pa.array(ids[root]), pa.array(out, pa.list_(pa.int64()))], names=["node", "links", "root", "outside"])
 
     return run
 
@@ -219,121 +234,139 @@ def cosine(a, b):
     return dot / (norm(a) * norm(b))
 
 
-def verified(candidates: DataFrame, n: DataFrame, radius: float) -> DataFrame:
-    """(a, b, cosine) of the candidates within the radius."""
-    c = candidates.join(n.select(F.col("node").alias("a"), F.col("v").alias("va")), "a").join(n.select(F.col("node").alias("b"), F.col("v").alias("vb")), "b")
-    return c.select("a", "b", cosine(F.col("va"), F.col("vb")).alias("cosine")).where(F.col("cosine") >= radius)
+def crossing(candidates: DataFrame, at: DataFrame, radius: float) -> DataFrame:
+    """(a, b) of the candidates that share no shard and are within the radius; ``at`` has (node, v, homes)."""
+    side = lambda k: at.select(F.col("node").alias(k), F.col("v").alias(f"v{k}"), F.col("homes").alias(f"h{k}"))
+    c = candidates.join(side("a"), "a").join(side("b"), "b")
+    return c.where(~F.arrays_overlap("ha", "hb")).where(cosine(F.col("va"), F.col("vb")) >= radius).select("a", "b")
 
 
-def near_pairs(n: DataFrame, count: int, radius: float, shard: int, overlap: int, degree: int, alpha: float, beam: int) -> DataFrame:
-    """(a, b, cosine), a < b, of nodes within the radius, by one build and search of the graph."""
+def near_links(n: DataFrame, count: int, radius: float, shard: int, overlap: int, degree: int, alpha: float, beam: int) -> DataFrame:
+    """(node, links, root): parts of each node's number of links within the radius, and of its group, by one build and search of the graph."""
     sent = n.sparkSession.sparkContext.broadcast(centres(n, count, shard))
-    shards = stored(n.mapInArrow(_assign(sent, overlap), "shard int, node long, v array<float>"))
+    shards = stored(n.mapInArrow(_assign(sent, overlap), "shard int, node long, v array<float>, w long, homes array<int>"))
+    at = shards.where("shard = homes[0]").select("node", "v", "w", "homes")
     by_shard = lambda df: df.repartition("shard").sortWithinPartitions("shard", "node")
-    graph = by_shard(shards).mapInArrow(_graph(degree, alpha), "node long, links array<long>")
+    graph = by_shard(shards.select("shard", "node", "v")).mapInArrow(_graph(degree, alpha), "node long, links array<long>")
     graph = stored(graph.select("node", F.explode("links").alias("link")).groupBy("node").agg(F.collect_set("link").alias("links")))
-    with_links = shards.join(graph, "node", "left").select("shard", "node", "v", F.coalesce("links", F.array().cast("array<long>")).alias("links"))
-    found = stored(verified(by_shard(with_links).mapInArrow(_search(radius, beam), "a long, b long").distinct(), n, radius))
-    new = found
-    while not new.isEmpty():  # across shards: neighbours of what was found, until nothing new is in range
+    with_links = shards.join(graph, "node", "left").select("shard", "node", "v", "w", "homes", F.coalesce("links", F.array().cast("array<long>")).alias("links"))
+    inside = stored(by_shard(with_links).mapInArrow(_search(radius, beam), "node long, links long, root long, outside array<long>"))
+    out, found = inside.select("node", "links", "root"), None
+    step = inside.select(F.col("node").alias("q"), F.explode("outside").alias("c"))
+    while True:  # across shards: neighbours of what was found, until nothing new is in range
+        step = step.select(F.least("q", "c").alias("a"), F.greatest("q", "c").alias("b")).distinct()
+        new = stored(crossing(step if found is None else step.join(found, ["a", "b"], "left_anti"), at, radius))
+        if new.isEmpty():
+            break
+        found = new if found is None else found.unionByName(new)
         ends = new.select(F.col("a").alias("q"), F.col("b").alias("h")).union(new.select("b", "a"))
         step = ends.join(graph, F.col("h") == F.col("node")).select("q", F.explode("links").alias("c")).where("q <> c")
-        step = step.select(F.least("q", "c").alias("a"), F.greatest("q", "c").alias("b")).distinct().join(found.select("a", "b"), ["a", "b"], "left_anti")
-        new = stored(verified(step, n, radius))
-        found = found.unionByName(new)
-    return found
+    if found is not None:
+        both = found.union(found.select("b", "a")).join(at.select(F.col("node").alias("b"), "w"), "b")
+        out = out.unionByName(both.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("links"), F.min("b").alias("root")))
+        out = out.unionByName(found.select(F.col("a").alias("node"), F.lit(0).cast("long").alias("links"), F.col("b").alias("root")))
+    return out
 
 
 def _compare(sent, radius: float):
-    """(q, a, b, cosine) of the pairs that a block of queries makes with all nodes; the cosine in doubles."""
+    """(node, links, root): what a block of queries has in range among these nodes, and the groups that makes; the cosine in doubles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, x = sent.value
         near, exact = unit(x), unit(x.astype(np.float64))
+        total, links = np.zeros(len(ids), np.int64), []
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 s = b.slice(lo, 512)
-                node, v = s.column(0).to_numpy(), matrix(s.column(1))
+                node, v, w = s.column(0).to_numpy(), matrix(s.column(1)), s.column(2).to_numpy()
                 r, c = np.nonzero(unit(v) @ near.T >= radius - 1e-4)
                 cos = np.einsum("ij,ij->i", unit(v.astype(np.float64))[r], exact[c])
                 ok = (cos >= radius) & (node[r] != ids[c])
-                q, other = ids[c[ok]], node[r[ok]]
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.minimum(q, other)), pa.array(np.maximum(q, other)), pa.array(cos[ok])], names=["q", "a", "b", "cosine"])
+                r, c = r[ok], c[ok]
+                total += np.bincount(c, weights=w[r], minlength=len(ids)).astype(np.int64)
+                if len(r):  # nodes and queries of one group, each once
+                    root = joined(len(node) + len(ids), r, c + len(node))
+                    mine = np.unique(np.concatenate([r, c + len(node)]))
+                    name = np.concatenate([node, ids])
+                    links.append(pa.RecordBatch.from_arrays([pa.array(name[mine]), pa.array(np.zeros(len(mine), np.int64)), pa.array(name[root[mine]])], names=["node", "links", "root"]))
+        yield from links
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(total[at]), pa.array(ids[at])], names=["node", "links", "root"])
 
     return run
 
 
-def true_pairs(n: DataFrame, radius: float, queries: int | None) -> tuple[DataFrame, bool]:
-    """(the true pairs (a, b, cosine) of nodes drawn in hash order, whether every node was drawn).
+def true_links(n: DataFrame, radius: float, queries: int | None) -> tuple[DataFrame, DataFrame, bool]:
+    """(true parts as of ``near_links``, the nodes drawn, whether every node was drawn).
 
-    Nodes are drawn, in growing blocks, until ``queries`` of them have a partner; all if it is None.
+    Nodes are drawn in hash order, in growing blocks, until ``queries`` of them have a partner; all if it is None.
     """
     spark = n.sparkSession
-    by = n.withColumn("h", F.xxhash64("node", F.lit(11)))
-    parts, last, partnered, size = [], None, 0, queries
+    by = n.withColumn("h", F.xxhash64("v", F.lit(11)))
+    parts, last, partnered, size, dim = [], None, 0, queries, 1
     while queries is None or partnered < queries:
         rest = by if last is None else by.where((F.col("h") > last[0]) | ((F.col("h") == last[0]) & (F.col("node") > last[1])))
-        most = max(64, BLOCK // max(1, parts[0][1])) if parts else 64
+        most = max(64, BLOCK // dim)
         limit = most if size is None else min(size, most)
         q = rest.orderBy("h", "node").limit(limit).select("h", "node", "v").toArrow()
         if not q.num_rows:
             break
         x = matrix(q.column("v"))
-        last = (q.column("h")[-1].as_py(), q.column("node")[-1].as_py())
+        last, dim = (q.column("h")[-1].as_py(), q.column("node")[-1].as_py()), x.shape[1]
         sent = spark.sparkContext.broadcast((q.column("node").to_numpy(), x))
-        found = stored(n.select("node", "v").mapInArrow(_compare(sent, radius), "q long, a long, b long, cosine double"))
+        found = stored(n.select("node", "v", "w").mapInArrow(_compare(sent, radius), LINKS))
         sent.unpersist()
-        partnered += found.select("q").distinct().count()
-        parts.append((found, x.shape[1]))
+        partnered += found.where("links > 0").select("node").distinct().count()
+        parts.append(found)
         size = size and 4 * size
         if q.num_rows < limit:
+            last = None
             break
-    else:
-        rest = by.where((F.col("h") > last[0]) | ((F.col("h") == last[0]) & (F.col("node") > last[1])))
-        if not rest.isEmpty():
-            return _united(parts), False
-    return _united(parts), True
-
-
-def _united(parts: list[tuple[DataFrame, int]]) -> DataFrame:
-    out = parts[0][0]
-    for df, _ in parts[1:]:
+    out = parts[0]
+    for df in parts[1:]:
         out = out.unionByName(df)
-    return out.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+    if last is None:
+        return out, n.select("node"), True
+    drawn = by.where((F.col("h") < last[0]) | ((F.col("h") == last[0]) & (F.col("node") <= last[1]))).select("node")
+    return out, drawn, not bool(by.where((F.col("h") > last[0]) | ((F.col("h") == last[0]) & (F.col("node") > last[1]))).limit(1).count())
 
 
-def recall(true: DataFrame, found: DataFrame) -> float:
-    """Share of some true pairs, of which there is at least one, that were found."""
-    r = true.join(found.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left").agg(F.count("*").alias("n"), F.count("hit").alias("k")).first()
-    return r["k"] / r["n"]
+def recall(true: DataFrame, drawn: DataFrame, found: DataFrame) -> float:
+    """Share of the drawn nodes' true links, of which there is at least one, that were found."""
+    t = true.where("links > 0").join(drawn, "node", "left_semi").agg(F.sum("links")).first()[0]
+    return (found.where("links > 0").join(drawn, "node", "left_semi").agg(F.sum("links")).first()[0] or 0) / t
 
 
 def near_duplicates(embeddings: DataFrame, radius: float = COSINE, shard: int = SHARD, overlap: int = OVERLAP, degree: int = DEGREE, alpha: float = ALPHA, beam: int = BEAM, queries: int = AUDIT, least_recall: float = LEAST_RECALL) -> DataFrame:
-    """(vec_a, vec_b, cosine), vec_a < vec_b: pairs of vectors within the radius, verified.
+    """(vec_id, class_id, links): one row for each vector with its class and the number of others within the radius, copies included.
 
-    Equal vectors are joined through the least vec_id among them, at 1.0, which alone is paired with others.
-    Null ids and vectors, vectors of another dimension, zero vectors and those with null, NaN or
-    infinite entries are in no pair; repeated rows count once; an id with several vectors is paired
-    by any of them; other columns are not read.
+    Links in a row make a class, named by its least vec_id.  Null vectors, vectors of another dimension, zero vectors and
+    those with null, NaN or infinite entries have no links and are classes of their own; null ids are left out;
+    repeated rows count once; an id with several vectors has a row for each usable one; other columns are not read.
     """
-    spark = embeddings.sparkSession
-    shared_folder(spark)
-    n, copies = nodes(embeddings)
-    n = stored(n)
+    shared_folder(embeddings.sparkSession)
+    n, members = nodes(embeddings)
     count = n.count()
-    same = copies.where("node <> vec_id").select(F.least("node", "vec_id").alias("vec_a"), F.greatest("node", "vec_id").alias("vec_b"), F.lit(1.0).alias("cosine"))
-    if count < 2:
-        return same.distinct()
-    found, whole = true_pairs(n, radius, queries)
+    own = lambda df: df.select("vec_id", F.col("vec_id").alias("class_id"), F.lit(0).cast("long").alias("links"))
+    every = embeddings.select(F.col("vec_id").cast("long").alias("vec_id")).where("vec_id is not null").distinct()
+    if not count:
+        return own(every)
+    found, drawn, whole = true_links(n, radius, queries)
     if not whole:
-        true = stored(found)
-        while recall(true, found := near_pairs(n, count, radius, shard, overlap, degree, alpha, beam)) < least_recall:
+        true = found
+        while recall(true, drawn, found := stored(near_links(n, count, radius, shard, overlap, degree, alpha, beam))) < least_recall:
+            discard(found)
             overlap *= 2
             if overlap * shard * PLACE >= count:
-                found, _ = true_pairs(n, radius, None)
+                found, _, _ = true_links(n, radius, None)
                 break
-    near = found.select(F.col("a").alias("vec_a"), F.col("b").alias("vec_b"), F.round("cosine", 6).alias("cosine"))
-    return near.unionByName(same).groupBy("vec_a", "vec_b").agg(F.max("cosine").alias("cosine"))
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    groups = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).distinct())
+    least = members.groupBy("node").agg(F.min("vec_id").alias("least"))
+    vertex = n.select("node", "w").join(least, "node").join(links, "node", "left").join(groups, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("links"))
+    vertex = vertex.join(vertex.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("node", "class_id", "links")
+    usable = members.join(vertex, "node").select("vec_id", "class_id", "links")
+    return usable.unionByName(own(every.join(members, "vec_id", "left_anti")))
 
 
 def op4_graph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

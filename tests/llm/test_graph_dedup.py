@@ -3,6 +3,7 @@
 import numpy as np
 
 from sparkfeat.llm import graph_dedup as gd
+from sparkfeat.llm.ngram_join import joined
 
 
 def vectors(seed=0, n=500, dim=16):
@@ -16,22 +17,51 @@ def vectors(seed=0, n=500, dim=16):
     return x
 
 
-def test_pairs_against_brute_force(spark):
-    x = vectors()
-    df = spark.createDataFrame([(k, v.tolist(), 1.5) for k, v in enumerate(x)], "vec_id long, embedding array<float>, cosine double")
-    got = {(r.vec_a, r.vec_b) for r in gd.near_duplicates(df, shard=100).collect()}
+def brute(x):
+    """(class, links) of each vector, copies included."""
     u = gd.unit(x.astype(np.float64))
-    s = u @ u.T
-    copies = {k + 2 for k in range(0, len(x), 25)}  # paired with their equal alone
-    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(s >= 0.9, 1))) if not ({i, j} & copies)} | {(k - 2, k) for k in copies}
-    assert got <= want and len(got) >= 0.98 * len(want)
+    near = (u @ u.T >= 0.9) | (x[:, None] == x[None]).all(axis=2)
+    np.fill_diagonal(near, False)
+    root = joined(len(x), *np.nonzero(near))
+    return [(int(root[k]), int(near[k].sum())) for k in range(len(x))]
+
+
+def found(spark, x, **how):
+    df = spark.createDataFrame([(k, v.tolist(), 1.5) for k, v in enumerate(x)], "vec_id long, embedding array<float>, cosine double")
+    got = {r.vec_id: (r.class_id, r.links) for r in gd.near_duplicates(df, **how).collect()}
+    assert set(got) == set(range(len(x)))
+    return [got[k] for k in range(len(x))]
+
+
+def test_classes_against_brute_force(spark):
+    x = vectors()
+    want = brute(x)
+    got = found(spark, x, shard=100, queries=8)
+    assert all(g[1] <= w[1] for g, w in zip(got, want))
+    assert sum(g[1] for g in got) >= 0.95 * sum(w[1] for w in want) and sum(g == w for g, w in zip(got, want)) >= 0.95 * len(x)
+    assert found(spark, x, queries=None) == want
+
+
+def test_a_dense_group_over_several_shards(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((400, 16)).astype(np.float32)
+    x[:200] = x[0] + 0.28 * rng.standard_normal((200, 16))
+    want = brute(x)
+    assert max(n for _, n in want) > 100
+    got = found(spark, x, shard=40, overlap=2, queries=16)
+    assert all(g[1] <= w[1] for g, w in zip(got, want)) and sum(g[1] for g in got) >= 0.95 * sum(w[1] for w in want)
+
+
+def test_one_node(spark):
+    df = spark.createDataFrame([(3, [1.0, 2.0]), (5, [1.0, 2.0]), (7, None)], "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, gd.near_duplicates(df).collect())) == [(3, 3, 1), (5, 3, 1), (7, 7, 0)]
 
 
 def test_robust_prune_definition():
     x = gd.unit(np.random.default_rng(1).standard_normal((60, 8)))
     sim = x[1:] @ x[0]
     near = np.argsort(-sim) + 1
-    kept = gd.robust_prune(near, x[near] @ x[0], x, 10, 1.2)
+    kept = near[gd.robust_prune(near[None], (x[near] @ x[0])[None], x, 10, 1.2)[0]].tolist()
     d = lambda a, b: np.linalg.norm(x[a] - x[b])
     want: list[int] = []
     for c in near.tolist():
@@ -43,7 +73,8 @@ def test_robust_prune_definition():
 def test_odd_rows(spark):
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 0.0]), (4, None), (None, [1.0, 0.0]), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [1.0]), (8, [0.0, 1.0]), (9, [None, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    assert {(r.vec_a, r.vec_b, r.cosine) for r in gd.near_duplicates(df).collect()} == {(1, 2, 1.0), (1, 3, 1.0)}
+    got = sorted(map(tuple, gd.near_duplicates(df).collect()))
+    assert got == [(1, 1, 2), (2, 1, 2), (3, 1, 2), *((k, k, 0) for k in range(4, 10))]
     assert gd.near_duplicates(df.limit(0)).count() == 0
 
 
@@ -59,8 +90,7 @@ def planted(n, pairs, dim=64, seed=3):
 def test_recall_is_met_with_many_shards_and_isolated_pairs(spark):
     for n, pairs in ((2000, 12), (2000, 600)):
         x = planted(n, pairs)
-        u = gd.unit(x.astype(np.float64))
-        want = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(u @ u.T >= 0.9, 1)))}
-        df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
-        got = {(r.vec_a, r.vec_b) for r in gd.near_duplicates(df, shard=10, overlap=1).collect()}
-        assert got <= want and len(got) >= 0.95 * len(want) and len(want) >= 0.9 * pairs
+        want = brute(x)
+        got = found(spark, x, shard=10, overlap=1)
+        assert all(g[1] <= w[1] for g, w in zip(got, want)) and sum(g[1] for g in got) >= 0.95 * sum(w[1] for w in want)
+        assert sum(w[1] for w in want) >= 1.8 * pairs
