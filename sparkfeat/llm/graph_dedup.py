@@ -154,19 +154,21 @@ def _graph(degree: int, alpha: float):
 
 
 def search(x: np.ndarray, links: list[np.ndarray], radius: float, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(query, found) of a shard, all its members as queries in step: from the medoid all of the beam at once, then all in range."""
+    """(query, found) of a shard, all its members as queries in step: from the medoid all of the beam at once, then all in range.
+
+    A block's similarities come from one matrix product, which is cheaper than picking pairs; the walk uncovers those it meets.
+    """
     m = len(x)
-    width = max((len(s) for s in links), default=0)
-    if not width:
+    degree = np.array([len(s) for s in links])
+    if not degree.any():
         return
-    adj = np.full((m, width), -1, dtype=np.int64)
-    for i, s in enumerate(links):
-        adj[i, : len(s)] = s
+    start, flat = np.cumsum(degree) - degree, np.concatenate(links)
     medoid = int((x @ x.sum(axis=0)).argmax())
     for lo in range(0, m, 512):
         q = np.arange(lo, min(m, lo + 512))
+        every = x[q] @ x.T
         sim = np.full((len(q), m), -2, dtype=np.float32)  # what a query has met so far
-        sim[:, medoid] = x[q] @ x[medoid]
+        sim[:, medoid] = every[:, medoid]
         opened = np.zeros((len(q), m), dtype=bool)
         while True:
             cut = np.partition(sim, m - min(beam, m), axis=1)[:, m - min(beam, m)]
@@ -174,12 +176,10 @@ def search(x: np.ndarray, links: list[np.ndarray], radius: float, beam: int) ->
             if not len(r):
                 break
             opened[r, c] = True
-            for k in range(0, len(r), 1 << 14):
-                a, b = np.repeat(r[k : k + (1 << 14)], width), adj[c[k : k + (1 << 14)]].ravel()
-                a, b = a[b >= 0], b[b >= 0]
-                fresh = np.unique((a * m + b)[sim[a, b] < -1.5])
-                a, b = fresh // m, fresh % m
-                sim[a, b] = np.einsum("ij,ij->i", x[q[a]], x[b])
+            for k in range(0, len(r), 1 << 15):
+                own, n = c[k : k + (1 << 15)], degree[c[k : k + (1 << 15)]]
+                a, b = np.repeat(r[k : k + (1 << 15)], n), flat[ts.ranges(start[own], n)]
+                sim[a, b] = every[a, b]
         r, c = np.nonzero(sim >= radius - 1e-4)
         yield q[r], c
 
