@@ -207,36 +207,44 @@ def _prefix_rows(t: float):
             count = np.bincount(at, minlength=len(sigs))
             take = prefix_length(sizes, t) - (sizes - count)
             keep = np.arange(len(at)) - (np.cumsum(count) - count)[at] < take[at]
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(sigs[at[keep]])], names=["token", "sig"])
+            if not keep.any():
+                continue
+            # within the lot sets that share a token are joined at once; one of each group carries its tokens on
+            key, at = key[keep], at[keep].astype(np.int64)
+            group, spans = grouped_by(key, at, len(sigs))
+            by = np.lexsort((group[at], key))
+            key, at = key[by], group[at[by]]
+            once = np.concatenate([[True], (key[1:] != key[:-1]) | (at[1:] != at[:-1])])
+            yield pa.RecordBatch.from_arrays([pa.array(key[once]), pa.array(sigs[at[once]]), pa.nulls(int(once.sum()), pa.int64())], names=["token", "sig", "other"])
+            if len(spans):
+                yield pa.RecordBatch.from_arrays([pa.array(sigs[spans]), pa.array(sigs[spans]), pa.array(sigs[group[spans]])], names=["token", "sig", "other"])
 
     return run
 
 
+def grouped_by(key: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(group of each of n vertices that share keys in a row, named by its least one; the vertices that are not their group's name)."""
+    by = np.lexsort((at, key))
+    k, v = key[by], at[by]
+    same = np.flatnonzero((k[1:] == k[:-1]) & (v[1:] != v[:-1]))
+    code = np.unique(v[same] * n + v[same + 1])
+    group = joined(n, code // n, code % n)
+    return group, np.flatnonzero(group != np.arange(n))
+
+
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges between neighbours in the sorted lists of vertices that share a token."""
+    """Edges that span the groups of vertices that share tokens, and those that came along."""
     held = [b for b in batches if b.num_rows]
     if not held:
         return
-    token = np.concatenate([b.column(0).to_numpy() for b in held])
-    sig = np.concatenate([b.column(1).to_numpy() for b in held])
-    del held
-    by = np.argsort(token, kind="stable")
-    token = token[by]
-    shared = np.zeros(len(token), dtype=bool)
-    shared[1:] = token[1:] == token[:-1]
-    shared[:-1] |= shared[1:]
-    token, sig = token[shared], sig[by[shared]]
-    by = np.lexsort((sig, token))
-    token, sig = token[by], sig[by]
-    edge = np.flatnonzero((token[1:] == token[:-1]) & (sig[1:] != sig[:-1]))
-    if len(edge):
-        a, b = sig[edge], sig[edge + 1]
-        by = np.lexsort((b, a))
-        a, b = a[by], b[by]
-        keep = np.ones(len(a), dtype=bool)
-        keep[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+    token, sig = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in (0, 1))
+    other = pa.chunked_array([b.column(2) for b in held])
+    edge = pa.compute.is_valid(other).to_numpy(zero_copy_only=False)
+    yield pa.RecordBatch.from_arrays([pa.array(sig[edge]), other.filter(pa.array(edge)).combine_chunks()], names=["a", "b"])
+    del held, other
+    names, at = np.unique(sig[~edge], return_inverse=True)
+    group, spans = grouped_by(token[~edge], at.astype(np.int64), len(names))
+    yield pa.RecordBatch.from_arrays([pa.array(names[spans]), pa.array(names[group[spans]])], names=["a", "b"])
 
 
 class Side(NamedTuple):
@@ -465,7 +473,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, orders: i
     total = vertex.agg(F.sum("n")).first()[0] or 1
     bits = min(63, max(24, int(total).bit_length() + SPARE_BITS))
     shared = d.mapInArrow(_tokens(n, k, bits), LOTS).repartition("part").sortWithinPartitions("part").mapInArrow(_frequencies, LOTS)
-    prefix = shared.repartition("lot").sortWithinPartitions("lot").mapInArrow(_prefix_rows(threshold), "token long, sig long")
+    prefix = shared.repartition("lot").sortWithinPartitions("lot").mapInArrow(_prefix_rows(threshold), "token long, sig long, other long")
     comps = components(prefix.repartition("token").mapInArrow(_links, "a long, b long"))
     member = vertex.join(comps, vertex.sig == comps.node).select("sig", "rep", "w", "n", "root")
     sizes = member.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("all")).where("m > 1")
