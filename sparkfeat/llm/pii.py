@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import shared_folder, stored, table
+from .common import discard, shared_folder, stored, table
 
 WINDOW, SUPPORT, GENERALISE, REMOVE, FLUSH = 8, 2, 0.6, 0.9, 4_000_000
 KINDS = {
@@ -124,8 +124,8 @@ def _observe(window: int):
 _SEEN_ARROW = pa.schema([("doc_id", pa.int64()), ("entity", pa.int64()), ("context", pa.int64()), ("terms", pa.list_(pa.int64())), ("term", pa.int64()), ("n", pa.int64())])
 
 
-def disclosure(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
-    """(shares, observations): how much each term discloses of each entity, and where they were seen.
+def disclosure(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(shares, observations, table): how much each term discloses of each entity, where they were seen, and the stored table that both read.
 
     ``shares`` has (entity, term, c_te, c_t, c_e, share) for terms in ``support`` distinct contexts.
     All counts are over all rows; rows with null text hold nothing.
@@ -141,7 +141,7 @@ def disclosure(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT) ->
     total = d.where("text <> ''").count()
     ratio = F.log2(F.lit(float(total)) * F.col("c_te") / (F.greatest("c_t", "c_te") * F.col("c_e")))
     shares = c_te.join(c_e, "entity").join(c_t, "term").withColumn("share", F.when(F.col("c_e") >= total, F.lit(0.0)).otherwise(ratio / F.log2(F.lit(float(total)) / F.col("c_e"))))
-    return shares, at
+    return shares, at, seen
 
 
 def _sanitise(window: int):
@@ -196,10 +196,13 @@ def _sanitise(window: int):
 
 def _told(docs: DataFrame, window: int, support: int, generalise: float, remove: float) -> DataFrame:
     """(key, told): per document the (entity, term, gone) that its contexts hold."""
-    shares, at = disclosure(docs, window, support)
+    shares, at, seen = disclosure(docs, window, support)
     risky = stored(shares.where(F.col("share") >= generalise).select("entity", "term", (F.col("share") >= remove).alias("gone")))
-    held = at.where("doc_id is not null").join(risky, "entity").where(F.array_contains("terms", F.col("term")))
-    return stored(held.groupBy(F.col("doc_id").alias("key")).agg(F.collect_set(F.struct("entity", "term", "gone")).alias("told")))
+    held = at.where("doc_id is not null").join(risky.select("entity").distinct(), "entity", "left_semi").select("doc_id", "entity", F.explode("terms").alias("term"))
+    told = stored(held.join(risky, ["entity", "term"]).groupBy(F.col("doc_id").alias("key")).agg(F.collect_set(F.struct("entity", "term", "gone")).alias("told")))
+    discard(seen)
+    discard(risky)
+    return told
 
 
 def sanitise(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
