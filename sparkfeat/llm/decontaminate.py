@@ -9,9 +9,10 @@ them (Halko et al., 2011; Tropp et al., 2017).  A passage is a candidate for an
 in that latent space is high enough.  An item longer than a passage is sought by its stretches, cut
 evenly, each a vector of its own.  Candidates are verified on the words: the longest common
 subsequence of item and passage must cover the item, and that of its answer, the last quarter
-of its words, the answer.  So reordered neighbours, inserted and replaced words are still found.
+of its words, the answer.  So reordered neighbours, inserted and replaced words are still found, as far as they lie
+within twice the item's number of words, around the stretch that holds most of its words: what is spread further is no copy.
 
-Three scans of the text; what is broadcast grows with the benchmark and never with the corpus.
+Three scans of the text; what is broadcast grows with the benchmark (a bit for each item and term) and never with the corpus.
 """
 
 from __future__ import annotations
@@ -40,10 +41,16 @@ class Plan(NamedTuple):
     latent: np.ndarray  # stretches x rank, unit rows
     items: list[tuple[int, list[int]]]  # item_id and word hashes
     of: np.ndarray  # each stretch's item
-    holds: np.ndarray  # stretches x terms
+    holds: np.ndarray  # stretches x terms, packed bits
     total: list[int]  # each item's number of distinct terms, summed over its stretches
     words: np.ndarray  # sorted word hashes of all items
-    has: np.ndarray  # items x words
+    has: np.ndarray  # items x words, packed bits
+    known: np.ndarray  # each item's number of distinct words
+
+
+def bit(packed: np.ndarray, i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
+    """The bits at columns j of rows i."""
+    return (packed[i, j >> 3] >> (7 - (j & 7)).astype(np.uint8) & 1).astype(bool)
 
 
 def rows_of(c: pa.RecordBatch, terms: np.ndarray, passage: int):
@@ -183,18 +190,25 @@ def plan(docs: DataFrame, benchmark: DataFrame, passage: int = PASSAGE, rank: in
     basis = nystrom_basis(y, omega.astype(np.float64), rank).astype(np.float32)
     cut = [(k, part) for k, (_, ws) in enumerate(items) for part in stretches(ws, passage)]
     latent = np.zeros((len(cut), basis.shape[1]), np.float32)
-    holds = np.zeros((len(cut), len(terms)), dtype=bool)
+    holds = np.zeros((len(cut), -(-len(terms) // 8)), dtype=np.uint8)
+    many = np.zeros(len(cut))
     for j, (_, part) in enumerate(cut):
         mine = np.array(part, dtype=ts.U64)
         t, n = np.unique(np.searchsorted(terms, mine[np.isin(mine, terms)]), return_counts=True)
         v = ((1 + np.log(n)) * idf[t]).astype(np.float32) @ basis[t]
-        holds[j, t] = True
+        holds[j] = packed(t, len(terms))
+        many[j] = len(t)
         latent[j] = v / max(float(np.linalg.norm(v)), 1e-12)
     item = np.array([k for k, _ in cut])
-    has = np.zeros((len(items), len(words)), dtype=bool)
-    for k, own in enumerate(of):
-        has[k, own] = True
-    return Plan(terms, idf, basis, latent, items, item, holds, np.bincount(item, weights=holds.sum(axis=1)).astype(int).tolist(), words, has)
+    has = np.stack([packed(own, len(words)) for own in of])
+    known = np.array([len(own) for own in of])
+    return Plan(terms, idf, basis, latent, items, item, holds, np.bincount(item, weights=many).astype(int).tolist(), words, has, known)
+
+
+def packed(at: np.ndarray, n: int) -> np.ndarray:
+    row = np.zeros(n, dtype=bool)
+    row[at] = True
+    return np.packbits(row)
 
 
 def stretches(ws: list[int], passage: int) -> list[list[int]]:
@@ -246,7 +260,7 @@ def matches(c: pa.RecordBatch, plan: Plan, passage: int, cosine: float, least: f
     long = np.array([len(ws) for _, ws in plan.items])
     need = np.array([least_held(m, total, passage, least) for m, total in zip(long.tolist(), plan.total)])
     lost = long - np.array([ceil_tol(least * m) for m in long.tolist()])
-    known = plan.has.sum(axis=1)
+    known = plan.known
     word = np.minimum(np.searchsorted(plan.words, h), len(plan.words) - 1)
     inside = plan.words[word] == h
     begin, end = np.searchsorted(p, rows), np.searchsorted(p, rows, side="right")
@@ -255,7 +269,7 @@ def matches(c: pa.RecordBatch, plan: Plan, passage: int, cosine: float, least: f
         i_all, j_all = np.nonzero(cos >= cosine)
         # what the longest common subsequence implies: of the stretch's distinct terms in the passage,
         size = end[lo + i_all] - begin[lo + i_all]
-        held = plan.holds[np.repeat(j_all, size), t[ts.ranges(begin[lo + i_all], size)]]
+        held = bit(plan.holds, np.repeat(j_all, size), t[ts.ranges(begin[lo + i_all], size)])
         held = np.concatenate([[0], np.cumsum(held)])
         stop = np.cumsum(size)
         enough = held[stop] - held[stop - size] >= need[plan.of[j_all]]
@@ -267,7 +281,7 @@ def matches(c: pa.RecordBatch, plan: Plan, passage: int, cosine: float, least: f
         e_all = np.minimum(first[own] + n[own], start[rows[lo + i_all]] + passage + long[k_all])
         for i, j, k, a, e in zip(i_all.tolist(), j_all.tolist(), k_all.tolist(), a_all.tolist(), e_all.tolist()):
             w_in = word[a:e][inside[a:e]]
-            w_in = w_in[plan.has[k, w_in]]
+            w_in = w_in[bit(plan.has, k, w_in)]
             if len(w_in) < least * long[k] or len(w_in) < known[k] - lost[k] or len(set(w_in.tolist())) < known[k] - lost[k]:
                 continue
             r = int(row_of[rows[lo + i]])

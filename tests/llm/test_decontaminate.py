@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import plain
 
 from sparkfeat.llm import decontaminate as dc
 
@@ -41,6 +42,17 @@ def test_finds_leaks_and_paraphrases_only(spark):
     assert {r.doc_id for r in kept.collect()} == {k for k, _ in docs} - {k for k, _ in got}
 
 
+def test_whole_query_against_brute_force(spark):
+    docs, bench, _ = corpus(5, 60, 8)
+    docs += [(900, docs[0][1]), (0, docs[0][1]), (901, ""), (902, None), (None, bench[2][1])]
+    bench += [(2, "another text of the same item and a few more words to it"), (3, None), (None, "no name")]
+    want = plain.contaminated(docs, bench)
+    got = dc.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    name = lambda rows: sorted((-1 if d is None else d, i, round(x, 9), round(a, 9)) for d, i, x, a in rows)
+    assert name((r.doc_id, r.item_id, r.lcs, r.answer) for r in got) == name((docs[r][0], i, x, a) for (r, i), (x, a) in want.items())
+    assert len(got) > 12
+
+
 def test_basis_spans_the_leading_singular_vectors():
     rng = np.random.default_rng(0)
     u, _ = np.linalg.qr(rng.standard_normal((60, 60)))

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import plain
 from pyspark.sql import functions as F
 
 from sparkfeat.llm import ngram_join as nj
@@ -10,39 +11,6 @@ from sparkfeat.llm import ngram_join as nj
 SCHEMA = "doc_id long, text string, sig string, jaccard double"
 
 
-def words_of(text):
-    out, word = [], ""
-    for c in text.lower():
-        if c.isascii() and not c.isalnum():
-            out.append(word)
-            word = ""
-        else:
-            word += c
-    return [w for w in [*out, word] if w]
-
-
-def grams(text, n):
-    w = words_of(text or "")
-    if not w:
-        return frozenset()
-    return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)])
-
-
-def brute(rows, t, n):
-    """doc_id: (class, links) of documents with one text each."""
-    docs = sorted({(a, grams(x, n)) for a, x in rows if a is not None}, key=lambda d: d[0])
-    root, links = {a: a for a, _ in docs}, {a: 0 for a, _ in docs}
-    find = lambda a: a if root[a] == a else find(root[a])
-    for i, (a, p) in enumerate(docs):
-        for b, q in docs[i + 1 :]:
-            if p and q and len(p & q) / len(p | q) >= t - 1e-12:
-                links[a] += 1
-                links[b] += 1
-                x, y = sorted((find(a), find(b)))
-                root[y] = x
-    return {a: (find(a), links[a]) for a, _ in docs}
-
-
 def corpus(seed=1):
     r = random.Random(seed)
     vocab = [f"w{k}é" if k % 7 == 0 else f"W{k}" for k in range(60)]
@@ -68,7 +36,7 @@ def joined(spark, rows, **how):
 def test_against_brute_force(spark):
     rows = corpus()
     for t, n, block, orders in ((0.6, 3, 4096, 3), (0.4, 2, 3, 4), (0.5, 1, 2, 2), (1.0, 3, 4096, 3)):
-        assert joined(spark, rows, threshold=t, n=n, block=block, orders=orders) == brute(rows, t, n), (t, n, block)
+        assert joined(spark, rows, threshold=t, n=n, block=block, orders=orders) == plain.classes(rows, t, n), (t, n, block)
 
 
 def test_a_large_group_in_blocks(spark, monkeypatch):
@@ -80,13 +48,13 @@ def test_a_large_group_in_blocks(spark, monkeypatch):
         for _ in range(r.choice([0, 2, 4, 7, 12])):
             w[r.randrange(60)] = f"x{r.randrange(400)}"
         rows.append((k, " ".join(w)))
-    want = brute(rows, 0.5, 3)
+    want = plain.classes(rows, 0.5, 3)
     assert max(links for _, links in want.values()) > 60 and len({c for c, _ in want.values()}) > 1
     for block in (4096, 20):
         assert joined(spark, rows, block=block) == want
     monkeypatch.setattr(nj, "CELLS", 500)
     monkeypatch.setattr(nj, "WORK", 50)
-    gram = [sorted({hash(x) & (2**64 - 1) for x in grams(t, 3)}) for _, t in rows]
+    gram = [sorted({hash(x) & (2**64 - 1) for x in plain.grams(t, 3)}) for _, t in rows]
     flat = np.array([x for g in gram for x in g], np.uint64)
     at = np.repeat(np.arange(len(rows)), [len(g) for g in gram])
     size = np.array([len(g) for g in gram])

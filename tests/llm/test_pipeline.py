@@ -2,10 +2,12 @@
 
 import random
 
+import plain
 import pytest
 
 import corpus_pipeline as cp
-from sparkfeat.llm import bpe
+from sparkfeat.llm import bpe, toxicity
+from sparkfeat.llm.ngram_join import N, THRESHOLD
 
 INSULTS = ["grulk", "snarfid", "blorgh"]
 
@@ -65,6 +67,21 @@ def test_whole_pipeline(spark, folder):
         assert got[i].token_ids == codec.tok.encode(got[i].text, add_special_tokens=False).ids and got[i].round_trip
 
 
+def test_every_stage_against_brute_force(spark, folder):
+    docs, labels, bench, _ = corpus()
+    rows = [(d[0], d[1]) for d in docs]
+    model = toxicity.fit(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
+    rows = [x for x in rows if plain.toxic_score(x[1], model) <= model.cut]
+    first = plain.classes(rows, THRESHOLD, N)
+    rows = [x for x in rows if x[0] is None or first[x[0]][0] == x[0]]
+    bad = {r for r, _ in plain.contaminated(rows, bench)}
+    rows = [x for r, x in enumerate(rows) if r not in bad]
+    rows = [(i, t) for (i, _), t in zip(rows, plain.sanitised(rows))]
+    tok = bpe.Codec.load(bpe.TOKENIZER).tok
+    want = sorted(((i, t or "", tok.encode(t or "", add_special_tokens=False).ids) for i, t in rows), key=str)
+    assert sorted(((r.doc_id, r.text, list(r.token_ids)) for r in cp.run(spark, folder).collect()), key=str) == want and len(want) < len(docs)
+
+
 def test_stages_keep_the_columns_of_documents(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     assert [n for n, _ in cp.STAGES] == ["toxicity", "ngram_jaccard_join", "benchmark_decontamination", "pii_sanitisation", "bpe_encoding"]

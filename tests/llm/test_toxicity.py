@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import plain
 import pyarrow as pa
 
 from sparkfeat.llm import textscan as ts
@@ -80,6 +81,18 @@ def test_queries_on_odd_rows(spark):
     assert kept.count() == sum(1 for _, t, _ in got if not t)
 
 
+def test_scores_match_brute_force(spark):
+    texts, y = sentences(300, 1)
+    m = tx.train(texts, y)
+    more, _ = sentences(60, 3)
+    rows = [*enumerate(more), (100, "so s n a r f i d they a.b c! d"), (101, "GRU-LK it"), (102, None), (103, ""), (104, "über grülk blo\x00rgh 7 8 9"), (105, "a b c"), (106, more[0]), (None, more[1])]
+    got = {(r.doc_id, round(r.score, 3), r.toxic) for r in tx.score(spark.createDataFrame(rows, "doc_id long, text string"), m).collect()}
+    want = {(i, round(plain.toxic_score(t, m), 3), int(plain.toxic_score(t, m) > m.cut)) for i, t in rows}
+    assert {(i, t) for i, _, t in got} == {(i, t) for i, _, t in want}
+    key = lambda x: (x[0] is None, x[0] or 0)
+    assert all(abs(a[1] - b[1]) < 2e-3 for a, b in zip(sorted(got, key=key), sorted(want, key=key)))
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
