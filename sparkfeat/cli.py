@@ -9,10 +9,13 @@ import warnings
 
 from pyspark.sql import SparkSession
 
+from .llm_clients import BACKENDS
+from .operators.scores import METHODS
 from .plans.pipeline import ENGINES, AutoFeatureEngineer
 from .sources import io
 
-OPTIONS = ("engines", "max_features", "selection_methods", "correlation_threshold", "leakage")
+OPTIONS = ("engines", "max_features", "selection_methods", "correlation_threshold", "leakage", "use_gate", "gate_key", "gate_splits", "gate_trees", "timeseries", "tabular", "text", "semantic", "refine")
+FLAGS = ("engines", "max_features", "selection_methods", "correlation_threshold", "leakage", "use_gate", "gate_key")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -27,8 +30,16 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--config")
         s.add_argument("--engines", nargs="+", choices=ENGINES)
         s.add_argument("--max-features", type=int)
+        s.add_argument("--selection-methods", nargs="+", choices=METHODS)
+        s.add_argument("--correlation-threshold", type=float)
         s.add_argument("--leakage", choices=("off", "warn", "raise"))
+        s.add_argument("--use-gate", action="store_true", default=None)
+        s.add_argument("--gate-key")
+        s.add_argument("--gate-n-jobs", type=int, help="models that the gate may fit at a time; Spark shares its executors, so any number gives the same result")
+        s.add_argument("--task-description", help="what the label means, for suggested features")
         s.add_argument("--limit", type=int)
+        s.add_argument("--order-by", nargs="+", help="columns that decide which rows the limit keeps")
+        s.add_argument("--verbose", action="store_true")
         if name == "transform":
             s.add_argument("--output", required=True)
             s.add_argument("--output-format")
@@ -45,7 +56,11 @@ def settings(a: argparse.Namespace) -> dict:
             conf = json.load(f)
         if not isinstance(conf, dict) or (unknown := set(conf) - set(OPTIONS)):
             raise ValueError(f"unknown configuration keys: {sorted(unknown) if isinstance(conf, dict) else conf}")
-    flags = {k: getattr(a, k) for k in ("engines", "max_features", "leakage") if getattr(a, k, None) is not None}
+    flags = {k: getattr(a, k) for k in FLAGS if getattr(a, k, None) is not None}
+    if getattr(a, "task_description", None):
+        flags["semantic"] = conf.get("semantic", {}) | {"task": a.task_description}
+    if (n := getattr(a, "gate_n_jobs", None)) is not None and n != -1 and n < 1:
+        raise ValueError("gate-n-jobs is -1 or positive")
     return conf | flags
 
 
@@ -56,22 +71,27 @@ def main(argv: list[str] | None = None) -> int:
         return int(e.code or 0) and 2
     try:
         if a.command == "info":
-            print(json.dumps({"engines": list(ENGINES), "formats": sorted(set(io.FORMATS.values()))}))
+            print(json.dumps({"status": "ok", "engines": list(ENGINES), "selection_methods": list(METHODS), "backends": list(BACKENDS), "formats": sorted(set(io.FORMATS.values()))}))
             return 0
         spark = SparkSession.builder.appName("sparkfeat").getOrCreate()
         with warnings.catch_warnings(record=True) as seen:
             warnings.simplefilter("always")
-            df = io.read(spark, a.input, a.input_format, a.limit)
+            say = (lambda *x: print(*x, file=sys.stderr)) if a.verbose else lambda *x: None
+            df = io.read(spark, a.input, a.input_format, a.limit, order_by=a.order_by)
+            say("read", a.input, len(df.columns), "columns")
             if a.target:
                 io.split_label(df, a.target)
             eng = AutoFeatureEngineer(**settings(a))
             if eng.params["max_features"] and not a.target:
                 raise ValueError("selection needs --target")
             eng.fit(df, a.target, apply_selection=a.command == "transform")
+            say("fitted", ", ".join(eng.params["engines"]))
             said = [str(w.message) for w in seen if issubclass(w.category, UserWarning)]
             if a.command == "explain":
-                print(json.dumps({"features": [f.to_dict() for f in eng.features()], "warnings": said}))
+                print(json.dumps({"status": "ok", "features": [f.to_dict() for f in eng.features()], "warnings": said}))
                 return 0
+            if a.target and a.target in {f.name for f in eng.features()}:
+                raise ValueError(f"a feature has the target's name {a.target!r}")
             out = eng.transform(df)
             if a.target and not a.include_target:
                 out = out.drop(a.target)

@@ -74,8 +74,13 @@ def text(name: str) -> str:
     return f"coalesce(cast({q(name)} as string), '')"
 
 
+#: White space, as Unicode has it.
+BLANKS = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def _words(s: str) -> str:
-    return f"filter(split({s}, '(?U)\\\\s+'), w -> w <> '')"
+    """White-space separated words; compiled, so that Spark works them out once for all features of a row."""
+    return f"array_remove(split(translate({s}, '{BLANKS}', '{' ' * len(BLANKS)}'), ' '), '')"
 
 
 def text_features(name: str) -> dict[str, str]:
@@ -90,7 +95,7 @@ def text_features(name: str) -> dict[str, str]:
         "digit_ratio": f"regexp_count({s}, '\\\\p{{Nd}}') / greatest(length({s}), 1)",
         "space_ratio": f"regexp_count({s}, '(?U)[\\\\s\\\\x1c-\\\\x1f]') / greatest(length({s}), 1)",
         "special_char_count": f"regexp_count({s}, '(?U)[^\\\\p{{L}}\\\\p{{N}}\\\\s]')",
-        "avg_word_length": f"if({size} = 0, 0D, aggregate({w}, 0D, (a, x) -> a + length(x)) / {size})",
+        "avg_word_length": f"length(array_join({w}, '')) / greatest({size}, 1)",
         "unique_word_ratio": f"size(array_distinct({_words(f'lower({s})')})) / greatest({size}, 1)",
     }
 

@@ -29,6 +29,28 @@ def aggregate(name: str, c: Column, order: list[str] | None = None) -> Column:
     return table[name](c)
 
 
+#: What comes from the counts of distinct values.
+COUNTED = ("median", "nunique")
+
+
+def from_value_counts(df: DataFrame, by: str, column: str, key: str, names: dict[str, str]) -> DataFrame:
+    """(key, names): median and number of distinct values of a column, exactly, from how often each value occurs.
+
+    Values are counted before they are shuffled, so a key's repeated values cost one row; the running
+    count over a key's distinct values finds the middle ones, and no buffer grows with a key.
+    """
+    x = F.expr(num(column))
+    counts = df.groupBy(F.col(q(by)).alias(key), x.alias("x")).agg(F.count("*").alias("k"))
+    if "median" in names:
+        w = Window.partitionBy(key).orderBy(F.col("x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+        has = F.when(F.col("x").isNotNull(), F.col("k")).otherwise(0)
+        counts = counts.withColumns({"upto": F.sum(has).over(w), "n": F.sum(has).over(Window.partitionBy(key))})
+        low, high = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+        at = lambda place: F.min(F.when(F.col("x").isNotNull() & (F.col("upto") >= place), F.col("x")))
+    made = {"median": lambda: (at(low) + at(high)) / 2, "nunique": lambda: F.count("x")}
+    return counts.groupBy(key).agg(*[made[a]().alias(n) for a, n in names.items()])
+
+
 KNOWN = ("mean", "sum", "min", "max", "count", "std", "median", "first", "last", "nunique")
 
 
@@ -70,8 +92,15 @@ class RelationalEngine:
             if not names:
                 continue
             key = f"__key{k}"
-            agg = p.where(F.col(q(r.parent_key)).isNotNull()).groupBy(F.col(q(r.parent_key)).alias(key)).agg(*[aggregate(a, F.expr(num(c)), list(r.order_cols)).alias(n) for c, a, n in names])
-            child = child.join(agg, F.col(q(r.child_key)) == F.col(key), "left").drop(key)
+            p = p.where(F.col(q(r.parent_key)).isNotNull())
+            plain = [(c, a, n) for c, a, n in names if a not in COUNTED]
+            if plain:
+                agg = p.groupBy(F.col(q(r.parent_key)).alias(key)).agg(*[aggregate(a, F.expr(num(c)), list(r.order_cols)).alias(n) for c, a, n in plain])
+                child = child.join(agg, F.col(q(r.child_key)) == F.col(key), "left").drop(key)
+            for c in dict.fromkeys(c for c, a, _ in names if a in COUNTED):
+                agg = from_value_counts(p, r.parent_key, c, key, {a: n for d, a, n in names if d == c and a in COUNTED})
+                child = child.join(agg, F.col(q(r.child_key)) == F.col(key), "left").drop(key)
+            child = child.select(*[F.col(q(x)) for x in child.columns if x not in {n for *_, n in names}], *[F.col(q(n)) for *_, n in names])
         return child
 
     def _chosen(self, df: DataFrame) -> tuple[list[str], list[str]]:

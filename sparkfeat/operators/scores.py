@@ -1,23 +1,27 @@
 """Feature scores against a label, redundancy, and the selector.
 
-Scores of many features come from few aggregations; correlations of many features from partial
-Gram matrices that each task adds up in NumPy, one row per task reaching the driver.
+Scores of many features come from aggregations as wide as the features, so rows are never multiplied by
+them; correlations of many features from partial Gram matrices that each task adds up in NumPy.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from statistics import median
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.expr import num, q
 from ..spec import FeatureType, columns_of
-from .tabular import label_as_number
+from ..sources.shared import discard, stored
+from .order import ordered, sums_before
+from .splits import stratified
+from .tabular import label_as_number, label_codes, label_encode
 
 METHODS = ("mutual_info", "f_test", "chi2", "correlation", "importance")
 
@@ -37,16 +41,30 @@ def _x(f: str):
     return F.coalesce(F.expr(num(f)), F.lit(0.0))
 
 
-def long_form(df: DataFrame, features: list[str], label: str) -> DataFrame:
-    """(feature, x, y): each feature's value, nulls as 0, with the label."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), _x(f).alias("x")) for f in features])).alias("p")
-    return df.select(F.col(q(label)).alias("y"), pairs).select("p.feature", "p.x", "y")
+def _melted(row: DataFrame, features: list[str], parts: dict[str, str]) -> DataFrame:
+    """(feature, *parts) of a frame with a column ``{part}{k}`` for each part and feature; other columns stay."""
+    made = {x for p in parts for x in (f"{p}{k}" for k in range(len(features)))}
+    keep = [c for c in row.columns if c not in made]
+    at = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), *[F.col(f"{p}{k}").cast(kind).alias(p) for p, kind in parts.items()]) for k, f in enumerate(features)])).alias("__p")
+    return row.select(*keep, at).select(*keep, "__p.*")
+
+
+def _correlations(df: DataFrame, features: list[str]) -> DataFrame:
+    """(feature, r, n): Pearson correlation with ``__y``, in one aggregation as wide as the features."""
+    d = df.select(F.col("__y"), *[_x(f).alias(f"x{k}") for k, f in enumerate(features)])
+    row = d.agg(F.count("*").alias("n"), *[F.nanvl(F.corr(f"x{k}", "__y"), F.lit(None)).alias(f"r{k}") for k in range(len(features))])
+    return _melted(row, features, {"r": "double"})
 
 
 def correlation(df: DataFrame, features: list[str], label: str) -> DataFrame:
     """(feature, score): absolute Pearson correlation, 0 where undefined."""
-    d = long_form(label_as_number(df, label), features, "__y")
-    return d.groupBy("feature").agg(F.coalesce(F.abs(F.nanvl(F.corr("x", "y"), F.lit(None))), F.lit(0.0)).alias("score"))
+    return _correlations(label_as_number(df, label), features).select("feature", F.coalesce(F.abs("r"), F.lit(0.0)).alias("score"))
+
+
+def _by_class(df: DataFrame, features: list[str], label: str, aggs) -> DataFrame:
+    """A row for each class: its number of rows as ``n`` and ``aggs`` of each feature, null labels left out."""
+    d = df.where(F.col(q(label)).isNotNull()).select(F.col(q(label)).alias("y"), *[_x(f).alias(f"x{k}") for k, f in enumerate(features)])
+    return d.groupBy("y").agg(F.count("*").alias("n"), *[a for k in range(len(features)) for a in aggs(k)])
 
 
 def f_test(df: DataFrame, features: list[str], label: str, classification: bool | None = None) -> DataFrame:
@@ -54,11 +72,11 @@ def f_test(df: DataFrame, features: list[str], label: str, classification: bool
     if classification is None:
         classification = is_classification(df, label)
     if not classification:
-        d = long_form(label_as_number(df, label), features, "__y")
-        r2 = F.pow(F.nanvl(F.corr("x", "y"), F.lit(None)), 2)
-        return d.groupBy("feature").agg(F.coalesce(F.when(r2 < 1, r2 / (1 - r2) * (F.count("*") - 2)), F.lit(0.0)).alias("score"))
-    d = long_form(df, features, label).where("y is not null")
-    by = d.groupBy("feature", "y").agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.var_pop("x").alias("v"))
+        d = _correlations(label_as_number(df, label), features)
+        r2 = F.pow("r", F.lit(2))
+        return d.select("feature", F.coalesce(F.when(r2 < 1, r2 / (1 - r2) * (F.col("n") - 2)), F.lit(0.0)).alias("score"))
+    by = _by_class(df, features, label, lambda k: (F.avg(f"x{k}").alias(f"m{k}"), F.var_pop(f"x{k}").alias(f"v{k}")))
+    by = _melted(by, features, {"m": "double", "v": "double"})
     n, k = F.sum("n"), F.count("*")
     grand = F.sum(F.col("n") * F.col("m")) / n
     ssw = F.sum(F.col("n") * F.col("v"))
@@ -68,24 +86,45 @@ def f_test(df: DataFrame, features: list[str], label: str, classification: bool
 
 def chi2(df: DataFrame, features: list[str], label: str) -> DataFrame:
     """(feature, score): over classes, squared deviation of the sum of x - min + 1e-8 from its expectation."""
-    d = long_form(df, features, label).where("y is not null")
-    lows = d.groupBy("feature").agg(F.min("x").alias("lo"), F.count("*").alias("n"))
-    by = d.join(F.broadcast(lows), "feature").groupBy("feature", "y").agg(F.sum(F.col("x") - F.col("lo") + 1e-8).alias("o"), F.count("*").alias("k"), F.max("n").alias("n"))
-    total = by.groupBy("feature").agg(F.sum("o").alias("t"))
-    e = F.col("t") * F.col("k") / F.col("n")
-    return by.join(F.broadcast(total), "feature").groupBy("feature").agg(F.sum((F.col("o") - e) * (F.col("o") - e) / e).alias("score"))
-
-
-def mutual_information(df: DataFrame, features: list[str], label: str, bins: int = 16, classification: bool | None = None) -> DataFrame:
-    """(feature, score): mutual information in nats of equal-width bins of the feature and the label (binned if numeric)."""
+    by = _by_class(df, features, label, lambda k: (F.sum(f"x{k}").alias(f"s{k}"), F.min(f"x{k}").alias(f"lo{k}")))
+    by = _melted(by, features, {"s": "double", "lo": "double"})
+    all_ = by.groupBy("feature").agg(F.min("lo").alias("low"), F.sum("n").alias("rows"), F.sum("s").alias("sum"))
+    by = by.join(all_, "feature")  # a row per feature and class on either side
+    o = F.col("s") + F.col("n") * (1e-8 - F.col("low"))
+    e = (F.col("sum") + F.col("rows") * (1e-8 - F.col("low"))) * F.col("n") / F.col("rows")
+    return by.groupBy("feature").agg(F.sum((o - e) * (o - e) / e).alias("score"))
+
+
+def mutual_information(df: DataFrame, features: list[str], label: str, bins: int = 16, classification: bool | None = None, binning: str = "width") -> DataFrame:
+    """(feature, score): mutual information in nats of the binned feature and the label (binned too if numeric).
+
+    Bins are of equal width, or, with ``binning="quantile"``, hold as many rows each, up to ties and the quantiles' error of 0.1 %.
+    Rows are counted by feature, bin and class before they are shuffled.
+    """
+    if binning not in ("width", "quantile"):
+        raise ValueError("binning is width or quantile")
     if classification is None:
         classification = is_classification(df, label)
     d = df.where(F.col(q(label)).isNotNull())
-    d = long_form(d if classification else label_as_number(d, label), features, label if classification else "__y")
-    edges = d.groupBy("feature").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), *([] if classification else [F.min("y").alias("ylo"), F.max("y").alias("yhi")]))
-    cut = lambda c, lo, hi: F.when(F.col(hi) > F.col(lo), F.least(F.floor((F.col(c) - F.col(lo)) / (F.col(hi) - F.col(lo)) * bins), F.lit(bins - 1))).otherwise(F.lit(0))
-    d = d.join(F.broadcast(edges), "feature").select("feature", cut("x", "lo", "hi").alias("b"), (F.col("y") if classification else cut("y", "ylo", "yhi")).alias("y"))
-    cell = d.groupBy("feature", "b", "y").agg(F.count("*").alias("k"))
+    d = d if classification else label_as_number(d, label)
+    names = [f"x{k}" for k in range(len(features))] + ([] if classification else ["y"])
+    d = d.select(F.col(q(label) if classification else "__y").alias("y"), *[_x(f).alias(f"x{k}") for k, f in enumerate(features)])
+    if binning == "width":
+        edge = d.agg(*[a for c in names for a in (F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"))]).first()
+
+        def cut(c: str):
+            lo, hi = edge[f"lo_{c}"], edge[f"hi_{c}"]
+            return F.when(F.col(c).isNull(), F.lit(None)).otherwise(F.least(F.floor((F.col(c) - lo) / (hi - lo) * bins), F.lit(bins - 1))) if lo is not None and hi > lo else F.lit(0).cast("long")
+    else:
+        at = d.agg(*[F.percentile_approx(c, [b / bins for b in range(1, bins)], 1000).alias(f"q_{c}") for c in names]).first()
+
+        def cut(c: str):
+            steps = sorted(set(at[f"q_{c}"] or []))
+            return sum([(F.col(c) > s).cast("long") for s in steps], F.lit(0).cast("long"))
+
+    cells = d.select((F.col("y") if classification else cut("y")).alias("y"), *[cut(f"x{k}").alias(f"b{k}") for k in range(len(features))])
+    at = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"b{k}").cast("long").alias("b")) for k, f in enumerate(features)])).alias("p")
+    cell = cells.select("y", at).groupBy("p.feature", "p.b", "y").agg(F.count("*").alias("k"))
     one = Window.partitionBy("feature")
     cell = cell.withColumns({"n": F.sum("k").over(one), "kb": F.sum("k").over(Window.partitionBy("feature", "b")), "ky": F.sum("k").over(Window.partitionBy("feature", "y"))})
     p = F.col("k") / F.col("n")
@@ -93,53 +132,77 @@ def mutual_information(df: DataFrame, features: list[str], label: str, bins: int
 
 
 def gram_correlation(df: DataFrame, features: list[str]) -> np.ndarray:
-    """Pairwise-complete Pearson matrix of numeric columns in one scan, masked for nulls and centred first."""
+    """Pairwise-complete Pearson matrix of numeric columns in one scan, masked for nulls and centred first.
+
+    Tasks give a row of their partial sums for each feature; a shuffle adds them up by feature, so the driver gets
+    as many rows as there are features, whatever the number of tasks.
+    """
     k = len(features)
     centre = df.agg(*[F.avg(F.expr(num(f))).alias(f"m{i}") for i, f in enumerate(features)]).first()
     mid = np.array([c if c is not None else 0.0 for c in centre])
 
-    def partial(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc = np.zeros((4, k, k))
-        for pdf in it:
-            x = pdf.to_numpy(dtype=float) - mid
+    def partial(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        acc = np.zeros((k, 4, k))
+        for b in it:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1).astype(float) - mid
             m = np.isfinite(x).astype(float)
             x = np.where(m > 0, x, 0.0)
-            acc += np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
-        yield pd.DataFrame({"a": [acc.ravel().tolist()]})
+            acc += np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x], axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), pa.array([r.tobytes() for r in acc], pa.binary())], names=["i", "sums"])
+
+    def add(t: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(x.as_py()) for x in t.column("sums")], axis=0)
+        return pa.table({"i": t.column("i")[:1].cast(pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
 
-    rows = df.select(*[F.expr(num(f)).alias(f"x{i}") for i, f in enumerate(features)]).mapInPandas(partial, "a array<double>").collect()
-    n, s, s2, xy = np.sum([np.array(r["a"]).reshape(4, k, k) for r in rows], axis=0)
+    rows = df.select(*[F.expr(num(f)).alias(f"x{i}") for i, f in enumerate(features)]).mapInArrow(partial, "i int, sums binary").groupBy("i").applyInArrow(add, "i int, sums binary").collect()
+    n, s, s2, xy = (np.stack([np.frombuffer(r["sums"]).reshape(4, k)[j] for r in sorted(rows, key=lambda r: r["i"])]) for j in range(4))
     with np.errstate(invalid="ignore", divide="ignore"):
         cov = xy - s * s.T / n
         var = s2 - s * s / n
         return cov / np.sqrt(var * var.T)
 
 
+def _average_ranks(d: DataFrame, c: str) -> DataFrame:
+    """(v, r): each distinct value's average rank; only the counts of values are ordered, over range partitions."""
+    by = sums_before(d.groupBy(c).agg(F.count("*").alias("k")), [c], "k", "before")
+    return by.select(F.col(c).alias(f"v{c}"), (F.col("before") + (F.col("k") + 1) / 2).alias(f"r{c}"))
+
+
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """(score): Pearson correlation of average ranks of the rows where both are present."""
     d = df.select(F.expr(num(a)).alias("a"), F.expr(num(b)).alias("b")).where("a is not null and b is not null")
-
-    def ranks(c: str) -> DataFrame:
-        by = d.groupBy(c).agg(F.count("*").alias("k"))
-        return by.select(F.col(c).alias(f"v{c}"), (F.sum("k").over(Window.orderBy(c)) - (F.col("k") - 1) / 2).alias(f"r{c}"))
-
-    d = d.join(ranks("a"), F.col("a") == F.col("va")).join(ranks("b"), F.col("b") == F.col("vb"))
+    d = d.join(_average_ranks(d, "a"), F.col("a") == F.col("va")).join(_average_ranks(d, "b"), F.col("b") == F.col("vb"))
     return d.agg(F.corr("ra", "rb").alias("score"))
 
 
-def kendall(df: DataFrame, a: str, b: str, most: int = 20000) -> float | None:
-    """Kendall's tau-b; quadratic in rows, so it refuses more than ``most``."""
-    d = df.select(F.expr(num(a)).alias("a"), F.expr(num(b)).alias("b")).where("a is not null and b is not null").limit(most + 1).toPandas()
-    if len(d) > most:
-        raise ValueError(f"kendall takes at most {most} rows")
-    x, y = d["a"].to_numpy(), d["b"].to_numpy()
-    num_, tx, ty = 0, 0, 0
-    for i in range(len(x) - 1):
-        dx, dy = np.sign(x[i + 1 :] - x[i]), np.sign(y[i + 1 :] - y[i])
-        num_ += int((dx * dy).sum())
-        tx += int((dx != 0).sum())
-        ty += int((dy != 0).sum())
-    return num_ / np.sqrt(tx * ty) if tx and ty else None
+def kendall(df: DataFrame, a: str, b: str, block: int = 4096) -> float | None:
+    """Kendall's tau-b over all rows: distinct pairs of values, ordered and cut into blocks, are compared block by block.
+
+    Quadratic in the number of distinct pairs, as its definition is, but for the blocks apart, which are compared in tasks; None where undefined.
+    """
+    d = df.select(F.expr(num(a)).alias("a"), F.expr(num(b)).alias("b")).where("a is not null and b is not null").groupBy("a", "b").agg(F.count("*").alias("w"))
+    n = d.agg(F.sum("w")).first()[0] or 0
+    pairs = lambda c: d.groupBy(*c).agg(F.sum("w").alias("k")).agg(F.sum(F.col("k") * (F.col("k") - 1) / 2)).first()[0] or 0.0
+    total, tied_a, tied_b = n * (n - 1) / 2, pairs("a"), pairs("b")
+    if total - tied_a <= 0 or total - tied_b <= 0:
+        return None
+    at = stored(ordered(d, ["a", "b"], "r").withColumn("block", F.floor((F.col("r") - 1) / block)))
+    blocks = (at.agg(F.max("block")).first()[0] or 0) + 1
+    tiles = at.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"), (F.col("block") > F.col("o")).alias("second"), "a", "b", "w")
+
+    def compare(t: pa.Table) -> pa.Table:
+        second = t.column("second").to_numpy()
+        va, vb, w = (t.column(c).to_numpy().astype(float) for c in ("a", "b", "w"))
+        one = ~second
+        other = second if t.column("x")[0] != t.column("y")[0] else one
+        s = 0.0
+        for lo in range(0, int(one.sum()), 256):
+            i = np.flatnonzero(one)[lo : lo + 256]
+            s += float((np.sign(va[i, None] - va[None, other]) * np.sign(vb[i, None] - vb[None, other]) * w[i, None] * w[None, other]).sum())
+        return pa.table({"s": [s / 2 if other is one else s]})
+
+    s = tiles.groupBy("x", "y").applyInArrow(compare, "s double").agg(F.sum("s")).first()[0]
+    return s / float(np.sqrt((total - tied_a) * (total - tied_b)))
 
 
 def redundant(features: list[str], corr: np.ndarray, importance: dict[str, float], originals: set[str], threshold: float = 0.95) -> set[str]:
@@ -172,7 +235,7 @@ def assemble(df: DataFrame, features: list[str], label: str, classification: boo
     return VectorAssembler(inputCols=[f"x{i}" for i in range(len(features))], outputCol="v").transform(d)
 
 
-def importances(df: DataFrame, features: list[str], label: str, model: str = "random_forest", trees: int = 100, depth: int = 5, seed: int = 42) -> dict[str, float]:
+def importances(df: DataFrame, features: list[str], label: str, model: str = "random_forest", trees: int = 100, depth: int = 5, seed: int = 42, sample: float = 1.0) -> dict[str, float]:
     """Tree importances; boosting of more than two classes is one against the rest, averaged."""
     from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
     from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
@@ -181,7 +244,7 @@ def importances(df: DataFrame, features: list[str], label: str, model: str = "ra
         raise ValueError(f"unknown model {model!r}")
     cls = is_classification(df, label)
     d = assemble(df, features, label, cls)
-    args = {"featuresCol": "v", "labelCol": "y", "seed": seed, "maxDepth": depth}
+    args = {"featuresCol": "v", "labelCol": "y", "seed": seed, "maxDepth": depth} | ({"subsamplingRate": sample} if sample < 1 else {})
     if model != "gradient_boosting":
         m = (RandomForestClassifier if cls else RandomForestRegressor)(numTrees=trees, **args).fit(d)
         v = m.featureImportances.toArray()
@@ -198,7 +261,7 @@ def importances(df: DataFrame, features: list[str], label: str, model: str = "ra
 class FeatureSelector:
     """Scores by several methods, combination, redundancy, and the final cut."""
 
-    def __init__(self, methods: tuple[str, ...] = ("mutual_info", "f_test", "correlation"), max_features: int | None = None, correlation_threshold: float = 0.95, combination: str = "union", original_features: list[str] | None = None, trees: int = 20, refine: bool = False) -> None:
+    def __init__(self, methods: tuple[str, ...] = ("mutual_info", "f_test", "correlation"), max_features: int | None = None, correlation_threshold: float = 0.95, combination: str = "union", original_features: list[str] | None = None, trees: int = 100, refine: bool = False) -> None:
         if unknown := set(methods) - set(METHODS):
             raise ValueError(f"unknown methods: {sorted(unknown)}")
         if combination not in ("union", "intersection"):
@@ -239,7 +302,7 @@ class FeatureSelector:
         if self.max_features is not None:
             derived = derived[: max(0, self.max_features - len(originals))]
         if self.refine and len(derived) > 3:
-            imp = importances(df, derived, label, "gradient_boosting", trees=20, depth=3)
+            imp = importances(df, derived, label, "gradient_boosting", trees=50, depth=3, sample=0.8)
             mean = sum(imp.values()) / len(imp)
             derived = [f for f in derived if imp[f] >= mean] or sorted(derived, key=lambda f: -imp[f])[:3]
         chosen = kept | set(derived)
@@ -249,28 +312,82 @@ class FeatureSelector:
     def transform(self, df: DataFrame) -> DataFrame:
         return df.select(*[F.col(q(c)) for c in self.selected if c in df.columns])
 
+    def set_selected_features(self, names: list[str]) -> None:
+        """Fixes what ``transform`` keeps, in this order."""
+        self.selected = list(names)
+
+    @property
+    def feature_importances(self) -> dict[str, float]:
+        return dict(self.scores)
+
     def ranking(self) -> list[tuple[str, float]]:
         return sorted(self.scores.items(), key=lambda x: (-x[1], x[0]))
 
 
-def gate(df: DataFrame, originals: list[str], full: list[str], label: str, key: str, splits: int = 3, trees: int = 20, seed: int = 42) -> tuple[bool, float]:
-    """(keep derived?, mean gain) over held-out splits; the bar rises with the share of derived features."""
+def top(scores: dict[str, float], threshold: float | None = None, k: int | None = None) -> list[str]:
+    """Features by falling score, ties in the order given: those at or above the threshold, the first k of them."""
+    ranked = sorted(scores, key=lambda f: -scores[f])
+    return [f for f in ranked if threshold is None or scores[f] >= threshold][:k]
+
+
+def encoded(df: DataFrame, columns: list[str]) -> tuple[DataFrame, list[str]]:
+    """(frame, columns) with what a model can take: strings as the place among their sorted values, -1 for null; booleans
+    as 0 and 1; times as seconds.  Columns of nested types are left out.
+    """
+    kept = []
+    for c in columns:
+        kind = FeatureType.of(df.schema[c].dataType)
+        if kind is None:
+            continue
+        if kind == FeatureType.CATEGORICAL:
+            df = label_encode(df, c).drop(c).withColumnRenamed(f"{c}_encoded", c)
+        elif kind == FeatureType.DATETIME:
+            df = df.withColumn(c, F.unix_micros(F.col(q(c)).cast("timestamp")) / 1e6)
+        elif kind == FeatureType.BOOLEAN:
+            df = df.withColumn(c, F.col(q(c)).cast("int"))
+        kept.append(c)
+    return df, kept
+
+
+def gate(df: DataFrame, originals: list[str], full: list[str], label: str, key: str, splits: int = 5, trees: int = 50, depth: int = 10, test_size: float = 0.2, seed: int = 42) -> tuple[bool, float]:
+    """(keep derived?, mean gain) over held-out splits, stratified for classes; the bar rises with the share of derived features.
+
+    Both sides of every split see the same rows.  If no model can be fitted the derived features are not kept.
+    """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
+    from pyspark.ml.functions import array_to_vector
     from pyspark.ml.regression import RandomForestRegressor
 
     cls = is_classification(df, label)
-    numeric = set(columns_of(df, FeatureType.NUMERIC))
+    d, kept = encoded(df.where(F.col(q(label)).isNotNull()), [c for c in dict.fromkeys([*originals, *full]) if c in df.columns])
+    base, both = [c for c in originals if c in kept], [c for c in full if c in kept]
+    if not both:
+        return False, 0.0
+    base = base or both[:1]
+    y = label_codes(d, label).select(F.col("v").alias("__v"), F.col("code").cast("double").alias("__y")) if cls else None
+    d = d.join(y, F.col(q(label)).cast("string") == F.col("__v")) if cls else d.withColumn("__y", F.col(q(label)).cast("double"))
+    vector = lambda cols: F.array(*[_x(c) for c in cols])
+    d = stored(d.select(F.col(q(key)).alias("key"), F.col("__y").alias("y"), vector(base).alias("base"), vector(both).alias("both")))
     gains = []
     for s in range(splits):
-        side = F.pmod(F.xxhash64(key, F.lit(seed + s)), F.lit(5)) == 0
+        if cls:
+            cut = stratified(d, "y", "key", test_size, seed + s)
+        else:
+            cut = d.withColumn("is_test", (F.pmod(F.xxhash64("key", F.lit(seed + s)), F.lit(10_000)) < int(10_000 * test_size)).cast("int"))
+        cut = stored(cut)
         got = []
-        for cols in (originals, full):
-            cols = [c for c in cols if c in numeric] or [c for c in full if c in numeric][:1]
-            train, test = assemble(df.where(~side), cols, label, cls), assemble(df.where(side), cols, label, cls)
-            rf = (RandomForestClassifier if cls else RandomForestRegressor)(featuresCol="v", labelCol="y", numTrees=trees, maxDepth=8, seed=seed)
+        for side in ("base", "both"):
+            v = cut.select("y", "is_test", array_to_vector(side).alias("v"))
+            rf = (RandomForestClassifier if cls else RandomForestRegressor)(featuresCol="v", labelCol="y", numTrees=trees, maxDepth=depth, seed=seed)
             ev = MulticlassClassificationEvaluator(labelCol="y", metricName="accuracy") if cls else RegressionEvaluator(labelCol="y", metricName="r2")
-            got.append(ev.evaluate(rf.fit(train).transform(test)))
+            try:
+                got.append(ev.evaluate(rf.fit(v.where("is_test = 0")).transform(v.where("is_test = 1"))))
+            except Exception as e:  # noqa: BLE001 - whatever stops a model, the originals are safe
+                warnings.warn(f"the gate could not fit a model: {str(e).splitlines()[0]}", UserWarning, stacklevel=2)
+                return False, 0.0
+        discard(cut)
         gains.append(got[1] - got[0])
+    discard(d)
     gain = sum(gains) / len(gains)
     return gain >= 0.001 + 0.001 * max(0, len(full) - len(originals)) / max(1, len(originals)), gain

@@ -9,10 +9,9 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
 from ..functions import expr as E
 from ..spec import FeatureOrigin, FeatureSet, FeatureSpec, FeatureType, columns_of
+from .order import ordered
 from .profile import profile
 
 
@@ -21,7 +20,7 @@ def literal(v: str) -> str:
 
 
 class TabularEngine:
-    def __init__(self, polynomial_degree: int = 2, interaction_only: bool = False, include_transforms: list[str] | None = None, max_features: int | None = None, min_distinct: int = 5, encode_categorical: bool = True, one_hot_ratio: float = 0.05, target_ratio: float = 0.5, min_samples_per_category: int = 3, keep_original_categorical: bool = True, max_map_entries: int = 1000) -> None:
+    def __init__(self, polynomial_degree: int = 2, interaction_only: bool = False, include_transforms: list[str] | None = None, max_features: int | None = None, min_distinct: int = 5, encode_categorical: bool = True, one_hot_ratio: float = 0.05, target_ratio: float = 0.5, min_samples_per_category: int = 3, keep_original_categorical: bool = True, max_one_hot: int = 1000) -> None:
         if not 1 <= polynomial_degree <= 4:
             raise ValueError("polynomial_degree must be between 1 and 4")
         names = ["log", "sqrt", "square"] if include_transforms is None else list(include_transforms)
@@ -29,17 +28,21 @@ class TabularEngine:
             raise ValueError(f"unknown transforms: {sorted(unknown)}")
         self.degree, self.interaction_only, self.transforms, self.cap = polynomial_degree, interaction_only, names, max_features
         self.min_distinct, self.encode, self.one_hot_ratio, self.target_ratio = min_distinct, encode_categorical, one_hot_ratio, target_ratio
-        self.min_samples, self.keep_original, self.max_map = min_samples_per_category, keep_original_categorical, max_map_entries
+        self.min_samples, self.keep_original, self.max_one_hot = min_samples_per_category, keep_original_categorical, max_one_hot
         self.features, self.numeric, self.encoded, self.lookups = FeatureSet(), [], [], {}
 
     def fit(self, df: DataFrame, label: str | None = None) -> "TabularEngine":
-        facts = profile(df, [c for c in df.columns if c != label])
+        facts = profile(df, [c for c in df.columns if c != label], self._near)
         self.numeric = [c for c in columns_of(df, FeatureType.NUMERIC, [label] if label else []) if facts[c].distinct >= self.min_distinct]
         specs = self._categorical(df, label, facts) if self.encode else []
         specs += self._numeric()
         self.features = FeatureSet(specs if self.cap is None else specs[: self.cap])
         return self
 
+    def _near(self, n: int, distinct: int) -> bool:
+        """Whether an estimate of distinct values is so near a threshold that the exact number decides."""
+        return any(abs(distinct - t) <= 2 + 0.1 * t for t in (self.min_distinct, self.one_hot_ratio * n, self.target_ratio * n, self.max_one_hot))
+
     def _numeric(self) -> list[FeatureSpec]:
         c, out = self.numeric, []
         P, I = FeatureOrigin.POLYNOMIAL, FeatureOrigin.INTERACTION
@@ -59,8 +62,8 @@ class TabularEngine:
             if not n or not distinct:
                 continue
             counts = df.where(F.col(E.q(c)).isNotNull()).groupBy(F.col(E.q(c)).alias("v")).agg(F.count("*").alias("n")).where(F.col("n") >= self.min_samples)
-            if distinct / n <= self.one_hot_ratio:
-                # one-hot is for few categories; a row per kept category comes to the driver
+            if distinct / n <= self.one_hot_ratio and distinct <= self.max_one_hot:
+                # a row per kept category comes to the driver, ``max_one_hot`` at most; columns with more categories are encoded by target
                 cats = [r["v"] for r in counts.orderBy(F.desc("n"), "v").collect()]
                 if not cats:
                     continue
@@ -108,9 +111,19 @@ def label_as_number(df: DataFrame, label: str) -> DataFrame:
 
 
 def label_codes(df: DataFrame, column: str) -> DataFrame:
-    """(v, code): distinct values in sorted order from 0; numbered by one window over the distinct values alone."""
+    """(v, code): distinct values in sorted order from 0; numbered over range partitions."""
     d = df.select(F.col(E.q(column)).cast("string").alias("v")).where("v is not null").distinct()
-    return d.select("v", (F.row_number().over(Window.orderBy("v")) - 1).alias("code"))
+    return ordered(d, ["v"]).select("v", (F.col("__rank") - 1).alias("code"))
+
+
+def ordinal_encode(train: DataFrame, test: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both frames with string columns as codes of the train side's sorted values, null being "missing"; unknown values get the next code."""
+    for c in columns:
+        fill = lambda d: d.withColumn(c, F.coalesce(F.col(E.q(c)).cast("string"), F.lit("missing")))  # noqa: B023, E731
+        codes = label_codes(fill(train), c)
+        n = codes.count()
+        train, test = (label_encode(fill(d), c, codes, n).drop(c).withColumnRenamed(f"{c}_encoded", c).select(*d.columns) for d in (train, test))
+    return train, test
 
 
 def label_encode(df: DataFrame, column: str, codes: DataFrame | None = None, unknown: int = -1) -> DataFrame:

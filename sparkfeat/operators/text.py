@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import expr as E
+from ..sources.shared import stored
 from ..spec import FeatureSet, FeatureSpec, FeatureType, columns_of
 from .tabular import label_codes, label_encode
 
@@ -55,42 +56,90 @@ def tfidf(df: DataFrame, key: str, column: str, max_terms: int = 5000) -> DataFr
     Terms are runs of two or more word characters, lower-cased, without English stop words; ties at
     the cut go to the alphabetically first.
     """
+    w, _ = _weights(df, key, column, max_terms)
+    return w
+
+
+def _weights(df: DataFrame, key: str, column: str, max_terms: int) -> tuple[DataFrame, DataFrame]:
+    """(weights as of ``tfidf``, the terms kept): term counts are worked out once and stored."""
     stop = StopWordsRemover.loadDefaultStopWords("english")
     words = df.select(F.col(key).alias("k"), F.explode(F.regexp_extract_all(F.lower(F.expr(E.text(column))), F.lit(r"(?U)\b\w\w+\b"), 0)).alias("term"))
-    tf = words.where(~F.col("term").isin(stop)).groupBy("k", "term").agg(F.count("*").alias("tf"))
-    terms = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    tf = stored(words.where(~F.col("term").isin(stop)).groupBy("k", "term").agg(F.count("*").alias("tf")))
     n = df.count()
-    kept = terms.orderBy(F.desc("total"), "term").limit(max_terms).select("term", (F.log((F.lit(1.0) + n) / (1 + F.col("df"))) + 1).alias("idf"))
-    w = tf.join(kept, "term").select("k", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = w.groupBy("k").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norm, "k").select(F.col("k").alias(key), "term", (F.col("w") / F.col("norm")).alias("weight"))
+    kept = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).orderBy(F.desc("total"), "term").limit(max_terms)
+    kept = kept.select("term", (F.log((F.lit(1.0) + n) / (1 + F.col("df"))) + 1).alias("idf"))
+    w = tf.join(F.broadcast(kept), "term").select("k", "term", (F.col("tf") * F.col("idf")).alias("w"))  # max_terms rows
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("k")))
+    return w.select(F.col("k").alias(key), "term", (F.col("w") / norm).alias("weight")), kept
+
 
+def tfidf_svd(df: DataFrame, key: str, column: str, components: int = 50, max_terms: int = 5000, rounds: int = 6, seed: int = 0) -> DataFrame:
+    """(key, {column}_tfidf_i): projections on the leading right singular vectors, each signed so that its largest loading is positive.
 
-def tfidf_svd(df: DataFrame, key: str, column: str, components: int = 50, max_terms: int = 5000) -> DataFrame:
-    """(key, {column}_tfidf_i): leading singular directions, each signed so that its largest loading is positive."""
+    Randomised subspace iteration (Halko et al., 2011): each round multiplies the terms' basis by A'A, a pass over
+    the stored rows in which every task adds up its part; the parts are summed by term in a shuffle.  The basis has
+    ``max_terms`` rows at most.  Rows without any kept term have no output row.
+    """
     import numpy as np
-    from pyspark.ml.linalg import Vectors
-    from pyspark.mllib.linalg import Vectors as Old
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    w = tfidf(df, key, column, max_terms)
-    index = w.select("term").distinct().select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("i"))
-    size = index.count()
-    rows = w.join(F.broadcast(index), "term").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "weight"))).alias("v")).persist()
+    import pyarrow as pa
+
+    w, kept = _weights(df, key, column, max_terms)
+    terms = sorted(r["term"] for r in kept.select("term").collect())
+    index = df.sparkSession.createDataFrame([(t, i) for i, t in enumerate(terms)], "term string, i int")
+    rows = stored(w.join(F.broadcast(index), "term").groupBy(key).agg(F.collect_list("i").alias("i"), F.collect_list("weight").alias("w")))
+    size = len(terms)
     k = max(1, min(components, size - 1))
-    mat = RowMatrix(rows.rdd.map(lambda r: Old.sparse(size, [(x["i"], x["weight"]) for x in r["v"]])))
-    v = mat.computeSVD(k).V.toArray()
-    v = v * np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])])
+    basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, min(size, k + 10))))[0] if size else np.zeros((0, 1))
+
+    def parts_of(b: pa.RecordBatch):
+        i, v = b.column(b.schema.get_field_index("i")), b.column(b.schema.get_field_index("w"))
+        n = pa.compute.list_value_length(i).to_numpy(zero_copy_only=False)
+        return i.flatten().to_numpy(), v.flatten().to_numpy(), np.repeat(np.arange(b.num_rows), n)
+
+    def times(b: pa.RecordBatch, q) -> np.ndarray:
+        i, v, r = parts_of(b)
+        out = np.zeros((b.num_rows, q.shape[1]))
+        np.add.at(out, r, q[i] * v[:, None])
+        return out
+
+    def gram(sent):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            y = np.zeros(sent.value.shape)
+            for b in batches:
+                i, v, r = parts_of(b)
+                np.add.at(y, i, times(b, sent.value)[r] * v[:, None])
+            live = np.flatnonzero(np.abs(y).max(axis=1, initial=0) > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(live.astype(np.int32)), pa.array([y[j].tobytes() for j in live], pa.binary())], names=["i", "y"])
+
+        return run
+
+    def add(t: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(x.as_py()) for x in t.column("y")], axis=0)
+        return pa.table({"i": t.column("i")[:1].cast(pa.int32()), "y": pa.array([total.tobytes()], pa.binary())})
+
+    for step in range(rounds if size else 0):
+        sent = df.sparkSession.sparkContext.broadcast(basis)
+        y = np.zeros(basis.shape)
+        for r in rows.mapInArrow(gram(sent), "i int, y binary").groupBy("i").applyInArrow(add, "i int, y binary").collect():
+            y[r["i"]] = np.frombuffer(r["y"])
+        sent.unpersist()
+        if step < rounds - 1:
+            basis = np.linalg.qr(y)[0]
+    if size:  # eigenvectors of A'A within the subspace
+        val, vec = np.linalg.eigh((basis.T @ y + y.T @ basis) / 2)
+        v = (basis @ vec[:, np.argsort(-val)])[:, :k]
+        v = v * np.sign(v[np.abs(v).argmax(axis=0), np.arange(k)])
+    else:
+        v = np.zeros((0, k))
     sent = df.sparkSession.sparkContext.broadcast(v)
 
-    def project(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            m = np.array([sum(x["weight"] * sent.value[x["i"]] for x in r) for r in pdf["v"]]).reshape(len(pdf), -1)
-            yield pd.DataFrame({key: pdf[key], **{f"{column}_tfidf_{i}": m[:, i] for i in range(m.shape[1])}})
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            m = times(b, sent.value)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(m[:, j]) for j in range(k)]], names=[key, *[f"{column}_tfidf_{j}" for j in range(k)]])
 
-    del Vectors
-    schema = f"`{key}` {rows.schema[key].dataType.simpleString()}, " + ", ".join(f"`{column}_tfidf_{i}` double" for i in range(v.shape[1]))
-    return rows.mapInPandas(project, schema)
+    schema = f"`{key}` {rows.schema[key].dataType.simpleString()}, " + ", ".join(f"`{column}_tfidf_{i}` double" for i in range(k))
+    return rows.select(key, "i", "w").mapInArrow(project, schema)
 
 
 def sentiment(df: DataFrame, column: str, model: Callable[[list[str]], list[tuple[float, float, float]]] | None = None) -> DataFrame:
@@ -136,30 +185,50 @@ ENTITY_KINDS = ("person", "org", "gpe", "date", "money", "product", "event", "lo
 POS_TAGS = ("noun", "verb", "adj", "adv", "pron", "propn", "num", "det", "adp")
 
 
-def _counts(df: DataFrame, column: str, model: Callable[[list[str]], list[dict[str, int]]], names: tuple[str, ...], most_chars: int) -> DataFrame:
+def _summed(model: Callable[[list[str]], list[dict[str, int]]], texts: list[str], piece: int) -> list[dict[str, int]]:
+    """The model's counts of whole texts: it gets pieces of at most ``piece`` characters, cut at blanks where there are any, and they are added up."""
+    parts, owner = [], []
+    for i, t in enumerate(texts):
+        at = 0
+        while True:
+            end = len(t) if len(t) - at <= piece else (t.rfind(" ", at, at + piece) + 1) or at + piece
+            end = end if end > at else at + piece
+            parts.append(t[at:end])
+            owner.append(i)
+            at = end
+            if at >= len(t):
+                break
+    out: list[dict[str, int]] = [{} for _ in texts]
+    for i, got in zip(owner, model(parts)):
+        for name, n in got.items():
+            out[i][name] = out[i].get(name, 0) + n
+    return out
+
+
+def _counts(df: DataFrame, column: str, model: Callable[[list[str]], list[dict[str, int]]], names: tuple[str, ...], piece: int) -> DataFrame:
     @F.pandas_udf("map<string, bigint>")
     def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in it:
-            yield pd.Series(model(s.fillna("").str.slice(0, most_chars).tolist()))
+            yield pd.Series(_summed(model, s.fillna("").tolist(), piece))
 
     counted = df.withColumn("__c", run(F.col(E.q(column)).cast("string")))
     return counted.withColumn("__n", F.array(*[F.coalesce(F.try_element_at("__c", F.lit(n)), F.lit(0)) for n in names]))
 
 
-def named_entities(df: DataFrame, column: str, model: Callable[[list[str]], list[dict[str, int]]] | None, most_chars: int = 10_000) -> DataFrame:
+def named_entities(df: DataFrame, column: str, model: Callable[[list[str]], list[dict[str, int]]] | None, piece: int = 10_000) -> DataFrame:
     """``df`` with the number of entities of each kind and in all, of a model that counts them; unchanged without one."""
     if model is None:
         return df
-    d = _counts(df, column, model, ENTITY_KINDS, most_chars)
+    d = _counts(df, column, model, ENTITY_KINDS, piece)
     total = F.aggregate("__n", F.lit(0).cast("bigint"), lambda a, x: a + x)
     return d.select(*[F.col(E.q(c)) for c in df.columns], *[F.col("__n")[k].alias(f"{column}_ner_{n}") for k, n in enumerate(ENTITY_KINDS)], total.alias(f"{column}_ner_total"))
 
 
-def parts_of_speech(df: DataFrame, column: str, model: Callable[[list[str]], list[dict[str, int]]] | None, most_chars: int = 10_000) -> DataFrame:
+def parts_of_speech(df: DataFrame, column: str, model: Callable[[list[str]], list[dict[str, int]]] | None, piece: int = 10_000) -> DataFrame:
     """``df`` with the share of each tag among the words, nouns over verbs, and the share of content words."""
     if model is None:
         return df
-    d = _counts(df, column, model, POS_TAGS, most_chars)
+    d = _counts(df, column, model, POS_TAGS, piece)
     n = F.greatest(F.aggregate(F.map_values(F.coalesce("__c", F.create_map().cast("map<string,bigint>"))), F.lit(0).cast("bigint"), lambda a, x: a + x), F.lit(1))
     at = lambda tag: F.col("__n")[POS_TAGS.index(tag)]
     shares = [(at(t) / n).alias(f"{column}_pos_{t}_ratio") for t in POS_TAGS]

@@ -1,9 +1,10 @@
 """Series to scalar features.
 
 A series is the non-null values of a column in the order of ``order_cols``, per entity or of the
-whole table.  Features come from plain aggregates, from windows with lags below them, or, for
-entropies and the dominant frequency, from NumPy per entity.  Windows partition by the entity, so a series
-is ordered within one task; features that need no order never sort.
+whole table.  Features come from one aggregation over windows, or, for
+entropies and the dominant frequency, from NumPy per entity.  Windows partition by the entity, so an entity's series
+is ordered within one task; the series of a whole table is ordered by range partitions and cut into chunks that overlap.
+Features that need no order never sort.
 """
 
 from __future__ import annotations
@@ -17,10 +18,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.expr import num
+from .arrays import array_series as array_features
+from .entropy import approximate_entropy, sample_entropy
+from .order import ordered
+
+__all__ = ["TimeSeriesEngine", "array_features", "approximate_entropy", "sample_entropy"]
 
 GROUPS = ("basic_stats", "distribution", "autocorrelation", "peaks", "trends", "rolling", "fft", "entropy", "energy", "complexity", "counts")
 DEFAULT = ("basic_stats", "distribution", "autocorrelation")
 WINDOWS = (5, 10, 20)
+#: Rows of a window of a series without entities.
+CHUNK = 100_000
 
 
 def _when(least: int, value: Column, n: Column | None = None) -> Column:
@@ -32,14 +40,17 @@ def _safe(a: Column, b: Column) -> Column:
 
 
 class TimeSeriesEngine:
-    """``fit`` fixes nothing but the columns; ``transform`` gives one row per entity."""
+    """``fit`` fixes nothing but the columns; ``transform`` gives one row per entity.
+
+    ``only`` names the features that are wanted (or beginnings of their names): dear ones that are not are left out.
+    """
 
-    def __init__(self, order_cols: list[str], entity_cols: list[str] | None = None, features: list[str] | None = None, window_sizes: tuple[int, ...] = WINDOWS, lags: int = 10, coefficients: int = 10) -> None:
+    def __init__(self, order_cols: list[str], entity_cols: list[str] | None = None, features: list[str] | None = None, window_sizes: tuple[int, ...] = WINDOWS, lags: int = 10, coefficients: int = 10, only: list[str] | None = None) -> None:
         if not order_cols:
             raise ValueError("a series needs order_cols")
         self.order, self.entity = list(order_cols), list(entity_cols or [])
         self.groups = [g for g in (DEFAULT if features is None else features) if g in GROUPS]
-        self.windows, self.lags, self.coefficients = window_sizes, lags, coefficients
+        self.windows, self.lags, self.coefficients, self.only = window_sizes, lags, coefficients, only
 
     def transform(self, df: DataFrame, columns: list[str]) -> DataFrame:
         out = None
@@ -63,44 +74,71 @@ class TimeSeriesEngine:
         made = made.select(*[F.col(k).alias(f"__{k}") for k in self.entity], *[c for c in made.columns if c not in self.entity])
         return df.join(made, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in self.entity], "left").drop(*[f"__{k}" for k in self.entity])
 
-    def _column(self, df: DataFrame, c: str) -> DataFrame:
-        base = df.select(*self.entity, *[F.col(o).alias(f"o{k}") for k, o in enumerate(self.order)], F.expr(num(c)).alias("x"))
+    def _series(self, df: DataFrame, c: str) -> DataFrame:
+        """(entity, i, x): the non-null values with their place from 0; of the whole table by range partitions."""
+        base = df.select(*self.entity, *[F.col(o).alias(f"o{k}") for k, o in enumerate(self.order)], F.expr(num(c)).alias("x")).where("x is not null")
         order = [f"o{k}" for k in range(len(self.order))]
+        if self.entity:
+            return base.withColumn("i", F.row_number().over(Window.partitionBy(*self.entity).orderBy(*order)) - 1).drop(*order)
+        return ordered(base, order, "r").select("x", (F.col("r") - 1).alias("i"))
+
+    def _with(self, series: DataFrame, add: dict, before: int = 0, after: int = 0) -> DataFrame:
+        """``series`` with columns made by windows in the order of ``i``, each a function of the window.
+
+        With entities a window is an entity.  Without, it is a chunk of ``CHUNK`` rows with copies of the rows
+        ``before`` and ``after`` it, enough for every lag, lead and frame used.
+        """
+        if self.entity:
+            w = Window.partitionBy(*self.entity).orderBy("i")
+            return series.withColumns({k: f(w) for k, f in add.items()})
+        at, home = F.col("i") % CHUNK, F.floor(F.col("i") / CHUNK)
+        to = F.array_compact(F.array(home, F.when(at >= CHUNK - before, home + 1), F.when((at < after) & (home > 0), home - 1)))
+        w = Window.partitionBy("__chunk").orderBy("i")
+        return series.withColumn("__home", home).withColumn("__chunk", F.explode(to)).withColumns({k: f(w) for k, f in add.items()}).where("__chunk = __home").drop("__chunk", "__home")
+
+    def _facts(self, series: DataFrame) -> DataFrame:
+        """``series`` with the number, mean, greatest and least of its values; by a window of the entity, or one row for all."""
+        made = {"n": F.count("x"), "mu": F.avg("x"), "hi": F.max("x"), "lo": F.min("x")}
+        if self.entity:
+            return series.withColumns({k: v.over(Window.partitionBy(*self.entity)) for k, v in made.items()})
+        return series.crossJoin(F.broadcast(series.agg(*[v.alias(k) for k, v in made.items()])))
+
+    def _column(self, df: DataFrame, c: str) -> DataFrame:
         g, aggs = self.groups, []
-        w = Window.partitionBy(*self.entity).orderBy(*order) if self.entity else Window.partitionBy(F.lit(0)).orderBy(*order)
-        full = Window.partitionBy(*self.entity) if self.entity else Window.partitionBy(F.lit(0))
+        base = df.select(*self.entity, F.expr(num(c)).alias("x"))
         series, x = base, F.col("x")
-        if set(g) - {"basic_stats", "distribution"}:
-            series = base.where("x is not null")
-            add = {"i": F.row_number().over(w) - 1, "n": F.count("x").over(full)}
-            if set(g) & {"trends", "energy", "complexity", "counts"}:
-                add |= {"p1": F.lag("x", 1).over(w), "p2": F.lag("x", 2).over(w)}
+        plain = not set(g) - {"basic_stats", "distribution"}
+        if not plain:
+            series = self._facts(self._series(df, c))
+            add, before, after = {}, 0, 0
+            if set(g) & {"trends", "energy", "complexity", "counts", "peaks"}:
+                add |= {"p1": lambda w: F.lag("x", 1).over(w), "p2": lambda w: F.lag("x", 2).over(w)}
+                before = 2
             if "autocorrelation" in g:
-                add |= {f"lag{k}": F.lag("x", k).over(w) for k in range(1, self.lags + 1)}
+                add |= {f"lag{k}": lambda w, k=k: F.lag("x", k).over(w) for k in range(1, self.lags + 1)}
+                before = max(before, self.lags)
             if "rolling" in g:
                 for s in self.windows:
-                    win = w.rowsBetween(1 - s, 0)
-                    ok = F.row_number().over(w) >= s
-                    add |= {f"rm{s}": F.when(ok, F.avg("x").over(win)), f"rs{s}": F.when(ok, F.stddev_samp("x").over(win))}
-            if "counts" in g:
-                add |= {"mu": F.avg("x").over(full), "hi": F.max("x").over(full), "lo": F.min("x").over(full)}
+                    ok = F.col("i") >= s - 1
+                    add |= {f"rm{s}": lambda w, s=s, ok=ok: F.when(ok, F.avg("x").over(w.rowsBetween(1 - s, 0))), f"rs{s}": lambda w, s=s, ok=ok: F.when(ok, F.stddev_samp("x").over(w.rowsBetween(1 - s, 0)))}
+                    before = max(before, s - 1)
+            if "peaks" in g:
+                add["a1"] = lambda w: F.lead("x", 1).over(w)
+                after = 1
+            series = self._with(series, add, before, after) if add else series
             if "complexity" in g:
-                add |= {"same": F.count("x").over(Window.partitionBy(*self.entity, "x") if self.entity else Window.partitionBy("x")), "hi": F.max("x").over(full), "lo": F.min("x").over(full)}
-            if "entropy" in g:
-                add |= {"lo": F.min("x").over(full), "hi": F.max("x").over(full)}
-            series = series.withColumns(add)
+                series = self._same(series)
         def put(name: str, value: Column) -> None:
             if f"{c}_{name}" not in seen:
                 seen.add(f"{c}_{name}")
                 aggs.append(value.alias(f"{c}_{name}"))
 
         seen: set[str] = set()
-        src = series
         if "basic_stats" in g:
             mean, sd = F.avg(x), F.stddev_pop(x)
             for name, v in (("mean", mean), ("std", sd), ("min", F.min(x)), ("max", F.max(x)), ("range", F.max(x) - F.min(x)), ("median", F.median(x)), ("sum", F.coalesce(F.sum(x), F.lit(0.0))), ("var", F.var_pop(x)), ("cv", F.when(mean == 0, 0.0).otherwise(sd / F.abs(mean)))):
                 put(name, v)
-            if src is base:
+            if plain:
                 put("length", F.count(F.lit(1)))
         if "distribution" in g:
             put("skewness", _when(4, F.skewness(x)))
@@ -126,7 +164,7 @@ class TimeSeriesEngine:
                 put(f"rolling{s}_mean_of_means", F.avg(f"rm{s}"))
                 put(f"rolling{s}_max_of_means", F.max(f"rm{s}"))
                 put(f"rolling{s}_std_of_stds", F.stddev_samp(f"rs{s}"))
-        if "fft" in g:
+        if "fft" in g and self._wants(f"{c}_fft_coeff", f"{c}_spectral"):
             n = F.col("n")
             for k in range(1, self.coefficients + 1):
                 turn = 2 * math.pi * k * F.col("i") / n
@@ -163,18 +201,19 @@ class TimeSeriesEngine:
             put("number_crossings_mean", _when(2, F.coalesce(F.sum((F.signum(x - mu) != F.signum(F.col("p1") - mu)).cast("int")), F.lit(0))))
             put("number_zero_crossings", _when(2, F.coalesce(F.sum((F.signum(x) != F.signum("p1")).cast("int")), F.lit(0))))
             put("abs_sum_changes", _when(2, F.sum(F.abs(x - F.col("p1")))))
-        out = (src.groupBy(*self.entity) if self.entity else src.groupBy()).agg(*aggs) if aggs else None
+        if not plain and self.entity:
+            series = self._runs(series, put, g)
+        out = self._by(series).agg(*aggs) if aggs else None
         more = []
-        if "basic_stats" in g and src is not base:
-            more.append((base.groupBy(*self.entity) if self.entity else base.groupBy()).agg(F.count(F.lit(1)).alias(f"{c}_length")))
-        if "peaks" in g:
-            more.append(self._peaks(series, c, w))
-        if "counts" in g:
-            more.append(self._strikes(series, c, w))
-        if "entropy" in g:
+        if "basic_stats" in g and not plain:
+            more.append(self._by(base).agg(F.count(F.lit(1)).alias(f"{c}_length")))
+        if not self.entity:
+            more += self._runs_of_all(series, c, g)
+        if "entropy" in g and self._wants(f"{c}_binned"):
             more.append(self._binned_entropy(series, c))
+        if "entropy" in g and self._wants(f"{c}_sample", f"{c}_approximate"):
             more.append(self._entropies(series, c))
-        if "fft" in g:
+        if "fft" in g and self._wants(f"{c}_dominant"):
             more.append(self._dominant(series, c))
         for m in more:
             out = m if out is None else self._join(out, m)
@@ -183,23 +222,57 @@ class TimeSeriesEngine:
     def _by(self, df: DataFrame):
         return df.groupBy(*self.entity) if self.entity else df.groupBy()
 
-    def _peaks(self, series: DataFrame, c: str, w) -> DataFrame:
-        """Strict local extrema; a run of equal values is one point, ends are none."""
-        runs = series.withColumn("b", F.lag("x").over(w)).where("b is null or b <> x")
-        runs = runs.withColumns({"b": F.lag("x").over(w), "a": F.lead("x").over(w)})
-        peak, trough = (F.col("x") > F.col("b")) & (F.col("x") > F.col("a")), (F.col("x") < F.col("b")) & (F.col("x") < F.col("a"))
-        at = lambda cond: F.when(cond, F.col("x"))
-        ok = F.max("n") >= 3
-        return self._by(runs).agg(F.when(ok, F.count(at(peak))).alias(f"{c}_n_peaks"), F.when(ok, F.count(at(trough))).alias(f"{c}_n_troughs"), F.avg(at(peak)).alias(f"{c}_peak_mean"), F.max(at(peak)).alias(f"{c}_peak_max"), F.avg(at(trough)).alias(f"{c}_trough_mean"), F.min(at(trough)).alias(f"{c}_trough_min"))
-
-    def _strikes(self, series: DataFrame, c: str, w) -> DataFrame:
-        """Longest runs above and below the mean, as gaps and islands."""
-        s = series.withColumn("sign", F.signum(F.col("x") - F.col("mu")))
-        inner = Window.partitionBy(*self.entity, "sign").orderBy("i")
-        s = s.withColumn("island", F.col("i") - F.row_number().over(inner))
-        runs = s.groupBy(*self.entity, "sign", "island").agg(F.count("*").alias("len"), F.max("n").alias("n"))
-        longest = lambda v: F.when(F.max("n") >= 2, F.coalesce(F.max(F.when(F.col("sign") == v, F.col("len"))), F.lit(0)))
-        return self._by(runs).agg(longest(1.0).alias(f"{c}_longest_strike_above_mean"), longest(-1.0).alias(f"{c}_longest_strike_below_mean"))
+    def _wants(self, *starts: str) -> bool:
+        """Whether a name that begins so is asked for; all are unless ``only`` is given."""
+        return self.only is None or any(o.startswith(s) or s.startswith(o) for o in self.only for s in starts)
+
+    def _same(self, series: DataFrame) -> DataFrame:
+        """How often each value occurs in its series: counted and joined back, so that a frequent value is no task of its own."""
+        by = series.groupBy(*self.entity, "x").agg(F.count("*").alias("same")).select(*[F.col(k).alias(f"__{k}") for k in self.entity], F.col("x").alias("__x"), "same")
+        on = F.col("x") == F.col("__x")
+        for k in self.entity:
+            on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+        return series.join(by, on).drop("__x", *[f"__{k}" for k in self.entity])
+
+    def _runs(self, series: DataFrame, put, g: list[str]) -> DataFrame:
+        """Local extrema and longest strikes from the series' own windows: what a run began with is carried to its end."""
+        w = Window.partitionBy(*self.entity).orderBy("i")
+        upto = w.rowsBetween(Window.unboundedPreceding, 0)
+        x, ok = F.col("x"), F.max("n")
+        if "peaks" in g:
+            before = F.last(F.when(F.col("p1") != x, F.col("p1")), ignorenulls=True).over(upto)
+            series = series.withColumn("b1", before)
+            ends = F.col("a1") != x  # the last row of a run of equal values that another follows
+            peak, trough = ends & (x > F.col("b1")) & (x > F.col("a1")), ends & (x < F.col("b1")) & (x < F.col("a1"))
+            at = lambda cond: F.when(cond, x)
+            put("n_peaks", F.when(ok >= 3, F.count(at(peak))))
+            put("n_troughs", F.when(ok >= 3, F.count(at(trough))))
+            for name, v in (("peak_mean", F.avg(at(peak))), ("peak_max", F.max(at(peak))), ("trough_mean", F.avg(at(trough))), ("trough_min", F.min(at(trough)))):
+                put(name, v)
+        if "counts" in g:
+            sign, last = F.signum(x - F.col("mu")), F.signum(F.col("p1") - F.col("mu"))
+            begun = F.max(F.when(last.isNull() | (sign != last), F.col("i"))).over(upto)
+            series = series.withColumns({"sign": sign, "run": F.col("i") - begun + 1})
+            for name, v in (("above", 1.0), ("below", -1.0)):
+                put(f"longest_strike_{name}_mean", F.when(ok >= 2, F.coalesce(F.max(F.when(F.col("sign") == v, F.col("run"))), F.lit(0))))
+        return series
+
+    def _runs_of_all(self, series: DataFrame, c: str, g: list[str]) -> list[DataFrame]:
+        """The same of a whole table's series: only the rows where a run begins are ranked, and meet their neighbours."""
+        out, x = [], F.col("x")
+        if "peaks" in g:
+            runs = ordered(series.where("p1 is null or p1 <> x").select(F.col("i").alias("j"), "x", "n"), ["j"], "r").select("x", "n", (F.col("r") - 1).alias("i"))
+            runs = self._with(runs, {"b": lambda w: F.lag("x").over(w), "a": lambda w: F.lead("x").over(w)}, 1, 1)
+            at = lambda sign: F.when((F.signum(x - F.col("b")) == sign) & (F.signum(x - F.col("a")) == sign), x)
+            ok = F.max("n") >= 3
+            out.append(runs.agg(F.when(ok, F.count(at(1))).alias(f"{c}_n_peaks"), F.when(ok, F.count(at(-1))).alias(f"{c}_n_troughs"), F.avg(at(1)).alias(f"{c}_peak_mean"), F.max(at(1)).alias(f"{c}_peak_max"), F.avg(at(-1)).alias(f"{c}_trough_mean"), F.min(at(-1)).alias(f"{c}_trough_min")))
+        if "counts" in g:
+            s = series.select("i", "n", F.signum(x - F.col("mu")).alias("sign"), F.signum(F.col("p1") - F.col("mu")).alias("last")).where("last is null or last <> sign")
+            s = ordered(s.select(F.col("i").alias("j"), "n", "sign"), ["j"], "r").select("j", "n", "sign", (F.col("r") - 1).alias("i"))
+            s = self._with(s, {"to": lambda w: F.lead("j").over(w)}, 0, 1).withColumn("len", F.coalesce("to", "n") - F.col("j"))
+            longest = lambda v: F.when(F.max("n") >= 2, F.coalesce(F.max(F.when(F.col("sign") == v, F.col("len"))), F.lit(0)))
+            out.append(s.agg(longest(1.0).alias(f"{c}_longest_strike_above_mean"), longest(-1.0).alias(f"{c}_longest_strike_below_mean")))
+        return out
 
     def _binned_entropy(self, series: DataFrame, c: str, bins: int = 10) -> DataFrame:
         flat = F.col("hi") == F.col("lo")
@@ -227,44 +300,3 @@ class TimeSeriesEngine:
             return (float(np.argmax(np.abs(np.fft.fft(v))[1 : len(v) // 2]) + 1),) if len(v) >= 4 else (None,)
 
         return self._per_entity(series, [f"{c}_dominant_freq_idx"], fn)
-
-
-def _near(v: np.ndarray, m: int, r: float, strict: bool) -> np.ndarray:
-    """For each window of ``m`` values the number of windows within ``r`` of it, itself included; by blocks of rows."""
-    e = np.lib.stride_tricks.sliding_window_view(v, m)
-    out = np.zeros(len(e), dtype=np.int64)
-    step = max(1, 2_000_000 // len(e))
-    for lo in range(0, len(e), step):
-        d = np.zeros((len(e[lo : lo + step]), len(e)))
-        for k in range(m):
-            np.maximum(d, np.abs(e[lo : lo + step, k, None] - e[None, :, k]), out=d)
-        out[lo : lo + step] = ((d < r) if strict else (d <= r)).sum(axis=1)
-    return out
-
-
-def sample_entropy(v: np.ndarray, m: int = 2) -> float:
-    r = 0.2 * v.std()
-    if len(v) < m + 2 or r == 0:
-        return 0.0
-    pairs = lambda size: (int(_near(v, size, r, True).sum()) - (len(v) - size + 1)) // 2
-    b, a = pairs(m), pairs(m + 1)
-    return float(-np.log(a / b)) if a and b else 0.0
-
-
-def approximate_entropy(v: np.ndarray, m: int = 2) -> float:
-    r = 0.2 * v.std()
-    if r == 0:
-        return 0.0
-    phi = lambda k: float(np.log(_near(v, k, r, False) / (len(v) - k + 1) + 1e-10).mean())
-    return abs(phi(m) - phi(m + 1))
-
-
-def array_features(df: DataFrame, column: str) -> DataFrame:
-    """Basic statistics of a series held in an array cell, with higher-order functions: no explode, no shuffle."""
-    a = f"filter(transform(`{column}`, v -> nanvl(cast(v as double), cast(null as double))), v -> v is not null)"
-    n, total = f"size({a})", f"aggregate({a}, 0D, (s, v) -> s + v)"
-    mean = f"try_divide({total}, {n})"
-    var = f"try_divide(aggregate({a}, 0D, (s, v) -> s + (v - {mean}) * (v - {mean})), {n})"
-    mid = f"element_at(array_sort({a}), cast(floor(({n} + 1) / 2) as int)) / 2 + element_at(array_sort({a}), cast(floor({n} / 2) as int) + 1) / 2"
-    exprs = {"mean": mean, "std": f"sqrt({var})", "min": f"array_min({a})", "max": f"array_max({a})", "range": f"array_max({a}) - array_min({a})", "median": f"if({n} = 0, null, {mid})", "sum": f"if(`{column}` is null, null, {total})", "length": f"size(`{column}`)", "var": var, "cv": f"if({mean} = 0, 0D, sqrt({var}) / abs({mean}))", "abs_energy": f"aggregate({a}, 0D, (s, v) -> s + v * v)", "mean_abs_change": f"try_divide(aggregate(zip_with(slice({a}, 2, greatest({n} - 1, 0)), slice({a}, 1, greatest({n} - 1, 0)), (p, r) -> abs(p - r)), 0D, (s, v) -> s + v), {n} - 1)"}
-    return df.select("*", *[F.expr(e).alias(f"{column}_{k}") for k, e in exprs.items()])

@@ -18,6 +18,7 @@ from .operators.tabular import TabularEngine, label_encode
 from .plans.pipeline import AutoFeatureEngineer
 from .rules import TransformRule
 from .semantic import SemanticEngine, standardise
+from .sources.shared import spread
 from .sources.store import as_of, latest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +29,11 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def tt(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """The same for costly work on each row, over all cores."""
+    return spread(t(spark, d, name))
+
+
 def rounded(df: DataFrame, digits: int = 6, without: tuple[str, ...] = ()) -> DataFrame:
     return df.select(*[F.round(F.col(q(c)), digits).alias(c) if k == "double" and c not in without else F.col(q(c)) for c, k in df.dtypes])
 
@@ -182,8 +188,8 @@ def self_group_mean_count(spark, d):
     return rounded(group_statistics(df, ["o_orderstatus"], ["o_totalprice"]).drop("o_orderstatus", "o_totalprice"))
 
 
-def _ts(spark: SparkSession, d: str, group: str, digits: int | None = 6) -> DataFrame:
-    out = timeseries.TimeSeriesEngine(["ts", "event_id"], ["user_id"], [group]).transform(t(spark, d, "events"), ["value"])
+def _ts(spark: SparkSession, d: str, group: str, digits: int | None = 6, only: list[str] | None = None) -> DataFrame:
+    out = timeseries.TimeSeriesEngine(["ts", "event_id"], ["user_id"], [group], only=only).transform(t(spark, d, "events"), ["value"])
     return out if digits is None else rounded(out, digits)
 
 
@@ -246,13 +252,13 @@ _AMP = lambda k: f"sqrt(power(sum(x*cos({2 * math.pi * k!r}*i/n)),2)+power(sum(x
 
 @query("ts_fft", _ts_sql({**{f"fft_coeff_{k}": f"CASE WHEN max(n)>=4 AND max(n)//2>={k} THEN {_r(_AMP(k), 4)} END" for k in range(1, 11)}, "spectral_energy": "CASE WHEN count(x)>=4 THEN round(count(x)*sum(x*x),2) END"}))
 def ts_fft(spark, d):
-    out = _ts(spark, d, "fft", None).drop("value_dominant_freq_idx")
+    out = _ts(spark, d, "fft", None, ["value_fft_coeff", "value_spectral_energy"])
     return out.select("user_id", *[F.round(c, 2 if c.endswith("energy") else 4).alias(c) for c in out.columns if c != "user_id"])
 
 
 @query("ts_dominant_freq")
 def ts_dominant_freq(spark, d):
-    return _ts(spark, d, "fft").select("user_id", "value_dominant_freq_idx")
+    return _ts(spark, d, "fft", 6, ["value_dominant_freq_idx"])
 
 
 @query("ts_energy", _ts_sql({"abs_energy": _2(_r("sum(x*x)", 4)), "mean_abs_change": _r("avg(abs(x-p1))", 5), "mean_second_deriv_central": _r("avg(x-2*p1+p2)", 5), "rms": _2(_r("sqrt(avg(x*x))", 5)), "crest_factor": "CASE WHEN count(x)>=2 AND sqrt(avg(x*x))>0 THEN round(max(abs(x))/sqrt(avg(x*x)),4) END"}))
@@ -280,12 +286,12 @@ def ts_counts(spark, d):
 @query("ts_binned_entropy", _BASE.rstrip() + """, b AS (SELECT user_id, n, CASE WHEN hi=lo THEN least(floor((x-lo+0.5)*10),9) ELSE least(floor((x-lo)/(hi-lo)*10),9) END AS bin FROM s),
 k AS (SELECT user_id, bin, count(*) AS k, max(n) AS n FROM b GROUP BY ALL) SELECT user_id, CASE WHEN max(n)>=4 THEN round(-sum(k/n*ln(k/n+1e-10)),6) END AS value_binned_entropy FROM k GROUP BY 1""")
 def ts_binned_entropy(spark, d):
-    return _ts(spark, d, "entropy").select("user_id", "value_binned_entropy")
+    return _ts(spark, d, "entropy", 6, ["value_binned_entropy"])
 
 
 @query("ts_entropy_pairs")
 def ts_entropy_pairs(spark, d):
-    return _ts(spark, d, "entropy").select("user_id", "value_sample_entropy", "value_approximate_entropy")
+    return _ts(spark, d, "entropy", 6, ["value_sample_entropy", "value_approximate_entropy"])
 
 
 @query("ts_array_rows", "WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding,1) AS i FROM embeddings), g AS (SELECT *, lag(x) OVER (PARTITION BY vec_id ORDER BY i) AS p FROM e) SELECT vec_id, round(avg(x),5) AS embedding_mean, round(stddev_pop(x),5) AS embedding_std, round(min(x),5) AS embedding_min, round(max(x),5) AS embedding_max, round(median(x),5) AS embedding_median, round(sum(x*x),5) AS embedding_abs_energy, round(avg(abs(x-p)),5) AS embedding_mean_abs_change FROM g GROUP BY 1")
@@ -295,7 +301,7 @@ def ts_array_rows(spark, d):
 
 
 def _text(spark, d, kinds, names):
-    df = t(spark, d, "documents").select("doc_id", "text")
+    df = tt(spark, d, "documents").select("doc_id", "text")
     e = text.TextEngine(kinds, encode_short=False).fit(df)
     return rounded(e.transform(df).select("doc_id", *[f"text_{n}" for n in names]))
 
@@ -390,7 +396,7 @@ def _labelled(spark, d):
 
 @query("sel_importance_rf")
 def sel_importance_rf(spark, d):
-    imp = scores.importances(_labelled(spark, d), ["n_chars", "bangs", "blanks"], "quality", trees=20)
+    imp = scores.importances(_labelled(spark, d), ["n_chars", "bangs", "blanks"], "quality")
     return spark.createDataFrame(sorted(imp.items()), "feature string, score double")
 
 
@@ -402,7 +408,7 @@ def sel_unified(spark, d):
 
 @query("gate_decision")
 def gate_decision(spark, d):
-    keep, gain = scores.gate(_labelled(spark, d), ["n_chars"], ["n_chars", "bangs", "blanks"], "quality", "doc_id", splits=2, trees=10)
+    keep, gain = scores.gate(_labelled(spark, d), ["n_chars"], ["n_chars", "bangs", "blanks"], "quality", "doc_id")
     return spark.createDataFrame([(keep, float(gain))], "keep boolean, gain double")
 
 
@@ -459,11 +465,12 @@ def category_standardize(spark, d):
     return standardise(t(spark, d, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", {"BUILDING": "construction", "MACHINERY": "industry"})
 
 
-@query("semantic_mock", "SELECT l_orderkey, l_linenumber, l_quantity/(l_extendedprice+1e-8::DOUBLE) AS l_quantity_l_extendedprice_ratio, l_quantity*l_extendedprice AS l_quantity_l_extendedprice_product FROM lineitem")
+@query("semantic_mock", "SELECT l_orderkey, l_linenumber, l_quantity/(l_extendedprice+1e-8::DOUBLE) AS l_quantity_l_extendedprice_ratio, l_quantity*l_extendedprice AS l_quantity_l_extendedprice_product, round((l_quantity-(SELECT avg(l_quantity) FROM lineitem))/(l_discount+1e-8::DOUBLE)/1e9, 9) AS l_quantity_normalized_by_l_discount, round((l_quantity-(SELECT avg(l_quantity) FROM lineitem))/((SELECT stddev_samp(l_quantity) FROM lineitem)+1e-8::DOUBLE), 6) AS l_quantity_zscore FROM lineitem")
 def semantic_mock(spark, d):
     df = t(spark, d, "lineitem").select(*KEYS, *LI)
     e = SemanticEngine().fit(df.select(*LI))
-    return e.transform(df).select(*KEYS, "l_quantity_l_extendedprice_ratio", "l_quantity_l_extendedprice_product")
+    norm, z = "l_quantity_normalized_by_l_discount", "l_quantity_zscore"
+    return e.transform(df).select(*KEYS, "l_quantity_l_extendedprice_ratio", "l_quantity_l_extendedprice_product", F.round(F.col(norm) / 1e9, 9).alias(norm), F.round(z, 6).alias(z))
 
 
 @query("auto_pipeline", f"""WITH a AS (SELECT o_custkey, {_aggs('o_totalprice', 'orders')} FROM orders GROUP BY 1)
@@ -477,3 +484,6 @@ def auto_pipeline(spark, d):
     out = eng.fit(df, related={"orders": t(spark, d, "orders").select("o_custkey", "o_totalprice")}).transform(df)
     names = ["c_custkey", "c_acctbal_pow2", "c_acctbal_log1p", "c_acctbal_sqrt", *[f"orders_o_totalprice_{a}" for a in ("mean", "sum", "count", "max", "min")], "c_acctbal_by_c_mktsegment_mean"]
     return out.select(*[F.round(n, 4 if n.endswith("_sum") else 6).alias(n) if n.endswith(("_mean", "_sum", "_log1p", "_sqrt")) else n for n in names])
+
+
+from . import queries_more  # noqa: E402, F401 - registers the rest

@@ -18,7 +18,45 @@ from .functions.expr import q
 from .rules import TransformRule
 from .spec import FeatureOrigin, FeatureSet, FeatureSpec, FeatureType, columns_of
 
-DOMAINS = {"healthcare": ["bmi", "risk"], "finance": ["ratio", "utilisation"], "retail": ["basket", "recency"], "telecom": ["usage", "churn"]}
+#: What a domain's prompts ask for: name, the words that name its inputs, the code over them.
+DOMAINS: dict[str, list[tuple[str, tuple[str, ...], str]]] = {
+    "healthcare": [
+        ("body_mass_index", ("weight", "height"), "result = df['{0}'] / (df['{1}'] * df['{1}'] + 1e-8)"),
+        ("pulse_pressure", ("systolic", "diastolic"), "result = df['{0}'] - df['{1}']"),
+        ("lipid_ratio", ("cholesterol", "hdl"), "result = df['{0}'] / (df['{1}'] + 1e-8)"),
+        ("glucose_per_age", ("glucose", "age"), "result = df['{0}'] / (df['{1}'] + 1e-8)"),
+    ],
+    "finance": [
+        ("debt_to_income", ("debt", "income"), "result = df['{0}'] / (df['{1}'] + 1e-8)"),
+        ("utilisation", ("balance", "limit"), "result = df['{0}'] / (df['{1}'] + 1e-8)"),
+        ("savings_rate", ("savings", "income"), "result = df['{0}'] / (df['{1}'] + 1e-8)"),
+        ("log_income", ("income",), "result = np.log1p(np.abs(df['{0}']))"),
+    ],
+    "retail": [
+        ("basket_value", ("price", "quantity"), "result = df['{0}'] * df['{1}']"),
+        ("discount_share", ("discount", "price"), "result = df['{0}'] / (df['{1}'] + 1e-8)"),
+        ("orders_per_day", ("orders", "days"), "result = df['{0}'] / (df['{1}'] + 1e-8)"),
+        ("votes_per_rating", ("votes", "rating"), "result = df['{0}'] / (df['{1}'] + 1e-8)"),
+    ],
+    "telecom": [
+        ("charge_per_month", ("charges", "tenure"), "result = df['{0}'] / (df['{1}'] + 1e-8)"),
+        ("tickets_per_month", ("tickets", "tenure"), "result = df['{0}'] / (df['{1}'] + 1e-8)"),
+        ("usage_per_charge", ("usage", "charges"), "result = df['{0}'] / (df['{1}'] + 1e-8)"),
+        ("minutes_per_call", ("minutes", "calls"), "result = df['{0}'] / (df['{1}'] + 1e-8)"),
+    ],
+}
+
+
+def domain_features(df: DataFrame, domain: str) -> list[dict]:
+    """The domain's features whose inputs name columns of ``df``, as a reply of a language model would list them."""
+    if domain not in DOMAINS:
+        raise ValueError(f"domain is one of {sorted(DOMAINS)}")
+    cols, out = columns_of(df, FeatureType.NUMERIC), []
+    for name, words, code in DOMAINS[domain]:
+        found = [next((c for c in cols if w in c.lower()), None) for w in words]
+        if all(found) and len(set(found)) == len(found):
+            out.append({"name": name, "code": code.format(*found), "source_columns": found, "explanation": f"{name.replace('_', ' ')} of {' and '.join(found)}"})
+    return out
 
 
 class LLM(Protocol):
@@ -54,14 +92,21 @@ def parse(reply: str) -> dict:
 
 
 class SemanticEngine:
-    def __init__(self, llm: LLM | None = None, max_suggestions: int = 20, domain: str | None = None) -> None:
+    """Suggestions of the domain's own features and of the model; what does not compile is kept in ``rejected`` with its reason."""
+
+    def __init__(self, llm: LLM | None = None, max_suggestions: int = 20, domain: str | None = None, task: str | None = None) -> None:
+        if domain is not None and domain not in DOMAINS:
+            raise ValueError(f"domain is one of {sorted(DOMAINS)}")
+        self.task = task
         self.llm, self.max, self.domain, self.features, self.rejected = llm or MockLLM(), max_suggestions, domain, FeatureSet(), {}
 
     def fit(self, df: DataFrame, label: str | None = None, descriptions: dict[str, str] | None = None) -> "SemanticEngine":
         cols = columns_of(df, FeatureType.NUMERIC, [label] if label else [])
-        prompt = f"Suggest features as JSON from columns {json.dumps(cols)}; notes {json.dumps(descriptions or {})[1:-1]}; domain {self.domain}"
+        hints = "; ".join(f"{n}: {c}" for n, _, c in DOMAINS[self.domain]) if self.domain else "none"
+        prompt = f"Suggest features as JSON from columns {json.dumps(cols)}; notes {json.dumps(descriptions or {})[1:-1]}; task {self.task}; domain {self.domain}, as in {hints}"
         specs = []
-        for f in parse(self.llm.complete(prompt)).get("features", [])[: self.max]:
+        offered = (domain_features(df, self.domain) if self.domain else []) + parse(self.llm.complete(prompt)).get("features", [])
+        for f in offered[: self.max]:
             try:
                 sql, source = compile_code(f["code"], df)
                 specs.append(FeatureSpec(f["name"], sql, FeatureOrigin.LLM_GENERATED, source_columns=tuple(source), transformation=f["code"], explanation=f.get("explanation", "")))
@@ -116,6 +161,22 @@ def checked_mapping(reply: str, values: list[str]) -> dict[str, str]:
     return {known[str(k).lower()]: str(v) for k, v in pairs.items() if str(k).lower() in known}
 
 
+def explain_feature(f: FeatureSpec, llm: LLM | None = None) -> str:
+    """A sentence about a feature: the model's if it gives one, else its own, else what it is made of."""
+    if llm is not None:
+        said = llm.complete(f"Explain in one sentence the column {f.name}, which is {f.code}, from columns {json.dumps(list(f.source_columns))}")
+        if said.strip() and not parse(said):
+            return said.strip()
+    return f.explanation or f"made of {', '.join(f.source_columns)}"
+
+
+def standardise_with(df: DataFrame, column: str, llm: LLM, most: int = 50) -> DataFrame:
+    """``column`` with the values that the model maps, asked about the ``most`` frequent ones; what it invents is ignored."""
+    values = frequent_values(df, column, most)
+    reply = llm.complete(f"Group values that mean the same, as JSON with mapping or groups: {json.dumps(values)}")
+    return standardise(df, column, checked_mapping(reply, values))
+
+
 def report(features: FeatureSet, df: DataFrame | None = None) -> str:
     """Markdown: each feature with its explanation, SQL and, over ``df``, its count, mean and deviation."""
     lines = ["# Features", ""]

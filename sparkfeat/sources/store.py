@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import json
-import shutil
 from dataclasses import asdict, dataclass, field
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .shared import Files
+
 
 def latest(df: DataFrame, keys: list[str], ts: str, tie: list[str] | None = None) -> DataFrame:
     """The last row of each key: one aggregation, so only one row per key and task is shuffled."""
@@ -54,21 +54,25 @@ class View:
 
 
 class FeatureStore:
+    """Views as Parquet with a JSON manifest each, under a folder of any file system that Spark reads."""
+
     def __init__(self, spark: SparkSession, folder: str, feature_prefix: str = "") -> None:
-        self.spark, self.folder, self.prefix = spark, Path(folder), feature_prefix
+        self.spark, self.folder, self.prefix, self.files = spark, folder.rstrip("/"), feature_prefix, Files(spark)
 
     def __enter__(self) -> "FeatureStore":
-        self.folder.mkdir(parents=True, exist_ok=True)
+        self.files.make(self.folder)
         return self
 
     def __exit__(self, *_) -> None:
         return None
 
+    def _at(self, name: str) -> str:
+        return f"{self.folder}/{name}"
+
     def _view(self, name: str) -> View:
-        p = self.folder / f"{name}.json"
-        if not p.exists():
+        if not self.files.exists(self._at(f"{name}.json")):
             raise KeyError(f"no view {name!r}")
-        return View(**json.loads(p.read_text()))
+        return View(**json.loads(self.files.read(self._at(f"{name}.json"))))
 
     def save(self, df: DataFrame, name: str, entities: list[str], timestamp: str | None = None, **meta) -> View:
         if not entities or (missing := [c for c in entities if c not in df.columns]):
@@ -78,13 +82,17 @@ class FeatureStore:
             df = df.withColumn(ts, F.current_timestamp())
         if self.prefix:
             df = df.select(*[F.col(c).alias(c if c in (*entities, ts) else self.prefix + c) for c in df.columns])
-        df.write.mode("overwrite").parquet(str(self.folder / name))
+        df.write.mode("overwrite").parquet(self._at(name))
         v = View(name, list(entities), ts, schema=df.schema.json(), **meta)
-        (self.folder / f"{name}.json").write_text(json.dumps(asdict(v)))
+        self.files.write(self._at(f"{name}.json"), json.dumps(asdict(v)))
         return v
 
+    def schema(self, name: str) -> dict:
+        """The view's schema as saved, without reading its data."""
+        return json.loads(self._view(name).schema)
+
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(str(self.folder / self._view(name).name))
+        return self.spark.read.parquet(self._at(self._view(name).name))
 
     def historical(self, entities: DataFrame, name: str, ts: str, features: list[str] | None = None) -> DataFrame:
         v = self._view(name)
@@ -94,32 +102,36 @@ class FeatureStore:
         v = self._view(name)
         d = self.read(name)
         d = d.where(F.col(v.timestamp) >= F.current_timestamp() - F.make_dt_interval(F.lit(int(v.ttl_days)))) if v.ttl_days else d
-        latest(d, v.entities, v.timestamp).write.mode("overwrite").parquet(str(self.folder / f"{name}__online"))
+        latest(d, v.entities, v.timestamp).write.mode("overwrite").parquet(self._at(f"{name}__online"))
 
     def push(self, name: str, rows: DataFrame) -> None:
         """New rows into the latest-value table, which is rewritten beside the old one and then swapped in."""
         v = self._view(name)
-        at, new = self.folder / f"{name}__online", self.folder / f"{name}__online_new"
-        old = self.spark.read.parquet(str(at)) if at.exists() else None
+        at, new = self._at(f"{name}__online"), self._at(f"{name}__online_new")
+        old = self.spark.read.parquet(at) if self.files.exists(at) else None
         both = rows if old is None else old.unionByName(rows.select(*old.columns))
-        latest(both, v.entities, v.timestamp).write.mode("overwrite").parquet(str(new))
-        shutil.rmtree(at, ignore_errors=True)
-        new.rename(at)
+        latest(both, v.entities, v.timestamp).write.mode("overwrite").parquet(new)
+        self.files.move(new, at)
 
     def online(self, entities: DataFrame, name: str) -> DataFrame:
         v = self._view(name)
-        return entities.join(self.spark.read.parquet(str(self.folder / f"{name}__online")), v.entities, "left")
+        return entities.join(self.spark.read.parquet(self._at(f"{name}__online")), v.entities, "left")
+
+    def online_dict(self, entities: DataFrame, name: str) -> dict[str, list]:
+        """The latest values of a few entities, as one list for each column."""
+        rows = self.online(entities, name)
+        got = rows.collect()
+        return {c: [r[c] for r in got] for c in rows.columns}
 
     def views(self) -> list[str]:
-        return sorted(p.stem for p in self.folder.glob("*.json"))
+        return [x[:-5] for x in self.files.names(self.folder) if x.endswith(".json")]
 
     def delete(self, name: str) -> bool:
-        p = self.folder / f"{name}.json"
-        if not p.exists():
+        if not self.files.delete(self._at(f"{name}.json")):
             return False
-        p.unlink()
-        for x in (self.folder / name, self.folder / f"{name}__online"):
-            shutil.rmtree(x, ignore_errors=True)
+        for x in (name, f"{name}__online"):
+            self.files.delete(self._at(x))
         return True
 
-
+    def close(self) -> None:
+        """Nothing is held open; here for symmetry with stores that do."""
