@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from . import textscan as ts
+from .common import tidy
 
 GRAM, SPREAD = 12, 39
 LENGTH = GRAM + SPREAD - 1
@@ -67,7 +68,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def anchor_counts(d: DataFrame) -> DataFrame:
     """(key, n) of the anchors that occur more than once in (doc_id, text)."""
-    return d.mapInArrow(_keys, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    return d.mapInArrow(tidy(_keys), "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
 
 
 def repeated_anchors(d: DataFrame) -> np.ndarray:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import textscan as ts
-from .common import discard, stored
+from .common import discard, stored, tidy
 
 MIN_BITS, MAX_BITS, SLICES = 16, 30, 64
 PACKED = "part int, packed binary"
@@ -60,7 +60,7 @@ def build(keys: DataFrame) -> np.ndarray:
     keys = stored(keys)
     bits = min(MAX_BITS, max(MIN_BITS, (10 * keys.count()).bit_length()))
     out = np.zeros((SLICES, (1 << bits) // 8 // SLICES), np.uint8)
-    for r in keys.mapInArrow(_mark(bits), PACKED).groupBy("part").applyInArrow(_either(bits), PACKED).collect():
+    for r in keys.mapInArrow(tidy(_mark(bits)), PACKED).groupBy("part").applyInArrow(_either(bits), PACKED).collect():
         out[r["part"]] = np.frombuffer(r["packed"], np.uint8)
     discard(keys)
     return out.ravel()

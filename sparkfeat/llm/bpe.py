@@ -15,12 +15,14 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - as pa.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import table
+from .common import table, tidy
 
+#: The tokenizer file, unless the session sets ``spark.sparkfeat.tokenizer``.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 ENCODED = "doc_id long, token_ids array<int>, char_starts array<int>, mid_char array<int>, n_tokens int, n_bytes long, round_trip boolean"
 
@@ -188,7 +190,7 @@ def encode(docs: DataFrame, path: str = TOKENIZER, with_text: bool = False) -> D
     ``char_starts[i]`` is the character in which token i begins; ``mid_char`` lists the tokens that
     begin inside a character that the token before them left unfinished.  Token i ends where token
     i+1 begins.  ``round_trip`` says that decoding the ids gives the very bytes of the text;
-    ``with_text`` adds that decoded text.  Null and empty texts have no tokens and pass the round
+    ``with_text`` adds that decoded text, null for a null one.  Null and empty texts have no tokens and pass the round
     trip; a null doc_id stays null; repeated rows are encoded each; other columns are not read.
     """
     schema = ENCODED + (", text string" if with_text else "")
@@ -196,15 +198,18 @@ def encode(docs: DataFrame, path: str = TOKENIZER, with_text: bool = False) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.load(path)
         for b in batches:
-            for c in ts.chunks(b, size=1 << 21):
+            for c in ts.chunks(b, size=1 << 20):
                 out = encode_batch(c, codec)
                 if with_text:
                     back = codec.bytes_of(out.column(1).flatten().to_numpy())
                     ends = np.concatenate([[0], np.cumsum(codec.len[out.column(1).flatten().to_numpy()])])[out.column(1).offsets.to_numpy()]
                     out = out.append_column("text", pa.Array.from_buffers(pa.large_string(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(back)]).cast(pa.string()))
+                    if c.column(1).null_count:
+                        text = pa.compute.if_else(pa.compute.is_null(c.column(1)), pa.scalar(None, pa.string()), out.column("text"))
+                        out = out.set_column(out.schema.get_field_index("text"), "text", text)
                 yield out
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), schema)
 
 
 def decode(df: DataFrame, ids: str = "token_ids", out: str = "text", path: str = TOKENIZER) -> DataFrame:
@@ -217,13 +222,23 @@ def decode(df: DataFrame, ids: str = "token_ids", out: str = "text", path: str =
     @F.pandas_udf("string")
     def text_of(col: pd.Series) -> pd.Series:
         codec = Codec.load(path)
-        return col.map(lambda a: codec.decode(a))
+        lists = pa.array(col, pa.list_(pa.int64()))
+        ids_, row = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(lists)), pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+        ok = (ids_ >= 0) & (ids_ < len(codec.len))
+        ids_, row = ids_[ok].astype(np.int64), row[ok]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row, weights=codec.len[ids_], minlength=len(lists)).astype(np.int64))])
+        raw = codec.bytes_of(ids_).tobytes()
+        return pd.Series([None if gone else raw[a:b].decode("utf-8", "replace") for a, b, gone in zip(ends[:-1].tolist(), ends[1:].tolist(), pa.compute.is_null(lists).to_pylist())], index=col.index, dtype=object)
 
     return df.withColumn(out, text_of(F.col(ids)))
 
 
+def tokenizer_of(spark: SparkSession) -> str:
+    return spark.conf.get("spark.sparkfeat.tokenizer", TOKENIZER)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(table(spark, sf_dir, "documents"))
+    return encode(table(spark, sf_dir, "documents"), tokenizer_of(spark))
 
 
 QUERIES = {"op5_bpe_encode_decode": op5_bpe}

@@ -1,51 +1,38 @@
-"""Shared plumbing: the cluster's shared folder, lineage cuts, connected components, table access."""
+"""Shared plumbing: connected components, table access, workers that give memory back."""
 
 from __future__ import annotations
 
+import ctypes
 import math
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import discard, shared_folder, spread, stored
+
+__all__ = ["ceil_tol", "components", "discard", "parts", "shared_folder", "stored", "table", "tidy"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one in local mode alone if that is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    jsc = spark.sparkContext._jsc.sc()
-    if where is None and jsc.getCheckpointDir().isDefined():
-        where = jsc.getCheckpointDir().get()
-    if where is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        where = tempfile.mkdtemp(prefix="sparkfeat-")
-    if not jsc.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back: its lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stored_at = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes what ``stored`` wrote for a frame that no later plan reads."""
-    path = getattr(df, "_stored_at", None)
-    if path:
-        jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def tidy(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``fn`` for mapInArrow that gives memory back when its partition is done: workers live on, and what they keep they take from other tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return run
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import ceil_tol, table
+from .common import ceil_tol, table, tidy
 
 PASSAGE, RANK, MAX_DF, COSINE, LCS, ANSWER = 64, 112, 0.01, 0.2, 0.7, 0.5
 FOUND = "doc_id long, item_id long, cosine double, lcs double, answer double"
@@ -170,7 +170,7 @@ def plan(docs: DataFrame, benchmark: DataFrame, passage: int = PASSAGE, rank: in
         return None
     terms = words = np.unique(np.array([w for _, ws in items for w in ws], dtype=ts.U64))
     text = docs.select(F.lit(0).alias("k"), F.col("text").cast("string").alias("text"))
-    counted = {r["term"]: r["n"] for r in text.mapInArrow(_counts(terms, passage), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    counted = {r["term"]: r["n"] for r in text.mapInArrow(tidy(_counts(terms, passage)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     total = counted.pop(-1, 0) or 0
     df = np.zeros(len(terms))
     df[list(counted)] = list(counted.values())
@@ -182,7 +182,7 @@ def plan(docs: DataFrame, benchmark: DataFrame, passage: int = PASSAGE, rank: in
     terms, idf = terms[live], idf[live]
     omega = np.random.default_rng(seed).standard_normal((len(terms), min(rank + 16, len(terms)))).astype(np.float32)
     sent = spark.sparkContext.broadcast((terms, idf, omega))
-    parts = text.mapInArrow(_range(sent, passage), "term long, v binary").groupBy("term").applyInArrow(_add, "term long, v binary").collect()
+    parts = text.mapInArrow(tidy(_range(sent, passage)), "term long, v binary").groupBy("term").applyInArrow(_add, "term long, v binary").collect()
     y = np.zeros(omega.shape)
     for r in parts:
         y[r["term"]] = np.frombuffer(r["v"], np.float64)
@@ -327,7 +327,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, passage: int = PASSAGE,
                     r, item, cos, share, said = zip(*got)
                     yield pa.RecordBatch.from_arrays([c.column(0).take(pa.array(r)), pa.array(item, pa.int64()), pa.array(cos), pa.array(share), pa.array(said)], names=["doc_id", "item_id", "cosine", "lcs", "answer"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, FOUND)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), FOUND)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, passage: int = PASSAGE, rank: int = RANK, max_df: float = MAX_DF, cosine: float = COSINE, least: float = LCS, answer: float = ANSWER) -> DataFrame:
@@ -344,7 +344,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, passage: int = PASS
                 stay[[x[0] for x in matches(c, sent.value, passage, cosine, least, answer)]] = False
                 yield c.filter(pa.array(stay))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

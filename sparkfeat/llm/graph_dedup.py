@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import components, discard, shared_folder, stored, table
+from .common import components, discard, shared_folder, stored, table, tidy
 from .ngram_join import joined
 
 COSINE, SHARD, OVERLAP, DEGREE, ALPHA, BEAM, AUDIT, LEAST_RECALL = 0.9, 1000, 2, 24, 1.2, 24, 64, 0.95
@@ -244,13 +244,13 @@ def crossing(candidates: DataFrame, at: DataFrame, radius: float) -> DataFrame:
 def near_links(n: DataFrame, count: int, radius: float, shard: int, overlap: int, degree: int, alpha: float, beam: int) -> DataFrame:
     """(node, links, root): parts of each node's number of links within the radius, and of its group, by one build and search of the graph."""
     sent = n.sparkSession.sparkContext.broadcast(centres(n, count, shard))
-    shards = stored(n.mapInArrow(_assign(sent, overlap), "shard int, node long, v array<float>, w long, homes array<int>"))
+    shards = stored(n.mapInArrow(tidy(_assign(sent, overlap)), "shard int, node long, v array<float>, w long, homes array<int>"))
     at = shards.where("shard = homes[0]").select("node", "v", "w", "homes")
     by_shard = lambda df: df.repartition("shard").sortWithinPartitions("shard", "node")
-    graph = by_shard(shards.select("shard", "node", "v")).mapInArrow(_graph(degree, alpha), "node long, links array<long>")
+    graph = by_shard(shards.select("shard", "node", "v")).mapInArrow(tidy(_graph(degree, alpha)), "node long, links array<long>")
     graph = stored(graph.select("node", F.explode("links").alias("link")).groupBy("node").agg(F.collect_set("link").alias("links")))
     with_links = shards.join(graph, "node", "left").select("shard", "node", "v", "w", "homes", F.coalesce("links", F.array().cast("array<long>")).alias("links"))
-    inside = stored(by_shard(with_links).mapInArrow(_search(radius, beam), "node long, links long, root long, outside array<long>"))
+    inside = stored(by_shard(with_links).mapInArrow(tidy(_search(radius, beam)), "node long, links long, root long, outside array<long>"))
     out, found = inside.select("node", "links", "root"), None
     step = inside.select(F.col("node").alias("q"), F.explode("outside").alias("c"))
     while True:  # across shards: neighbours of what was found, until nothing new is in range
@@ -314,7 +314,7 @@ def true_links(n: DataFrame, radius: float, queries: int | None) -> tuple[DataFr
         x = matrix(q.column("v"))
         last, dim = (q.column("h")[-1].as_py(), q.column("node")[-1].as_py()), x.shape[1]
         sent = spark.sparkContext.broadcast((q.column("node").to_numpy(), x))
-        found = stored(n.select("node", "v", "w").mapInArrow(_compare(sent, radius), LINKS))
+        found = stored(n.select("node", "v", "w").mapInArrow(tidy(_compare(sent, radius)), LINKS))
         sent.unpersist()
         partnered += found.where("links > 0").select("node").distinct().count()
         parts.append(found)

@@ -34,10 +34,10 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from . import bloom
 from . import textscan as ts
-from .common import components, parts, shared_folder, stored, table
+from .common import components, discard, parts, shared_folder, stored, table, tidy
 
 N, THRESHOLD, ORDERS, BLOCK = 3, 0.5, 3, 4096
-SPARE_BITS, FLUSH = 10, 3_000_000
+SPARE_BITS, FLUSH = 8, 3_000_000
 #: Tokens a set of a full block has on average at most; cells of a comparison, and places in lists, at a time.
 WORDS, CELLS, WORK = 400, 1 << 21, 1 << 21
 PACKED = "part int, packed binary"
@@ -105,15 +105,20 @@ def _tokens(n: int, n_parts: int, bits: int):
     """
 
     def flush(lot: int, g: list[np.ndarray], d: list[np.ndarray], sig: list[np.ndarray], size: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, doc = np.concatenate(g) >> ts.U64(64 - bits), np.concatenate(d)
+        key, doc = np.concatenate(g), np.concatenate(d)
+        g.clear(), d.clear()
+        key >>= ts.U64(64 - bits)
         sigs, first = np.unique(np.concatenate(sig), return_index=True)
-        sizes = np.concatenate(size)[first]
+        sizes_all = np.concatenate(size)
+        sizes = sizes_all[first]
         own = np.full(int(doc.max()) + 1, -1, dtype=np.int32)
         own[first[first < len(own)]] = np.flatnonzero(first < len(own))
         doc = own[doc]
-        key, doc = key[doc >= 0], doc[doc >= 0]
+        if len(sigs) < len(sizes_all):
+            key, doc = key[doc >= 0], doc[doc >= 0]
         by = np.argsort(key)
-        key, doc = key[by].astype(np.int64), doc[by]
+        key, doc = key[by].view(np.int64), doc[by]
+        del by
         cut = np.searchsorted(key, [((k << bits) + n_parts - 1) // n_parts for k in range(n_parts + 1)])
         some = np.flatnonzero(np.diff(cut) > 0)
         yield _lot_rows(some, np.full(len(some), lot), False, [pack(np.diff(key[cut[k] : cut[k + 1]], prepend=0), doc[cut[k] : cut[k + 1]]) for k in some.tolist()])
@@ -448,7 +453,7 @@ def maybe_in(d: DataFrame, some: DataFrame) -> tuple[DataFrame, DataFrame]:
 
         return run
 
-    return d.mapInArrow(of(True), d.schema), d.mapInArrow(of(False), d.schema)
+    return d.mapInArrow(tidy(of(True)), d.schema), d.mapInArrow(tidy(of(False)), d.schema)
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, orders: int = ORDERS, block: int = BLOCK) -> DataFrame:
@@ -466,15 +471,17 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, orders: i
     spark = docs.sparkSession
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     shared_folder(spark)
-    sets = stored(every.mapInArrow(_profile(n), "doc_id long, sig long, n long").distinct())
+    sets = stored(every.mapInArrow(tidy(_profile(n)), "doc_id long, sig long, n long").distinct())
     d = every.where("text is not null")
     vertex = stored(sets.where("sig <> 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("w"), F.first("n").alias("n")))
     k = parts(spark)
     total = vertex.agg(F.sum("n")).first()[0] or 1
     bits = min(63, max(24, int(total).bit_length() + SPARE_BITS))
-    shared = d.mapInArrow(_tokens(n, k, bits), LOTS).repartition("part").sortWithinPartitions("part").mapInArrow(_frequencies, LOTS)
-    prefix = shared.repartition("lot").sortWithinPartitions("lot").mapInArrow(_prefix_rows(threshold), "token long, sig long, other long")
-    comps = components(prefix.repartition("token").mapInArrow(_links, "a long, b long"))
+    # a table in between, so that the tokens' files are gone when the prefixes are shuffled
+    shared = stored(d.mapInArrow(tidy(_tokens(n, k, bits)), LOTS).repartition("part").sortWithinPartitions("part").mapInArrow(tidy(_frequencies), LOTS))
+    prefix = shared.repartition("lot").sortWithinPartitions("lot").mapInArrow(tidy(_prefix_rows(threshold)), "token long, sig long, other long")
+    comps = components(prefix.repartition("token").mapInArrow(tidy(_links), "a long, b long"))
+    discard(shared)
     member = vertex.join(comps, vertex.sig == comps.node).select("sig", "rep", "w", "n", "root")
     sizes = member.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("all")).where("m > 1")
     blocks = F.ceil(F.greatest(F.col("m") / block, F.col("all") / (block * WORDS))).cast("int")
@@ -483,7 +490,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, orders: i
     tile = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.xxhash64("root", F.least(home, k), F.greatest(home, k)).alias("block"), F.when(home > k, 1).otherwise(0).alias("side"), (home != k).alias("cross")))
     rows = maybe_in(d, member.select("doc_id").distinct())[0].join(member, "doc_id")
     rows = rows.select("sig", "text", "w", "blocks", F.explode(tile).alias("x")).select("sig", "text", "w", "x.block", "x.side", "x.cross")
-    near = stored(rows.repartition("block").sortWithinPartitions("block").mapInArrow(_verify(n, threshold, orders), "sig long, links long, root long"))
+    near = stored(rows.repartition("block").sortWithinPartitions("block").mapInArrow(tidy(_verify(n, threshold, orders)), "sig long, links long, root long"))
     found = near.groupBy("sig").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
     # a group within one tile is whole; those of several tiles join where they share a set
     many = near.join(member.where("blocks > 1").select("sig"), "sig", "left_semi").select(F.col("sig").alias("a"), F.col("root").alias("b"))
@@ -523,7 +530,7 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     first = found.groupBy("root").agg(F.min(F.struct("doc_id", "sig")).alias("x"))
     gone = stored(found.join(first, "root").where("doc_id <> x.doc_id or sig <> x.sig").select("doc_id", "sig"))
     some, rest = maybe_in(docs, gone)
-    signed = some.mapInArrow(_signed(n), StructType([*docs.schema.fields, StructField("__sig", LongType())]))
+    signed = some.mapInArrow(tidy(_signed(n)), StructType([*docs.schema.fields, StructField("__sig", LongType())]))
     left = rest.unionByName(signed.join(gone.select(F.col("doc_id").alias("__doc"), F.col("sig").alias("__gone")), (F.col("doc_id") == F.col("__doc")) & (F.col("__sig") == F.col("__gone")), "left_anti").select(*docs.columns))
     again = stored(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if again.isEmpty():

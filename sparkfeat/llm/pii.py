@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import discard, shared_folder, stored, table
+from .common import discard, shared_folder, stored, table, tidy
 
 WINDOW, SUPPORT, GENERALISE, REMOVE, FLUSH = 8, 2, 0.6, 0.9, 4_000_000
 KINDS = {
@@ -132,7 +132,7 @@ def disclosure(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT) ->
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     shared_folder(docs.sparkSession)
-    seen = stored(d.mapInArrow(_observe(window), SEEN))
+    seen = stored(d.mapInArrow(tidy(_observe(window)), SEEN))
     at = seen.where("entity is not null").select("doc_id", "entity", "context", "terms")
     distinct = at.groupBy("entity", "context").agg(F.first("terms").alias("terms"))
     c_e = distinct.groupBy("entity").agg(F.count("*").alias("c_e")).where(F.col("c_e") >= support)
@@ -214,7 +214,7 @@ def sanitise(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, gene
     """
     told = _told(docs, window, support, generalise, remove)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return d.join(told, d.doc_id == told.key, "left").select("doc_id", "text", "told").mapInArrow(_sanitise(window), CLEAN)
+    return d.join(told, d.doc_id == told.key, "left").select("doc_id", "text", "told").mapInArrow(tidy(_sanitise(window)), CLEAN)
 
 
 def sanitised_documents(docs: DataFrame, **how) -> DataFrame:
@@ -234,7 +234,7 @@ def sanitised_documents(docs: DataFrame, **how) -> DataFrame:
                 for done in clean(iter([small])):
                     yield pa.RecordBatch.from_arrays([done.column(1), c.column(3).slice(0, done.num_rows)], names=["text", "__rest"])
 
-    out = d.mapInArrow(run, schema)
+    out = d.mapInArrow(tidy(run), schema)
     length = F.when(F.col("text").isNull(), F.col("__rest.n_chars")).otherwise(F.length("text")) if "n_chars" in rest else None
     cols = [F.col("text") if c == "text" else length.cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(f"__rest.`{c}`").alias(c) for c in docs.columns]
     return out.select(*cols)

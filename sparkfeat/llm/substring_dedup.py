@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import textscan as ts
 from .anchors import GRAM, LENGTH, SPREAD, repeated_anchors, sliding, window_hashes
 from .bloom import passes
-from .common import parts, shared_folder, stored, table
+from .common import parts, shared_folder, stored, table, tidy
 from .ngram_join import _packed_rows, pack, unpack
 
 PACKED = "part int, packed binary"
@@ -187,14 +187,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     k = parts(spark)
     bits = spark.sparkContext.broadcast(repeated_anchors(d))
     by_part = lambda df: df.repartition("part").sortWithinPartitions("part")
-    settle = lambda keyed: stored(by_part(by_part(keyed).mapInArrow(_repeated(k), PACKED)).mapInArrow(_gather, PACKED))
-    state, length = settle(d.mapInArrow(_windows(bits, k), PACKED)), LENGTH
+    settle = lambda keyed: stored(by_part(by_part(keyed).mapInArrow(tidy(_repeated(k)), PACKED)).mapInArrow(tidy(_gather), PACKED))
+    state, length = settle(d.mapInArrow(tidy(_windows(bits, k)), PACKED)), LENGTH
     every = state.withColumn("level", F.lit(length))
     while not state.isEmpty():
-        state = settle(state.mapInArrow(_doubled(length, k), PACKED))
+        state = settle(state.mapInArrow(tidy(_doubled(length, k)), PACKED))
         length *= 2
         every = every.unionByName(state.withColumn("level", F.lit(length)))
-    return by_part(every).mapInArrow(_spans, SPANS)
+    return by_part(every).mapInArrow(tidy(_spans), SPANS)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import bloom
 from . import textscan as ts
 from .anchors import GRAM, LENGTH, SPREAD, anchor_counts, window_hashes
-from .common import discard, shared_folder, stored, table
+from .common import discard, shared_folder, stored, table, tidy
 
 SEGMENTS = "key long, depth int, text binary, docs array<long>, places array<int>"
 SPANS = "doc_id long, start_word long, end_word long, first boolean"
@@ -363,12 +363,12 @@ def repeated_passages(docs: DataFrame, hot: int = HOT) -> DataFrame:
     if not often.isEmpty():
         split = bloom.build(often.select("key"))
         sent = spark.sparkContext.broadcast((twice, split, None))
-        repeat = bloom.build(d.mapInArrow(_hot_windows(sent), "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+        repeat = bloom.build(d.mapInArrow(tidy(_hot_windows(sent)), "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
         sent.unpersist()
     discard(counts)
     sent = spark.sparkContext.broadcast((twice, split, repeat))
-    found = d.mapInArrow(_segments(sent), SEGMENTS).repartition("key").sortWithinPartitions("key").mapInArrow(_matches, SPANS)
-    return found.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(_union, SPANS)
+    found = d.mapInArrow(tidy(_segments(sent)), SEGMENTS).repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_matches), SPANS)
+    return found.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(tidy(_union), SPANS)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import stored, table
+from .common import stored, table, tidy
 
 DECAY, SPAN, LANDMARKS, MAX_TRAIN = 0.6, 6, 96, 2000
 HARD, MOST_FOUND, BEND = 3000, 4000, 150
@@ -392,7 +392,7 @@ def corpus_witnesses(docs: DataFrame, ids: np.ndarray, toxic: np.ndarray) -> lis
     sc = docs.sparkSession.sparkContext
     text = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sent = sc.broadcast((ids, toxic))
-    counts = stored(text.mapInArrow(_counts(sent), "run long, p long, q long").groupBy("run").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).where("p > 0"))
+    counts = stored(text.mapInArrow(tidy(_counts(sent)), "run long, p long, q long").groupBy("run").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).where("p > 0"))
     sent.unpersist()
     size = F.shiftright("run", 25)
     known = {r["size"]: r for r in counts.groupBy(size.alias("size")).agg(F.count("*").alias("n"), F.sum("p").alias("p"), F.sum("q").alias("q")).collect()}
@@ -411,7 +411,7 @@ def corpus_witnesses(docs: DataFrame, ids: np.ndarray, toxic: np.ndarray) -> lis
     if not len(run):
         return []
     sent = sc.broadcast((ids, toxic, run))
-    t = text.mapInArrow(_places(sent), "doc long, piece binary").toArrow()
+    t = text.mapInArrow(tidy(_places(sent)), "doc long, piece binary").toArrow()
     sent.unpersist()
     if not t.num_rows:
         return []
@@ -578,7 +578,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     said[k] = row[begin:end].tobytes().decode("utf-8", "replace").strip()
                 yield pa.RecordBatch.from_arrays([c.column(0).cast(pa.int64()), pa.array(best), pa.array(bad.astype(np.int32)), pa.array(said, pa.string())], names=["doc_id", "score", "toxic", "sentence"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCORES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), SCORES)
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
@@ -594,7 +594,7 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
                 best, _, _ = m.score(*ts.text_buffer(c.column(where)))
                 yield c.filter(pa.array(best <= cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
