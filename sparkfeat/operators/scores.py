@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.expr import num, q
+from ..functions.stats import correlation as pearson
 from ..spec import FeatureType, columns_of
 from ..sources.shared import discard, stored
 from .order import ordered, sums_before
@@ -52,7 +53,7 @@ def _melted(row: DataFrame, features: list[str], parts: dict[str, str]) -> DataF
 def _correlations(df: DataFrame, features: list[str]) -> DataFrame:
     """(feature, r, n): Pearson correlation with ``__y``, in one aggregation as wide as the features."""
     d = df.select(F.col("__y"), *[_x(f).alias(f"x{k}") for k, f in enumerate(features)])
-    row = d.agg(F.count("*").alias("n"), *[F.nanvl(F.corr(f"x{k}", "__y"), F.lit(None)).alias(f"r{k}") for k in range(len(features))])
+    row = d.agg(F.count("*").alias("n"), *[pearson(f"x{k}", "__y").alias(f"r{k}") for k in range(len(features))])
     return _melted(row, features, {"r": "double"})
 
 
@@ -172,7 +173,7 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """(score): Pearson correlation of average ranks of the rows where both are present."""
     d = df.select(F.expr(num(a)).alias("a"), F.expr(num(b)).alias("b")).where("a is not null and b is not null")
     d = d.join(_average_ranks(d, "a"), F.col("a") == F.col("va")).join(_average_ranks(d, "b"), F.col("b") == F.col("vb"))
-    return d.agg(F.corr("ra", "rb").alias("score"))
+    return d.agg(pearson("ra", "rb").alias("score"))
 
 
 def kendall(df: DataFrame, a: str, b: str, block: int = 4096) -> float | None:

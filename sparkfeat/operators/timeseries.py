@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.expr import num
+from ..functions.stats import correlation as pearson
 from .arrays import array_series as array_features
 from .entropy import approximate_entropy, sample_entropy
 from .order import ordered
@@ -148,7 +149,7 @@ class TimeSeriesEngine:
             put("iqr", _when(4, F.percentile(x, 0.75) - F.percentile(x, 0.25)))
         if "autocorrelation" in g:
             for k in range(1, self.lags + 1):
-                put(f"autocorr_lag{k}", F.when((F.var_pop(x) != 0) & (F.count(x) > self.lags), F.nanvl(F.corr(x, f"lag{k}"), F.lit(None))))
+                put(f"autocorr_lag{k}", F.when((F.var_pop(x) != 0) & (F.count(x) > self.lags), pearson(x, f"lag{k}")))
         if "trends" in g:
             i = F.col("i").cast("double")
             put("trend_slope", _when(2, F.regr_slope(x, i)))

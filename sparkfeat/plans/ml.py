@@ -104,7 +104,7 @@ class _Reader(MLReader):
     def load(self, path: str, related: dict[str, DataFrame] | None = None) -> AutoFeatureModel:
         """The saved model; the relational engine's related tables are given again."""
         spark: SparkSession = self.sparkSession
-        DefaultParamsReader.loadMetadata(path, spark)
+        meta = DefaultParamsReader.loadMetadata(path, spark)
         plan = json.loads(Files(spark).read(f"{path}/plan.json"))
         e = AutoFeatureEngineer(**plan["params"])
         e.label, e.originals, e.related = plan["label"], plan["originals"], related or {}
@@ -131,4 +131,6 @@ class _Reader(MLReader):
             e.selector = FeatureSelector(tuple(plan["params"]["selection_methods"]))
             e.selector.scores = plan["scores"]
             e.selector.set_selected_features(plan["selected"])
-        return AutoFeatureModel(e)
+        model = AutoFeatureModel(e)
+        model._resetUid(meta["uid"])
+        return model

@@ -72,6 +72,10 @@ def write(df: DataFrame, path: str, fmt: str | None = None, single_file: bool =
         w.csv(path, header=True) if kind == "csv" else w.json(path) if kind == "json" else w.parquet(path)
         return
     beside = f"{path}.parts"
+    if kind == "json" and df.isEmpty():
+        files.delete(path)
+        files.write(path, "[]")
+        return
     if kind == "json":  # records between brackets, whole table in one task, as one file must be
         row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
         one = df.select(row.alias("value")).coalesce(1)
@@ -82,7 +86,7 @@ def write(df: DataFrame, path: str, fmt: str | None = None, single_file: bool =
                 for v in b["value"]:
                     yield pd.DataFrame({"value": [("[" if first else ",") + v]})
                     first = False
-            yield pd.DataFrame({"value": ["[]" if first else "]"]})
+            yield pd.DataFrame({"value": ["]"]})
 
         one.mapInPandas(records, "value string").write.mode("overwrite").text(beside)
     else:
