@@ -21,7 +21,8 @@ DAMPING, CUT = 0.85, 1.0
 ROUNDS = 20
 #: What a rank may be away from where it converges: so much, and so much of an even share.
 EXACT, SHARE = 1e-10, 1e-3
-LINK = r"<[aA]\s[^>]*?[hH][rR][eE][fF]\s*=\s*[\"']?([^\"'\s>]+)"
+#: A tag ends at the next sign of one, so that broken pages are scanned once.
+LINK = r"<[aA]\s[^<>]*?[hH][rR][eE][fF]\s*=\s*[\"']?([^\"'\s<>]+)"
 HOST = r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?(?:www\.)?([^/?#:@]+)"
 
 

@@ -6,7 +6,8 @@ of twice the length, which is counted at the next level under the pair of their
 window is extended, and the levels end when none survives.
 
 Windows travel between the partitions that count them and those that hold their documents as
-packed columns (keys as sorted differences), two shuffles a level.
+packed columns (keys as sorted differences), two shuffles a level.  Windows are the same if two hashes of them are, 95 bits
+in all; names of later levels are numbers given to the windows of the one before, so no error adds up.
 """
 
 from __future__ import annotations
@@ -29,20 +30,25 @@ SPANS = "doc_id long, start_word long, end_word long, longest long, first boolea
 FLUSH = 3_000_000
 
 
-def to_keys(key: np.ndarray, doc: np.ndarray, pos: np.ndarray, n_parts: int) -> pa.RecordBatch:
-    """Windows (key, document, first word) to the partitions of their keys."""
+def to_keys(key: np.ndarray, check: np.ndarray, doc: np.ndarray, pos: np.ndarray, n_parts: int) -> pa.RecordBatch:
+    """Windows (key, check, document, first word) to the partitions of their keys."""
     by = np.argsort(key)
-    key, doc, pos = key[by], doc[by], pos[by]
+    key, check, doc, pos = key[by], check[by], doc[by], pos[by]
     edges = np.array([(k << 64) // n_parts for k in range(n_parts)], dtype=ts.U64)
     cut = np.append(np.searchsorted(key, edges), len(key))
 
     def make(lo: int, hi: int) -> bytes:
         ids, at = np.unique(doc[lo:hi], return_inverse=True)
-        return pack(np.diff(key[lo:hi], prepend=ts.U64(0)).view(np.int64), ids, at, pos[lo:hi])
+        return pack(np.diff(key[lo:hi], prepend=ts.U64(0)).view(np.int64), ids, at, pos[lo:hi], check[lo:hi])
 
     return _packed_rows(cut, make)
 
 
+def second_hash(x: np.ndarray) -> np.ndarray:
+    """31 bits of another hash of the same thing."""
+    return (ts.mix(x ^ ts.U64(0x2545F4914F6CDD1D)) >> ts.U64(33)).astype(np.int64)
+
+
 def _windows(bits, n_parts: int):
     """All windows of LENGTH words whose least run of GRAM words occurs elsewhere as an anchor too."""
 
@@ -60,7 +66,8 @@ def _windows(bits, n_parts: int):
                 twice = np.repeat(passes(bits.value, low[new]), np.diff(np.append(new, len(low))))
                 i = np.flatnonzero((rows[: len(g)] == rows[LENGTH - 1 :]) & twice)
                 first = np.searchsorted(rows, np.arange(c.num_rows))
-                held.append((g[i], c.column(0).to_numpy()[rows[i]], i - first[rows[i]]))
+                check = second_hash(window_hashes(ts.mix(h ^ ts.U64(0xA0761D6478BD642F)), LENGTH)[i])
+                held.append((g[i], check, c.column(0).to_numpy()[rows[i]], i - first[rows[i]]))
                 size += len(i)
                 if size >= FLUSH:
                     yield to_keys(*map(np.concatenate, zip(*held)), n_parts)
@@ -71,31 +78,37 @@ def _windows(bits, n_parts: int):
     return run
 
 
+def repeated(same: np.ndarray) -> np.ndarray:
+    """Of rows in order, which are the same as a neighbour; ``same`` compares each with the one before it."""
+    more = np.zeros(len(same) + 1, dtype=bool)
+    more[1:] = same
+    more[:-1] |= same
+    return more
+
+
 def _repeated(n_parts: int):
     """Per partition of keys: the windows that occur twice or more, named, to the partitions of their documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in ts.grouped(batches, "part"):
             part = group.column("part")[0].as_py()
-            key, doc, pos = [], [], []
+            key, doc, pos, check = [], [], [], []
             for x in group.column("packed"):
-                k, ids, at, p = unpack(x.as_py())
+                k, ids, at, p, other = unpack(x.as_py())
                 key.append(np.cumsum(k.view(ts.U64), dtype=ts.U64))
                 doc.append(ids[at])
                 pos.append(p.astype(np.int32))
-            key, doc, pos = np.concatenate(key), np.concatenate(doc), np.concatenate(pos)
+                check.append(other.astype(np.int32))
+            key, doc, pos, check = map(np.concatenate, (key, doc, pos, check))
             by = np.argsort(key)
-            same = key[by][1:] == key[by][:-1]
-            more = np.zeros(len(key), dtype=bool)
-            more[1:] = same
-            more[:-1] |= same
-            by = by[more]
-            key, doc, pos = key[by], doc[by], pos[by]
+            by = by[repeated(key[by][1:] == key[by][:-1])]
+            by = by[np.lexsort((pos[by], doc[by], check[by], key[by]))]
+            key, doc, pos, check = key[by], doc[by], pos[by], check[by]
+            keep = repeated((key[1:] == key[:-1]) & (check[1:] == check[:-1]))
+            key, doc, pos, check = key[keep], doc[keep], pos[keep], check[keep]
             if not len(key):
                 continue
-            by = np.lexsort((pos, doc, key))
-            key, doc, pos = key[by], doc[by], pos[by]
-            new = np.concatenate([[True], key[1:] != key[:-1]])
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (check[1:] != check[:-1])])
             name = (np.cumsum(new) - 1).astype(np.int64) * n_parts + part
             home = (ts.mix(doc.view(ts.U64)) % ts.U64(n_parts)).astype(np.int64)
             by = np.lexsort((pos, doc, home))
@@ -144,7 +157,8 @@ def _doubled(length: int, n_parts: int):
             ok[ok] = code[at[ok]] == code[ok] + length
             if ok.any():
                 key = ts.mix(ts.mix(name[ok].view(ts.U64) + ts.U64(length)) * ts.U64(3) + name[at[ok]].view(ts.U64))
-                yield to_keys(key, doc[ok], pos[ok], n_parts)
+                check = second_hash(name[ok].view(ts.U64) * ts.U64(0x9E3779B97F4A7C15) + ts.mix(name[at[ok]].view(ts.U64)))
+                yield to_keys(key, check, doc[ok], pos[ok], n_parts)
 
     return run
 

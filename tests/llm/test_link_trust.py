@@ -71,3 +71,13 @@ def test_distrust_reaches_hosts_far_from_a_seed(spark, monkeypatch):
     want = brute(pages, 200)["distrust"]
     got = {r.host: r.distrust for r in lt.propagate(df, damping=0.5).collect()}
     assert set(got) == set(want) and all(abs(got[h] - want[h]) < 1e-10 and got[h] > 0 for h in want)
+
+
+def test_long_and_broken_html_and_no_seeds(spark):
+    many = "<a " * 200_000 + "x" * 200_000
+    pages = [(1, "http://a.example.org/", many + "<a href='http://b.com/'>"), (2, "http://b.com/", "<p>" * 300_000), (3, "http://b.com/", "<a\nhref=//c.example.net/x>" * 5000)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.host: r for r in lt.propagate(df, rounds=8).collect()}
+    assert set(got) == {"a.example.org", "b.com", "c.example.net"} and got["b.com"].trust > 0 and got["a.example.org"].distrust > 0
+    none = lt.judged(df, trusted=(), blocked=()).collect()
+    assert len(none) == 3 and all(r.trust == r.distrust == 0 and r.blocked == 0 for r in none)
