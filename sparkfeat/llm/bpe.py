@@ -38,7 +38,7 @@ def byte_symbols() -> dict[str, int]:
 class Codec:
     """A tokenizer file with its byte table; one per Python worker."""
 
-    MEMO = 1 << 20
+    MEMO = 1 << 19
     _loaded: dict[str, "Codec"] = {}
 
     @classmethod
@@ -198,7 +198,7 @@ def encode(docs: DataFrame, path: str = TOKENIZER, with_text: bool = False) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.load(path)
         for b in batches:
-            for c in ts.chunks(b, size=1 << 20):
+            for c in ts.chunks(b):
                 out = encode_batch(c, codec)
                 if with_text:
                     back = codec.bytes_of(out.column(1).flatten().to_numpy())

@@ -12,25 +12,47 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import discard, shared_folder, spread, stored
 
+#: Bytes that a task returns between two times that it gives memory back.
+TRIM = 16_000_000
+
 __all__ = ["ceil_tol", "components", "discard", "parts", "shared_folder", "stored", "table", "tidy"]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of some megabytes: both sides of every task hold one.  A number that the user set stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.sparkContext.getConf().get(key) is None and spark.conf.get(key) == "10000":
+        spark.conf.set(key, "2000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+def trim() -> None:
+    """Gives back to the system what this worker has freed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def tidy(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``fn`` for mapInArrow that gives memory back when its partition is done: workers live on, and what they keep they take from other tasks."""
+    """``fn`` for mapInArrow that gives memory back now and then, and when its partition is done: workers live on, and what they keep they take from other tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        moved = 0
         try:
-            yield from fn(batches)
+            for b in fn(batches):
+                yield b
+                moved += b.nbytes
+                if moved > TRIM:
+                    moved = 0
+                    trim()
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (OSError, AttributeError):  # another C library
-                pass
+            trim()
 
     return run
 
