@@ -194,8 +194,20 @@ def txt_tfidf_svd(spark, d):
     return text.tfidf_svd(t(spark, d, "conversations").withColumn("id", F.concat_ws("/", "conv_id", "turn")), "id", "text", components=8)
 
 
+#: The English list of Spark's StopWordsRemover, in its order: the SQL must not depend on where Spark's own files lie.
+_STOP_WORDS = """
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs
+themselves what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or
+because as until while of at by for with about against between into through during before after above below to from up down in out on off over under
+again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t
+can will just don should now i'll you'll he'll she'll we'll they'll i'd you'd he'd she'd we'd they'd i'm you're he's she's it's we're they're i've
+we've you've they've isn't aren't wasn't weren't haven't hasn't hadn't don't doesn't didn't won't wouldn't shan't shouldn't mustn't can't couldn't
+cannot could here's how's let's ought that's there's what's when's where's who's why's would
+""".split()
+
+
 def _tfidf_sql() -> str:
-    stop = ",".join("'" + w.replace("'", "''") + "'" for w in _stop_words())
+    stop = ",".join("'" + w.replace("'", "''") + "'" for w in _STOP_WORDS)
     return rf"""WITH w AS (SELECT conv_id || '/' || turn AS id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}\p{{M}}_]{{2,}}')) AS term FROM conversations),
 tf AS (SELECT id, term, count(*) AS tf FROM w WHERE term NOT IN ({stop}) GROUP BY ALL),
 k AS (SELECT term, ln((1 + (SELECT count(*) FROM conversations)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 5000),
@@ -203,19 +215,6 @@ x AS (SELECT id, term, tf * idf AS w FROM tf JOIN k USING (term))
 SELECT id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS weight FROM x"""
 
 
-def _stop_words() -> list[str]:
-    """The English list, as it stands in the library's own file."""
-    import os
-    import zipfile
-
-    import pyspark
-
-    jars = os.path.join(os.path.dirname(pyspark.__file__), "jars")
-    name = next(x for x in os.listdir(jars) if x.startswith("spark-mllib_"))
-    with zipfile.ZipFile(os.path.join(jars, name)) as z:
-        return z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split("\n")
-
-
 SQL["txt_tfidf"] = _tfidf_sql()
 
 
