@@ -346,6 +346,7 @@ def linked(rows: np.ndarray, g: np.ndarray, size: np.ndarray, weight: np.ndarray
         by = np.lexsort((h, key, rows))
         by = np.sort(by[rank < take[rows]])
         prefix.append(split(rows[by], g[by], first, m))
+    del by, new, start, df, keep, rank, h, key  # each as long as the tokens; the comparison needs none
     a, b = split(rows, g, first, m)
     off = first or 0
     size_a, size_b, w_a, w_b = size[:first], size[off:], weight[:first], weight[off:]
@@ -399,7 +400,7 @@ def _verify(n: int, t: float, orders: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in ts.grouped(batches, "block"):
             cross = group.column("cross")[0].as_py()
-            group = group.combine_chunks().select(["sig", "text", "w", "side"])
+            group = group.select(["sig", "text", "w", "side"])
             r_all, g_all, base = [], [], 0
             sig = []
             for b in group.to_batches():
@@ -410,10 +411,12 @@ def _verify(n: int, t: float, orders: int):
                     r_all.append(r + base)
                     g_all.append(g)
                     base += c.num_rows
-            want, sig = group.column("sig").to_numpy(), np.concatenate(sig)
-            rows, g = np.concatenate(r_all), np.concatenate(g_all)
-            # a doc_id may have come with other texts or twice: each set counts once, one side after the other
+            want, sig, weight = group.column("sig").to_numpy(), np.concatenate(sig), group.column("w").to_numpy()
             side = group.column("side").to_numpy()
+            del group, b, c, h, r  # the texts: a tile's tokens are all that the rest needs
+            rows, r_all = np.concatenate(r_all), []
+            g, g_all = np.concatenate(g_all), []
+            # a doc_id may have come with other texts or twice: each set counts once, one side after the other
             order = np.lexsort((sig, side, sig != want))
             good = sig[order] == want[order]
             good[1:] &= (sig[order][1:] != sig[order][:-1]) | ~good[:-1]
@@ -424,9 +427,10 @@ def _verify(n: int, t: float, orders: int):
             rows, g = place[rows[keep]], g[keep]
             by = np.argsort(rows, kind="stable")
             rows, g = rows[by], g[by]
+            del by, keep
             size = np.bincount(rows, minlength=len(use))
             first = int((side[use] == 0).sum()) if cross else None
-            links, root = linked(rows, g, size, group.column("w").to_numpy()[use].astype(np.float64), first, t, orders)
+            links, root = linked(rows, g, size, weight[use].astype(np.float64), first, t, orders)
             at = np.flatnonzero(links > 0)
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array(sig[use[at]]), pa.array(np.rint(links[at]).astype(np.int64)), pa.array(sig[use[root[at]]])], names=["sig", "links", "root"])

@@ -176,8 +176,7 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         cut = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
         for lo, hi in zip(cut[:-1], cut[1:]):
             if held and k[lo] != last:
-                yield pa.Table.from_batches(held)
-                held = []
+                yield pa.Table.from_batches([held.pop(0) for _ in range(len(held))])  # nothing of it is held here meanwhile
             held.append(b.slice(lo, hi - lo))
             last = k[lo]
     if held:

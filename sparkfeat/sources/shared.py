@@ -2,11 +2,31 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the workers, once an application: the driver's path need not be theirs, under spark-submit least of all."""
+    sc, home = spark.sparkContext, Path(__file__).resolve().parent.parent
+    if sc.applicationId in _SHIPPED or not home.is_dir():  # in a zip it has been sent already
+        return
+    folder = tempfile.mkdtemp(prefix="sparkfeat-")
+    atexit.register(shutil.rmtree, folder, True)
+    with zipfile.ZipFile(where := f"{folder}/{home.name}.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(home.rglob("*.py")):
+            z.write(f, f.relative_to(home.parent))
+    sc.addPyFile(where)
+    _SHIPPED.add(sc.applicationId)
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one in local mode alone if that is unset."""
@@ -39,6 +59,7 @@ def stored(df: DataFrame) -> DataFrame:
     widest step alone.  The table itself goes with ``discard``, or when the driver ends.
     """
     spark = df.sparkSession
+    ship(spark)
     where = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEAN, None)
     spark.conf.set(_CLEAN, "true")
@@ -66,6 +87,7 @@ def discard(df: DataFrame) -> None:
 
 def spread(df: DataFrame) -> DataFrame:
     """``df`` with a partition for each core at least: files with few row groups are read by few tasks, whatever they cost."""
+    ship(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
