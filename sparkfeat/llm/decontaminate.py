@@ -30,12 +30,22 @@ from .common import ceil_tol, table, tidy
 
 PASSAGE, RANK, MAX_DF, COSINE, LCS, ANSWER = 64, 112, 0.01, 0.2, 0.7, 0.5
 FOUND = "doc_id long, item_id long, cosine double, lcs double, answer double"
+#: Bits that are looked up at once.
+BLOCK = 1 << 20
+
+
+class Lexicon(NamedTuple):
+    """Sorted word hashes, and where among them those with the same leading bits are."""
+
+    words: np.ndarray
+    at: np.ndarray  # by leading bits: the number of the one word that has them, 0 if there is none, -1 if there are more
 
 
 class Plan(NamedTuple):
-    """What a scan needs: the benchmark's terms, their weights, the latent basis and the items."""
+    """What a scan needs: the benchmark's words and terms, their weights, the latent basis and the items."""
 
-    terms: np.ndarray  # sorted word hashes, without those that too many passages hold
+    lexicon: Lexicon  # of all items' words
+    term: np.ndarray  # each word's term, -1 for those that too many passages hold
     idf: np.ndarray
     basis: np.ndarray  # terms x rank
     latent: np.ndarray  # stretches x rank, unit rows
@@ -43,7 +53,6 @@ class Plan(NamedTuple):
     of: np.ndarray  # each stretch's item
     holds: np.ndarray  # stretches x terms, packed bits
     total: list[int]  # each item's number of distinct terms, summed over its stretches
-    words: np.ndarray  # sorted word hashes of all items
     has: np.ndarray  # items x words, packed bits
     known: np.ndarray  # each item's number of distinct words
 
@@ -53,8 +62,41 @@ def bit(packed: np.ndarray, i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
     return (packed[i, j >> 3] >> (7 - (j & 7)).astype(np.uint8) & 1).astype(bool)
 
 
-def rows_of(c: pa.RecordBatch, terms: np.ndarray, passage: int):
-    """(passage number, term number, count) of a chunk, passage rows, passage starts, and its words."""
+def count_bits(packed: np.ndarray, i: np.ndarray, col: np.ndarray, lo: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """How many of the bits at columns col[lo[k]] .. col[lo[k]+size[k]-1] of row i[k] are set, for all k."""
+    out = np.zeros(len(i), np.int64)
+    stop = np.cumsum(size)
+    a = 0
+    while a < len(i):
+        b = max(a + 1, int(np.searchsorted(stop, stop[a] - size[a] + BLOCK, side="right")))
+        n = size[a:b]
+        end = np.cumsum(n)
+        got = np.concatenate([[0], np.cumsum(bit(packed, np.repeat(i[a:b], n), col[ts.ranges(lo[a:b], n)]))])
+        out[a:b] = got[end] - got[end - n]
+        a = b
+    return out
+
+
+def lexicon(words: np.ndarray) -> Lexicon:
+    bits = min(20, max(8, (16 * len(words)).bit_length()))
+    slot = (words >> ts.U64(64 - bits)).astype(np.int64)
+    at = np.zeros(1 << bits, np.int32)
+    at[slot] = np.arange(len(words))
+    at[slot[1:][slot[1:] == slot[:-1]]] = -1
+    return Lexicon(words, at)
+
+
+def find(h: np.ndarray, known: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+    """(positions in ``h`` of the words of the lexicon, their numbers); a binary search only where leading bits are shared."""
+    k = known.at[(h >> ts.U64(65 - len(known.at).bit_length())).view(np.int64)]
+    open_ = np.flatnonzero(k < 0)
+    k[open_] = np.minimum(np.searchsorted(known.words, h[open_]), len(known.words) - 1)
+    hit = np.flatnonzero(known.words[k] == h)
+    return hit, k[hit].astype(np.int64)
+
+
+def rows_of(c: pa.RecordBatch, known: Lexicon, term_of: np.ndarray, passage: int):
+    """(passage number, term number, count) of a chunk, passage rows, passage starts, its words, and which of them the lexicon has."""
     h, _, _, rows, _ = ts.words(c)
     half = passage // 2
     n = np.bincount(rows, minlength=c.num_rows)
@@ -62,16 +104,18 @@ def rows_of(c: pa.RecordBatch, terms: np.ndarray, passage: int):
     blocks = -(-n // half)
     many = np.maximum(blocks - 1, (n > 0).astype(np.int64))
     base = np.cumsum(many) - many
-    at = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
-    hit = np.flatnonzero(terms[at] == h)
-    r, block, term = rows[hit], (hit - first[rows[hit]]) // half, at[hit]
+    inside, word = find(h, known)
+    term = term_of[word]
+    hit, term = inside[term >= 0], term[term >= 0]
+    r = rows[hit]
+    block = (hit - first[r]) // half
     own, before = block < many[r], block > 0
     p = np.concatenate([(base[r] + block)[own], (base[r] + block - 1)[before]])
     t = np.concatenate([term[own], term[before]])
-    code, count = np.unique(p * len(terms) + t, return_counts=True)
+    code, count = np.unique(p * len(term_of) + t, return_counts=True)
     row_of = np.repeat(np.arange(c.num_rows), many)
     start = first[row_of] + (np.arange(len(row_of)) - base[row_of]) * half
-    return code // len(terms), code % len(terms), count, row_of, start, h, first, n
+    return code // len(term_of), code % len(term_of), count, row_of, start, h, first, n, inside, word
 
 
 def weights(p: np.ndarray, t: np.ndarray, count: np.ndarray, idf: np.ndarray, m: int) -> np.ndarray:
@@ -81,28 +125,41 @@ def weights(p: np.ndarray, t: np.ndarray, count: np.ndarray, idf: np.ndarray, m:
 
 
 def times(p: np.ndarray, t: np.ndarray, w: np.ndarray, dense: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row numbers, sparse rows times a dense matrix), rows ascending."""
+    """(row numbers, sparse rows times a dense matrix), rows ascending.
+
+    The k-th entries of all rows that have so many are added at once, longest rows first; when few rows are left, each by itself.
+    """
     keep = w > 0
-    p, t, w = p[keep], t[keep], w[keep]
+    p, t, w = p[keep], t[keep], w[keep].astype(np.float32)
     if not len(p):
         return p, np.zeros((0, dense.shape[1]), np.float32)
     first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+    sizes = np.diff(np.append(first, len(p)))
     out = np.empty((len(first), dense.shape[1]), np.float32)
-    ends = np.append(first[1:], len(p))
     step = 4096
-    for lo in range(0, len(first), step):
-        a, b = first[lo], ends[min(lo + step, len(first)) - 1]
-        out[lo : lo + step] = np.add.reduceat(dense[t[a:b]] * w[a:b, None].astype(np.float32), first[lo : lo + step] - a)
+    for row in range(0, len(first), step):
+        by = row + np.argsort(-sizes[row : row + step], kind="stable")
+        at, size = first[by], sizes[by]
+        total = dense[t[at]] * w[at, None]
+        k, m = 1, int((size > 1).sum())
+        while m >= 8:
+            total[:m] += dense[t[at[:m] + k]] * w[at[:m] + k, None]
+            k += 1
+            m = int(np.searchsorted(-size, -k))
+        for r, (lo, hi) in enumerate(zip((at[:m] + k).tolist(), (at[:m] + size[:m]).tolist())):
+            total[r] += w[lo:hi] @ dense[t[lo:hi]]
+        out[by] = total
     return p[first], out
 
 
-def _counts(terms: np.ndarray, passage: int):
+def _counts(words: np.ndarray, passage: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, total = np.zeros(len(terms), np.int64), 0
+        known, every = lexicon(words), np.arange(len(words))
+        df, total = np.zeros(len(words), np.int64), 0
         for b in batches:
             for c in ts.chunks(b):
-                _, t, _, row_of, *_ = rows_of(c, terms, passage)
-                df += np.bincount(t, minlength=len(terms))
+                _, t, _, row_of, *_ = rows_of(c, known, every, passage)
+                df += np.bincount(t, minlength=len(words))
                 total += len(row_of)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(np.flatnonzero(df), -1)), pa.array(np.append(df[df > 0], total))], names=["term", "n"])
 
@@ -113,11 +170,11 @@ def _range(sent, passage: int):
     """This task's part of A'(A Omega), a row for each term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, idf, omega = sent.value
+        known, term, idf, omega = sent.value
         y = np.zeros(omega.shape, np.float64)
         for b in batches:
             for c in ts.chunks(b):
-                p, t, count, row_of, *_ = rows_of(c, terms, passage)
+                p, t, count, row_of, *_ = rows_of(c, known, term, passage)
                 w = weights(p, t, count, idf, len(row_of))
                 rows, ao = times(p, t, w, omega)
                 keep = w > 0
@@ -168,20 +225,21 @@ def plan(docs: DataFrame, benchmark: DataFrame, passage: int = PASSAGE, rank: in
     items = words_of_items(benchmark)
     if not items:
         return None
-    terms = words = np.unique(np.array([w for _, ws in items for w in ws], dtype=ts.U64))
+    words = np.unique(np.array([w for _, ws in items for w in ws], dtype=ts.U64))
     text = docs.select(F.lit(0).alias("k"), F.col("text").cast("string").alias("text"))
-    counted = {r["term"]: r["n"] for r in text.mapInArrow(tidy(_counts(terms, passage)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    counted = {r["term"]: r["n"] for r in text.mapInArrow(tidy(_counts(words, passage)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     total = counted.pop(-1, 0) or 0
-    df = np.zeros(len(terms))
+    df = np.zeros(len(words))
     df[list(counted)] = list(counted.values())
     idf = np.log((1 + total) / (1 + df)) + 1
     live = df <= max_df * total
-    of = [np.unique(np.searchsorted(terms, np.array(ws, dtype=ts.U64))) for _, ws in items]
+    of = [np.unique(np.searchsorted(words, np.array(ws, dtype=ts.U64))) for _, ws in items]
     for own in of:  # every item keeps its rarest terms
         live[own[np.argsort(df[own], kind="stable")[:5]]] = True
-    terms, idf = terms[live], idf[live]
+    known, term = lexicon(words), np.where(live, np.cumsum(live) - 1, -1)
+    terms, idf = words[live], idf[live]
     omega = np.random.default_rng(seed).standard_normal((len(terms), min(rank + 16, len(terms)))).astype(np.float32)
-    sent = spark.sparkContext.broadcast((terms, idf, omega))
+    sent = spark.sparkContext.broadcast((known, term, idf, omega))
     parts = text.mapInArrow(tidy(_range(sent, passage)), "term long, v binary").groupBy("term").applyInArrow(_add, "term long, v binary").collect()
     y = np.zeros(omega.shape)
     for r in parts:
@@ -201,8 +259,8 @@ def plan(docs: DataFrame, benchmark: DataFrame, passage: int = PASSAGE, rank: in
         latent[j] = v / max(float(np.linalg.norm(v)), 1e-12)
     item = np.array([k for k, _ in cut])
     has = np.stack([packed(own, len(words)) for own in of])
-    known = np.array([len(own) for own in of])
-    return Plan(terms, idf, basis, latent, items, item, holds, np.bincount(item, weights=many).astype(int).tolist(), words, has, known)
+    distinct = np.array([len(own) for own in of])
+    return Plan(known, term, idf, basis, latent, items, item, holds, np.bincount(item, weights=many).astype(int).tolist(), has, distinct)
 
 
 def packed(at: np.ndarray, n: int) -> np.ndarray:
@@ -250,7 +308,7 @@ def lcs(a: list[int], b: list[int]) -> int:
 
 def matches(c: pa.RecordBatch, plan: Plan, passage: int, cosine: float, least: float, answer: float) -> list[tuple[int, int, float, float, float]]:
     """(row, item_id, cosine, lcs, answer) of the pairs of a chunk that are verified, best passage each."""
-    p, t, count, row_of, start, h, first, n = rows_of(c, plan.terms, passage)
+    p, t, count, row_of, start, h, first, n, inside, word = rows_of(c, plan.lexicon, plan.term, passage)
     w = weights(p, t, count, plan.idf, len(row_of))
     rows, v = times(p, t, w, plan.basis)
     if not len(rows):
@@ -261,28 +319,25 @@ def matches(c: pa.RecordBatch, plan: Plan, passage: int, cosine: float, least: f
     need = np.array([least_held(m, total, passage, least) for m, total in zip(long.tolist(), plan.total)])
     lost = long - np.array([ceil_tol(least * m) for m in long.tolist()])
     known = plan.known
-    word = np.minimum(np.searchsorted(plan.words, h), len(plan.words) - 1)
-    inside = plan.words[word] == h
     begin, end = np.searchsorted(p, rows), np.searchsorted(p, rows, side="right")
     for lo in range(0, len(rows), 4096):
         cos = v[lo : lo + 4096] @ plan.latent.T
         i_all, j_all = np.nonzero(cos >= cosine)
         # what the longest common subsequence implies: of the stretch's distinct terms in the passage,
         size = end[lo + i_all] - begin[lo + i_all]
-        held = bit(plan.holds, np.repeat(j_all, size), t[ts.ranges(begin[lo + i_all], size)])
-        held = np.concatenate([[0], np.cumsum(held)])
-        stop = np.cumsum(size)
-        enough = held[stop] - held[stop - size] >= need[plan.of[j_all]]
+        enough = count_bits(plan.holds, j_all, t, begin[lo + i_all], size) >= need[plan.of[j_all]]
         i_all, j_all = i_all[enough], j_all[enough]
         # and of the item's words in the region around it
         k_all = plan.of[j_all]
         own = row_of[rows[lo + i_all]]
         a_all = np.maximum(first[own], start[rows[lo + i_all]] - long[k_all])
         e_all = np.minimum(first[own] + n[own], start[rows[lo + i_all]] + passage + long[k_all])
-        for i, j, k, a, e in zip(i_all.tolist(), j_all.tolist(), k_all.tolist(), a_all.tolist(), e_all.tolist()):
-            w_in = word[a:e][inside[a:e]]
-            w_in = w_in[bit(plan.has, k, w_in)]
-            if len(w_in) < least * long[k] or len(w_in) < known[k] - lost[k] or len(set(w_in.tolist())) < known[k] - lost[k]:
+        b_all, f_all = np.searchsorted(inside, a_all), np.searchsorted(inside, e_all)
+        many = count_bits(plan.has, k_all, word, b_all, f_all - b_all)
+        enough = np.flatnonzero((many >= least * long[k_all]) & (many >= known[k_all] - lost[k_all]))
+        for i, j, k, a, e, b, f in zip(*(x[enough].tolist() for x in (i_all, j_all, k_all, a_all, e_all, b_all, f_all))):
+            w_in = word[b:f]
+            if len(set(w_in[bit(plan.has, k, w_in)].tolist())) < known[k] - lost[k]:
                 continue
             r = int(row_of[rows[lo + i]])
             item_id, ws = plan.items[k]

@@ -1,6 +1,7 @@
 """Latent retrieval against brute-force containment, the subspace against an exact SVD, edge cases."""
 
 import random
+import time
 
 import numpy as np
 import plain
@@ -101,3 +102,56 @@ def test_long_items_and_paraphrases_without_their_rare_words(spark):
     d = spark.createDataFrame(docs, "doc_id long, text string")
     b = spark.createDataFrame([(i, " ".join(ws)) for i, ws in enumerate(items)], "item_id long, text string")
     assert {(x.doc_id, x.item_id) for x in dc.contaminated(d, b).collect()} == want
+
+
+def entries(rng, sizes, terms):
+    p = np.repeat(np.arange(len(sizes)) * 2, sizes)
+    return p, rng.integers(0, terms, len(p)), rng.random(len(p)) * (rng.random(len(p)) < 0.9)
+
+
+def test_sparse_products_are_exact_and_cost_little_more_than_their_entries():
+    rng = np.random.default_rng(4)
+    for sizes in ([], [0, 0], [1], [3, 0, 700, 1, 2], [5] * 40, rng.integers(0, 30, 300), [2000, *[1] * 9, 900]):
+        p, t, w = entries(rng, sizes, 50)
+        dense = rng.standard_normal((50, 16)).astype(np.float32)
+        rows, got = dc.times(p, t, w, dense)
+        assert rows.tolist() == np.unique(p[w > 0]).tolist() and got.dtype == np.float32
+        want = np.zeros((2 * len(sizes) + 1, 16))
+        np.add.at(want, p, w[:, None] * dense[t])
+        assert np.allclose(got, want[rows], atol=1e-3, rtol=1e-4)
+    p, t, w = entries(rng, rng.integers(0, 12, 8000), 3000)
+    dense = rng.standard_normal((3000, 128)).astype(np.float32)
+    w = w.astype(np.float32)
+
+    def cost(f):
+        took = []
+        for _ in range(7):
+            began = time.thread_time()
+            f()
+            took.append(time.thread_time() - began)
+        return min(took)
+
+    assert cost(lambda: dc.times(p, t, w, dense)) < 2.5 * cost(lambda: dense[t] * w[:, None])
+
+
+def test_words_are_found_whatever_leading_bits_they_share():
+    rng = np.random.default_rng(5)
+    some = rng.integers(0, 1 << 63, 3000, dtype=np.uint64) << np.uint64(1)
+    near = np.uint64(77 << 56) + np.arange(40, dtype=np.uint64)
+    for words in (some, near, np.concatenate([some, near, near >> np.uint64(40), ~near]), near[:1], np.array([0], np.uint64), np.array([0, 2**64 - 1], np.uint64)):
+        words = np.unique(words)
+        h = rng.permutation(np.concatenate([words, words + np.uint64(1), words - np.uint64(1), some, np.array([0, 2**64 - 1], np.uint64)]))
+        at, word = dc.find(h, dc.lexicon(words))
+        assert at.tolist() == np.flatnonzero(np.isin(h, words)).tolist() and (words[word] == h[at]).all()
+        assert not len(dc.find(h[:0], dc.lexicon(words))[0])
+
+
+def test_bits_are_counted_the_same_in_small_blocks(monkeypatch):
+    rng = np.random.default_rng(6)
+    full = rng.random((9, 37)) < 0.4
+    i, col = rng.integers(0, 9, 200), rng.integers(0, 37, 500)
+    lo, size = rng.integers(0, 400, 200), rng.integers(0, 100, 200)
+    want = [int(full[r, col[a : a + n]].sum()) for r, a, n in zip(i, lo, size)]
+    for block in (1, 64, 1000, dc.BLOCK):
+        monkeypatch.setattr(dc, "BLOCK", block)
+        assert dc.count_bits(np.packbits(full, axis=1), i, col, lo, size).tolist() == want
