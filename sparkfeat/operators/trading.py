@@ -13,13 +13,15 @@ def indicators(df: DataFrame, value: str, order: list[str], entity: list[str], w
     """``df`` with SMA, rolling volatility and EMA columns and the next row's label, per entity in the order given.
 
     SMA and the sample deviation of relative changes are over the last ``w`` rows, null before there are so many.
+    The change from a value of zero is no number, and so is the deviation of rows that hold it.
     EMA has weights (1 - a)**k over the rows before, a = 2 / (span + 1), normalised; those beyond ``depth`` rows, under
     1e-6 of the whole for spans to 26, are left out.  ``{value}_up_next`` is 1 where the next value is greater, null at the end.
     """
     w = Window.partitionBy(*entity).orderBy(*order)
     x, at = F.expr(num(value)), F.row_number().over(w)
     last = lambda n: w.rowsBetween(1 - n, 0)
-    d = df.withColumn("__change", x / F.lag(x).over(w) - 1)
+    before = F.lag(x).over(w)
+    d = df.withColumn("__change", F.when(before == 0, F.when(x.isNotNull(), F.lit(float("nan")))).otherwise(x / before - 1))
     made = {}
     for n in windows:
         made[f"{value}_sma_{n}"] = F.when(at >= n, F.avg(x).over(last(n)))

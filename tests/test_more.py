@@ -3,13 +3,15 @@
 import json
 import math
 import random
+from datetime import datetime
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
-from sparkfeat import cli, comparison, datasets, llm_clients
+from sparkfeat import cli, comparison, datasets, llm_clients, queries as qs
 from sparkfeat.operators import scores, splits, text
 from sparkfeat.operators.arrays import array_series
 from sparkfeat.operators.order import ordered, sums_before
@@ -191,6 +193,21 @@ def test_indicators_and_row_functions(spark):
     assert "p_sqrt" in parallel_transform(df, TabularEngine(include_transforms=["sqrt"]).fit(df.select("p")).features).columns
 
 
+def test_indicators_after_a_value_of_zero(spark, tmp_path):
+    """The deviation is no number while a change from zero lies in its rows, as in the SQL, and a number before and after."""
+    v = [3.0, 4.0, 0.0, 6.0, 0.0, 0.0, 5.0, -7.0, 2.0, 8.0, 1.0, 9.0, 4.0, 4.5, 7.0, -0.0, -1.0]
+    rows = [(2 * k + u, u, datetime(2024, 1, 1 + k), x + u) for k, x in enumerate(v) for u in (0, 1)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, value double").write.parquet(f"{tmp_path}/events.parquet")
+    out = qs.QUERIES["ts_indicators"](spark, str(tmp_path))
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+        want = db.execute(f"SELECT {', '.join(out.columns)} FROM ({qs.SQL['ts_indicators']})").fetchall()
+    got = [tuple(r) for r in out.collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    vol = [r.value_vol_5 for r in out.where("event_id % 2 = 0").orderBy("event_id").collect()]
+    assert [x is not None and not math.isnan(x) for x in vol] == [False] * 11 + [True] * 5 + [False]
+
+
 def test_texts_and_encodings(spark):
     counted = lambda xs: [{"noun": len(x.split()), "verb": 1} for x in xs]
     t = spark.createDataFrame([(1, "word " * 5000), (2, "x" * 35), (3, None)], "id int, s string")
