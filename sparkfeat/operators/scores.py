@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 from ..functions.expr import num, q
 from ..functions.stats import correlation as pearson
 from ..spec import FeatureType, columns_of
-from ..sources.shared import discard, stored
+from ..sources.shared import discard, even, stored
 from .order import ordered, sums_before
 from .splits import stratified
 from .tabular import label_as_number, label_codes, label_encode
@@ -237,14 +237,17 @@ def assemble(df: DataFrame, features: list[str], label: str, classification: boo
 
 
 def importances(df: DataFrame, features: list[str], label: str, model: str = "random_forest", trees: int = 100, depth: int = 5, seed: int = 42, sample: float = 1.0) -> dict[str, float]:
-    """Tree importances; boosting of more than two classes is one against the rest, averaged."""
+    """Tree importances; boosting of more than two classes is one against the rest, averaged.
+
+    Trees pass over the rows once a level, so these are shared out over all cores first.
+    """
     from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
     from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 
     if model not in ("random_forest", "gradient_boosting", "xgboost"):
         raise ValueError(f"unknown model {model!r}")
     cls = is_classification(df, label)
-    d = assemble(df, features, label, cls)
+    d = assemble(even(df.select(*[F.col(q(c)) for c in dict.fromkeys([*features, label])])), features, label, cls)
     args = {"featuresCol": "v", "labelCol": "y", "seed": seed, "maxDepth": depth} | ({"subsamplingRate": sample} if sample < 1 else {})
     if model != "gradient_boosting":
         m = (RandomForestClassifier if cls else RandomForestRegressor)(numTrees=trees, **args).fit(d)
@@ -354,6 +357,7 @@ def gate(df: DataFrame, originals: list[str], full: list[str], label: str, key:
     """(keep derived?, mean gain) over held-out splits, stratified for classes; the bar rises with the share of derived features.
 
     Both sides of every split see the same rows.  If no model can be fitted the derived features are not kept.
+    Forests pass over all rows once a level, so the rows are shared out over all cores, and keep their nodes from level to level.
     """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
@@ -369,18 +373,17 @@ def gate(df: DataFrame, originals: list[str], full: list[str], label: str, key:
     y = label_codes(d, label).select(F.col("v").alias("__v"), F.col("code").cast("double").alias("__y")) if cls else None
     d = d.join(y, F.col(q(label)).cast("string") == F.col("__v")) if cls else d.withColumn("__y", F.col(q(label)).cast("double"))
     vector = lambda cols: F.array(*[_x(c) for c in cols])
-    d = stored(d.select(F.col(q(key)).alias("key"), F.col("__y").alias("y"), vector(base).alias("base"), vector(both).alias("both")))
+    d = stored(even(d.select(F.col(q(key)).alias("key"), F.col("__y").alias("y"), vector(base).alias("base"), vector(both).alias("both")), "key"))
     gains = []
     for s in range(splits):
         if cls:
-            cut = stratified(d, "y", "key", test_size, seed + s)
+            cut = stored(even(stratified(d, "y", "key", test_size, seed + s), "key"))
         else:
             cut = d.withColumn("is_test", (F.pmod(F.xxhash64("key", F.lit(seed + s)), F.lit(10_000)) < int(10_000 * test_size)).cast("int"))
-        cut = stored(cut)
         got = []
         for side in ("base", "both"):
             v = cut.select("y", "is_test", array_to_vector(side).alias("v"))
-            rf = (RandomForestClassifier if cls else RandomForestRegressor)(featuresCol="v", labelCol="y", numTrees=trees, maxDepth=depth, seed=seed)
+            rf = (RandomForestClassifier if cls else RandomForestRegressor)(featuresCol="v", labelCol="y", numTrees=trees, maxDepth=depth, seed=seed, cacheNodeIds=True, checkpointInterval=-1)
             ev = MulticlassClassificationEvaluator(labelCol="y", metricName="accuracy") if cls else RegressionEvaluator(labelCol="y", metricName="r2")
             try:
                 got.append(ev.evaluate(rf.fit(v.where("is_test = 0")).transform(v.where("is_test = 1"))))

@@ -92,6 +92,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def even(df: DataFrame, key: str | None = None) -> DataFrame:
+    """``df`` with its rows shared out evenly over as many partitions as there are cores, also where most of its partitions are empty.
+
+    By ``key``, which names rows, partitions and the order within them do not depend on how the files were cut.
+    """
+    ship(df.sparkSession)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key).sortWithinPartitions(key) if key else df.repartition(cores)
+
+
 class Files:
     """Small files and folders on whatever file system a path names: local, HDFS or an object store."""
 

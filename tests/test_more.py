@@ -193,6 +193,31 @@ def test_indicators_and_row_functions(spark):
     assert "p_sqrt" in parallel_transform(df, TabularEngine(include_transforms=["sqrt"]).fit(df.select("p")).features).columns
 
 
+@pytest.mark.parametrize("classes", [False, True])
+def test_models_are_fitted_on_all_cores(spark, monkeypatch, classes):
+    """Files of one row group give one partition with rows; forests are fitted on as many as there are cores, each a fair share."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.regression import RandomForestRegressor
+
+    kind, seen = RandomForestClassifier if classes else RandomForestRegressor, []
+    fit = kind.fit
+
+    def watched(self, d, *more):
+        seen.append([n for n in d.rdd.mapPartitions(lambda it: [sum(1 for _ in it)]).collect() if n])
+        return fit(self, d, *more)
+
+    monkeypatch.setattr(kind, "fit", watched)
+    df = spark.range(2000).select("id", *[(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1000)) / 1000).alias(c) for k, c in enumerate("ab")])
+    df = df.withColumn("y", F.col("a") * F.col("b")).withColumn("y", (F.col("y") > 0.25).cast("int") if classes else F.col("y")).withColumn("p", F.col("a") * F.col("b")).coalesce(1)
+    keep, gain = scores.gate(df, ["a", "b"], ["a", "b", "p"], "y", "id", splits=2, trees=3)
+    assert keep and gain > 0
+    assert (keep, gain) == scores.gate(df.orderBy(F.desc("a")), ["a", "b"], ["a", "b", "p"], "y", "id", splits=2, trees=3)
+    imp = scores.importances(df, ["a", "b", "p"], "y", trees=3)
+    assert imp["p"] > imp["a"]
+    cores = spark.sparkContext.defaultParallelism
+    assert len(seen) == 9 and all(len(n) == cores and max(n) < 2 * sum(n) / cores for n in seen), seen
+
+
 def test_indicators_after_a_value_of_zero(spark, tmp_path):
     """The deviation is no number while a change from zero lies in its rows, as in the SQL, and a number before and after."""
     v = [3.0, 4.0, 0.0, 6.0, 0.0, 0.0, 5.0, -7.0, 2.0, 8.0, 1.0, 9.0, 4.0, 4.5, 7.0, -0.0, -1.0]
