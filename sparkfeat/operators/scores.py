@@ -6,8 +6,10 @@ them; correlations of many features from partial Gram matrices that each task ad
 
 from __future__ import annotations
 
+import math
 import warnings
 from collections.abc import Iterator
+from decimal import Decimal
 from statistics import median
 
 import numpy as np
@@ -176,34 +178,67 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     return d.agg(pearson("ra", "rb").alias("score"))
 
 
+def _inversions(key: np.ndarray, w: np.ndarray) -> int:
+    """Sum of w[i] * w[j] over i < j with key[i] > key[j], a bit of the keys at a time: n log n, in memory of a few n."""
+    w, total = w.astype(np.int64 if int(w.sum()) < 1 << 31 else object), 0
+    for bit in range(int(key.max(initial=0)).bit_length() - 1, -1, -1):
+        # rows lie by the bits above, then in their first order; those with the bit come late but stand before
+        high, group = (key >> bit) & 1, key >> (bit + 1)
+        before = np.cumsum(w * high)
+        start = np.flatnonzero(np.diff(group, prepend=-1))
+        before -= np.repeat(before[start] - (w * high)[start], np.diff(start, append=len(key)))
+        total += int((w * before)[high == 0].sum())
+        at = np.argsort(key >> bit, kind="stable")
+        key, w = key[at], w[at]
+    return total
+
+
 def kendall(df: DataFrame, a: str, b: str, block: int = 4096) -> float | None:
-    """Kendall's tau-b over all rows: distinct pairs of values, ordered and cut into blocks, are compared block by block.
+    """Kendall's tau-b over all rows, None where undefined: what is left of all pairs without the tied and twice the discordant ones.
 
-    Quadratic in the number of distinct pairs, as its definition is, but for the blocks apart, which are compared in tasks; None where undefined.
+    Distinct pairs of values have a place by (a, b) and one by (b, a); two of them are discordant where these differ in
+    order, for tied ones do not.  Both orders are cut into blocks of as many places each, 512 at most: discordant pairs within a block of
+    one order or the other are counted in a task for each block, n log n, those apart in both from the weights where blocks meet.
     """
     d = df.select(F.expr(num(a)).alias("a"), F.expr(num(b)).alias("b")).where("a is not null and b is not null").groupBy("a", "b").agg(F.count("*").alias("w"))
-    n = d.agg(F.sum("w")).first()[0] or 0
-    pairs = lambda c: d.groupBy(*c).agg(F.sum("w").alias("k")).agg(F.sum(F.col("k") * (F.col("k") - 1) / 2)).first()[0] or 0.0
-    total, tied_a, tied_b = n * (n - 1) / 2, pairs("a"), pairs("b")
+    d = stored(d)
+    n, cells, same = d.agg(F.sum("w"), F.count("*"), F.sum(_pairs("w"))).first()
+    tied = lambda c: int(d.groupBy(c).agg(F.sum("w").alias("k")).agg(F.sum(_pairs("k"))).first()[0] or 0)
+    n, same = n or 0, int(same or 0)
+    total, tied_a, tied_b = n * (n - 1) // 2, tied("a"), tied("b")
     if total - tied_a <= 0 or total - tied_b <= 0:
         return None
-    at = stored(ordered(d, ["a", "b"], "r").withColumn("block", F.floor((F.col("r") - 1) / block)))
-    blocks = (at.agg(F.max("block")).first()[0] or 0) + 1
-    tiles = at.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"), (F.col("block") > F.col("o")).alias("second"), "a", "b", "w")
-
-    def compare(t: pa.Table) -> pa.Table:
-        second = t.column("second").to_numpy()
-        va, vb, w = (t.column(c).to_numpy().astype(float) for c in ("a", "b", "w"))
-        one = ~second
-        other = second if t.column("x")[0] != t.column("y")[0] else one
-        s = 0.0
-        for lo in range(0, int(one.sum()), 256):
-            i = np.flatnonzero(one)[lo : lo + 256]
-            s += float((np.sign(va[i, None] - va[None, other]) * np.sign(vb[i, None] - vb[None, other]) * w[i, None] * w[None, other]).sum())
-        return pa.table({"s": [s / 2 if other is one else s]})
-
-    s = tiles.groupBy("x", "y").applyInArrow(compare, "s double").agg(F.sum("s")).first()[0]
-    return s / float(np.sqrt((total - tied_a) * (total - tied_b)))
+    block = max(block, -(-cells // 512))
+    at = ordered(ordered(d, ["a", "b"], "r"), ["b", "a"], "s").select("w", (F.col("r") - 1).alias("r"), (F.col("s") - 1).alias("s"))
+    at = stored(at.withColumns({"p": F.floor(F.col("r") / block), "q": F.floor(F.col("s") / block)}))
+
+    def within(order: str, key: str):
+        def count(t: pa.Table) -> pa.Table:
+            place, k, w = (t.column(c).to_numpy() for c in (order, key, "w"))
+            by = np.argsort(place)
+            return pa.table({"d": pa.array([Decimal(_inversions(k[by], w[by]))], pa.decimal128(38, 0))})
+
+        return count
+
+    counted = lambda c, order, key: at.groupBy(c).applyInArrow(within(order, key), "d decimal(38,0)").agg(F.sum("d")).first()[0]
+    # of one block by (a, b), then of one by (b, a) and not of one by (a, b), then of neither
+    discordant = int(counted("p", "r", "s")) + int(counted("q", "s", "p"))
+    meet = at.groupBy("p", "q").agg(F.sum("w").alias("w")).toArrow()
+    p, q_, w = (meet.column(c).to_numpy() for c in ("p", "q", "w"))
+    weight = np.zeros((int(p.max()) + 1, int(q_.max()) + 2), dtype=object)
+    weight[p, q_] = w
+    above = np.zeros(weight.shape[1], dtype=object)  # of blocks before in p: the weight at q and beyond
+    for row in weight:
+        discordant += int((row[:-1] * above[1:]).sum())
+        above = above + np.cumsum(row[::-1])[::-1]
+    discard(at)
+    discard(d)
+    return (total - tied_a - tied_b + same - 2 * discordant) / math.sqrt((total - tied_a) * (total - tied_b))
+
+
+def _pairs(weight: str):
+    k = F.col(weight).cast("decimal(19,0)")
+    return k * (k - 1) / 2
 
 
 def redundant(features: list[str], corr: np.ndarray, importance: dict[str, float], originals: set[str], threshold: float = 0.95) -> set[str]:

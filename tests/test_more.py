@@ -1,8 +1,11 @@
 """The parts that queries do not reach: stages saved and loaded, backends, data sets, row functions, reports, whole texts, sinks."""
 
+import bisect
 import json
 import math
 import random
+import time
+from collections import Counter
 from datetime import datetime
 
 import duckdb
@@ -160,6 +163,33 @@ def test_kendall_and_medians_with_ties(spark):
     assert none.t_v_median is None and none.t_v_nunique == 0
 
 
+def test_kendall_grows_no_faster_than_sorting(spark):
+    """30,000 distinct pairs in blocks of 32: compared pair by pair they took minutes.  Ties, weights and infinite values are exact."""
+    n, r = 30_000, random.Random(5)
+    rows = [(r.randrange(25), r.choice([r.randrange(n) * 1.0, 7.0])) for _ in range(n)] + [(24, float("inf")), (24, float("-inf")), (0, float("inf"))]
+    df = spark.createDataFrame(rows, "a int, b double")
+    began = time.monotonic()
+    got = scores.kendall(df, "a", "b", 32)
+    assert time.monotonic() - began < 60
+    seen, discordant = [], 0
+    for _, b in sorted(rows):
+        discordant += len(seen) - bisect.bisect_right(seen, b)
+        bisect.insort(seen, b)
+    pairs = lambda v: sum(k * (k - 1) // 2 for k in Counter(v).values())
+    every = len(rows) * (len(rows) - 1) // 2
+    a, b = every - pairs(x for x, _ in rows), every - pairs(y for _, y in rows)
+    assert got == (a + b - every + pairs(rows) - 2 * discordant) / math.sqrt(a * b)
+    heavy = df.limit(50).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(3))))
+    assert abs(scores.kendall(heavy, "a", "b", 4) - scores.kendall(df.limit(50), "a", "b")) < 1e-12
+
+
+def test_inversions_by_bits():
+    r = np.random.default_rng(0)
+    for n, high, scale in ((0, 1, 1), (1, 5, 1), (2, 2, 1), (40, 3, 1), (60, 10**12, 1), (60, 50, 1 << 32)):
+        k, w = r.integers(0, high, n), r.integers(1, 9, n) * scale
+        assert scores._inversions(k, w) == sum(int(w[i]) * int(w[j]) for j in range(n) for i in range(j) if k[i] > k[j])
+
+
 def test_series_of_a_whole_table_in_chunks(spark, monkeypatch):
     from sparkfeat.operators import timeseries
 
